@@ -21,7 +21,7 @@ LEAST_GROUP = 50
 #: Interquartile ranges beyond the quartiles.
 REACH = 3.0
 #: measure: least distance of its fences from the quartiles, and whether low values are rejected too.
-MEASURES = {"symbols": (0.25, False), "dup_lines": (0.35, False), "repeats": (0.25, False), "word_length": (2.0, True)}
+MEASURES = {"symbols": (0.25, False), "dup_lines": (0.4, False), "repeats": (0.35, False), "word_length": (2.5, True)}
 K = 256
 
 
