@@ -50,23 +50,13 @@ def _smallest(edges: list[int], low: int, high: int, shards: int, divisible: boo
     return low
 
 
-def _histogram(keys: DataFrame, cells: list[tuple[int, int]], bits: int) -> list[tuple[int, int, int, int]]:
-    """(lowest hash, highest hash, size, rows) of each non-empty sub-cell of the given cells, in order; the hashes are those that occur."""
-    spans: list[list[int]] = []
-    for first, last in cells:
-        if spans and spans[-1][1] == first - 1:
-            spans[-1][1] = last
-        else:
-            spans.append([first, last])
+def _histogram(keys: DataFrame, spans: list[tuple[int, int]], bits: int) -> list[tuple[int, int, int]]:
+    """(lowest hash, highest hash, size) of each non-empty cell in the spans, in order; the hashes are those that occur. There are no more spans than shards."""
     wanted = F.lit(False)
     for first, last in spans:
         wanted = wanted | F.col("key").between(first, last)
-    rows = (
-        keys.where(wanted).groupBy(F.shiftright("key", 64 - bits).alias("cell"))
-        .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-        .drop("cell").collect()
-    )
-    return sorted(tuple(r) for r in rows)
+    rows = keys.where(wanted).groupBy(F.shiftright("key", 64 - bits).alias("cell")).agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"))
+    return sorted(tuple(r) for r in rows.drop("cell").collect())
 
 
 def plan_cuts(keys: DataFrame, shards: int) -> tuple[int, list[int]]:
@@ -84,15 +74,20 @@ def plan_cuts(keys: DataFrame, shards: int) -> tuple[int, list[int]]:
         if low == high:
             break
         optimist, pessimist = _greedy(edges, high, shards, True)[1], _greedy(edges, low, shards, False)[1]
-        split = set()
+        # For each cut the run of cells in which it may lie; runs that touch become one.
+        runs: list[list[int]] = []
         for (_, up), (down, _) in zip(optimist, pessimist, strict=True):
-            split.update(i for i in range(max(0, bisect_right(edges, down) - 1), min(len(cells), bisect_left(edges, up) + 1)) if cells[i][0] < cells[i][1])
-        if not split:
+            first, last = max(0, bisect_right(edges, down) - 1), min(len(cells), bisect_left(edges, up) + 1)
+            if any(c[0] < c[1] for c in cells[first:last]):
+                if runs and first <= runs[-1][1]:
+                    runs[-1][1] = max(last, runs[-1][1])
+                else:
+                    runs.append([first, last])
+        if not runs:
             break
-        more = max(1, min(8, 64 - bits, (MAX_CELLS // len(split)).bit_length() - 1))
-        bits += more
-        finer = _histogram(keys, [(cells[i][0], cells[i][1]) for i in sorted(split)], bits)
-        cells = sorted([c for i, c in enumerate(cells) if i not in split] + finer)
+        bits += max(1, min(8, 64 - bits, (MAX_CELLS // sum(b - a for a, b in runs)).bit_length() - 1))
+        finer = _histogram(keys, [(cells[a][0], cells[b - 1][1]) for a, b in runs], bits)
+        cells = sorted([c for i, c in enumerate(cells) if not any(a <= i < b for a, b in runs)] + finer)
     cuts, at = [], 0
     for _ in range(shards - 1):
         at = edges[bisect_right(edges, at + high) - 1]
