@@ -128,10 +128,13 @@ class Scope:
                 text = str(text)
             source = F.lit(text).cast("string")
         elif inner.json is not None:
-            source = F.get_json_object(*inner.json)
+            source = inner.column
         else:
             source = F.decode(inner.column, "UTF-8") if inner.type.name in ty.BYTES else ty.as_text(inner.column, inner.type).cast("string")
-        return Operand(F.get_json_object(source, path), None, False, None, (source, path))
+        # An element that is null comes back as the text null; only where it does is the value looked at again.
+        found = F.get_json_object(source, path)
+        nothing = F.is_variant_null(F.try_variant_get(F.try_parse_json(source), path, "variant"))
+        return Operand(F.when((found == "null") & nothing, None).otherwise(found), None, False, None, (source, path))
 
     def projected(self, node) -> tuple[Column, SqlType]:
         if isinstance(node, A.Lit):
