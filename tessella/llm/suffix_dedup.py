@@ -237,9 +237,12 @@ def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, rows, size = SuffixFamily(), [], 0
-        last = None
+        last = before = None
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r == before:  # of a repeated row
+                    continue
+                before = r
                 if size >= BATCH_WINDOWS:
                     yield batch_of(rows, family)
                     if r[0] != last:  # no window stands under two grams
@@ -252,7 +255,7 @@ def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch_of(rows, family)
 
     tasks = parallelism(contexts.sparkSession)
-    return contexts.select("gram", "id", "start", "bytes").repartition(tasks, "gram").sortWithinPartitions("gram", "id", "start").mapInArrow(run, "id long, start int, stop int")
+    return contexts.select("gram", "id", "start", "bytes").repartition(tasks, "gram").sortWithinPartitions("gram", "id", "start", "bytes").mapInArrow(run, "id long, start int, stop int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -282,8 +285,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of ``docs`` (doc_id, text); other columns are ignored.
 
-    A null text is an empty one. Rows without a doc_id come first in the order and count as one document, as do rows that share a doc_id: a byte string at the same place of the same document is not an earlier one. An empty table gives an
-    empty result.
+    A null text is an empty one. Rows without a doc_id come first in the order and count as one document, as do rows that share a doc_id: equal rows are no copies of each other, and what is removed
+    from one is removed at the same place of all. An empty table gives an empty result.
     """
     kept_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
     docs = docs.select(kept_id, "text")
