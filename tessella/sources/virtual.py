@@ -65,3 +65,23 @@ def sys_table(engine: Engine) -> DataFrame:
         "default_parallelism": str(engine.spark.sparkContext.defaultParallelism), "shuffle_partitions": engine.spark.conf.get("spark.sql.shuffle.partitions"),
     }
     return engine.spark.createDataFrame(list(facts.items()), "variable_name string, value string")
+
+
+#: Tables of the system database that show the engine's own state.
+SYSTEM_TABLES = ("roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config")
+
+
+def system_table(engine: Engine, name: str) -> DataFrame:
+    spark, access = engine.spark, engine.access
+    if name == "roles":
+        return spark.createDataFrame([(r,) for r in access.roles], "role string")
+    if name == "role_assignments":
+        return spark.createDataFrame([tuple(m) for m in access.members], "role string, grantee string")
+    if name == "privileges":
+        return spark.createDataFrame([tuple(p) for p in access.privileges], "grantee string, privilege string, database_name string, table_name string")
+    if name == "policies":
+        keys = ("name", "database", "table", "operation", "scope", "sql")
+        return spark.createDataFrame([tuple(p[k] for k in keys) for p in access.policies], "name string, database_name string, table_name string, operation string, scope string, expression string")
+    if name == "replication_log":
+        return engine.changes.read() if engine.changes else spark.createDataFrame([], "log_id long, logged_at timestamp, source_database string, source_table string, change_type string, row_id long, row string, change_sql string")
+    return spark.createDataFrame([(n, v, d) for n, v, _, _, d in engine.settings.rows("GLOBAL", {})], "variable_name string, variable_value string, description string")

@@ -78,3 +78,12 @@ def test_variables(db):
         fails(db, sql, code)
     db.execute("SET GLOBAL skip_name_resolve = OFF")
     assert db.execute("SHOW GLOBAL VARIABLES LIKE 'skip%'").fetchall()[0]["value"] == "OFF"
+
+
+def test_system_tables(guard):
+    assert [r["role"] for r in guard.execute("SELECT role FROM system.roles ORDER BY role")] == ["analyst", "lead"]
+    assert guard.query("SELECT * FROM system.policies WHERE scope IS NULL").count() == 1
+    assert guard.query("SELECT grantee FROM system.privileges WHERE table_name LIKE '%\\%'").count() == 2
+    assert guard.query("SELECT * FROM system.role_assignments").count() == 2 and guard.query("SELECT * FROM system.replication_log").count() == 0
+    assert guard.query("SELECT * FROM system.sys_config").count() == 16
+    fails(guard.engine.session("bob"), "SELECT * FROM system.privileges", "ACCESS_DENIED")

@@ -208,3 +208,20 @@ def test_engine_reopens(spark, root):
     connect(spark, root).execute("CREATE TABLE t (k INT)")
     connect(spark, root).execute("INSERT INTO t VALUES (5)")
     assert connect(spark, root).execute("SELECT k FROM t").fetchall() == [{"k": 5}]
+
+
+def test_result_cache(db):
+    db.execute("CREATE TABLE t (k INT)")
+    db.execute("INSERT INTO t VALUES (1)")
+    cache, sql = db.engine.cache, "SELECT k FROM t WHERE k = ?"
+    assert db.execute(sql, [1]).fetchall() == db.execute(sql, [1]).fetchall() == [{"k": 1}] and cache.hits == 1
+    assert db.execute(sql, [2]).fetchall() == [] and cache.hits == 1
+    db.execute("INSERT INTO t VALUES (1)")
+    assert len(db.execute(sql, [1]).fetchall()) == 2 and cache.hits == 1
+    for volatile in ("SELECT k FROM t WHERE CURRENT_TIMESTAMP > '2020-01-01'", "SELECT k FROM t WHERE k IN (SELECT k FROM t)"):
+        db.execute(volatile).fetchall()
+        db.execute(volatile).fetchall()
+    assert cache.hits == 1
+    db.execute("SET GLOBAL query_cache_size = 0")
+    db.execute(sql, [1]).fetchall()
+    assert cache.hits == 1
