@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, sliced
+
 #: Expected rows of each label in the sample.
 TRAIN_ROWS = 3000
 #: Bytes of a sampled text that go into a dictionary (texts are scored whole), and of a dictionary.
@@ -84,14 +86,20 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows (doc_id, text, label), label 1 for good and 0 for bad; rows with a null among them are left out."""
-    rows = rows.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("label").isin(0, 1))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label: 1 for good, 0 for bad).
+
+    The labels are thinned first, and the few that stay are broadcast, so no text is shuffled. Rows with a null or an empty text are left out; of several labels of a doc_id the least counts, and
+    of several texts the first in order.
+    """
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, train_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, train_rows / max(1, sizes.get(0, 0))))
-    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) / 2**30
-    picked = rows.select("doc_id", "label", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"), unit.alias("unit"), share.alias("share")).where(F.col("unit") < F.col("share"))
-    sample = sorted(((r["doc_id"], r["label"], r["text"], r["unit"] < r["share"] / 2) for r in picked.collect()), key=lambda r: (r[0] is None, r[0], r[2]))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) / 2**30
+    few = labels.withColumns({"unit": unit, "share": share}).where(F.col("unit") < F.col("share"))
+    texts = docs.where(F.col("text") != "").select("doc_id", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"))
+    picked = texts.join(F.broadcast(few.select("doc_id", "label", "unit", "share")), "doc_id").groupBy("doc_id", "label", "unit", "share").agg(F.min("text").alias("text"))
+    sample = sorted((r["doc_id"], r["label"], r["text"], r["unit"] < r["share"] / 2) for r in picked.collect())
     good, bad = ([t for _, y, t, first in sample if y == label and first] for label in (1, 0))
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     model = Model(_content(good), _content(bad), 0.0, math.log(prior / (1 - prior)), prior)
@@ -113,7 +121,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
-        for batch in batches:
+        for batch in sliced(batches, 500):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
+    return map_batches(docs, run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")

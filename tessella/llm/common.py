@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,29 +67,41 @@ def fold(c: Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-#: Bits of the filter by which rows are picked. It is 4 MB, whatever the corpus.
+#: Bits of the filter by which rows are picked, in words of 64. The filter has 524,288 rows of 16 bytes at most, whatever the corpus, so it is broadcast.
 PICK_BITS = 1 << 25
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (64-bit words) with the hashed places of all ids (one column, long); it is put together on the executors."""
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A bitmap with the hashed places of all ids (one column), as rows (word, mask)."""
     slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(PICK_BITS))
-    marks = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("m"))
-    got, words = marks.toArrow(), np.zeros(PICK_BITS // 64, np.int64)
-    words[got.column("w").to_numpy()] = got.column("m").to_numpy()
-    return words
+    return ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("__mask"))
 
 
-def picked(docs: DataFrame, id_column: str, ids: DataFrame | np.ndarray, inside: bool = True) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``ids`` (all that are, and few others), or with ``inside=False`` the others, none of which is. No shuffle."""
-    words = docs.sparkSession.sparkContext.broadcast(ids if isinstance(ids, np.ndarray) else id_filter(ids))
-    slotted = docs.withColumn("__slot", F.pmod(F.xxhash64(id_column), F.lit(PICK_BITS)))
+def picked(docs: DataFrame, id_column: str, marks: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose id may be among those of ``id_filter`` (all that are, and few others), or with ``inside=False`` the others, none of which is. ``docs`` isn't shuffled."""
+    slot = F.pmod(F.xxhash64(id_column), F.lit(PICK_BITS))
+    marked = docs.withColumn("__slot", slot).join(F.broadcast(marks), F.shiftright("__slot", 6) == F.col("__word"), "inner" if inside else "left")
+    bit = F.call_function("shiftrightunsigned", F.col("__mask"), (F.col("__slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return marked.where(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).select(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column("__slot").to_numpy()
-            there = (words.value[s >> 6] >> (s & 63)) & 1 == inside
-            if there.any():
-                yield batch.drop_columns(["__slot"]).filter(pa.array(there))
 
-    return slotted.mapInArrow(run, docs.schema)
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow that gives memory back to the system when a task is over: workers are reused, and what they keep adds up beside the JVM."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
