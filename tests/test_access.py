@@ -87,3 +87,18 @@ def test_system_tables(guard):
     assert guard.query("SELECT * FROM system.role_assignments").count() == 2 and guard.query("SELECT * FROM system.replication_log").count() == 0
     assert guard.query("SELECT * FROM system.sys_config").count() == 16
     fails(guard.engine.session("bob"), "SELECT * FROM system.privileges", "ACCESS_DENIED")
+
+
+def test_logs(guard, caplog):
+    import json
+    import logging
+
+    with caplog.at_level(logging.INFO, logger="tessella"):
+        guard.execute("SELECT id FROM guard WHERE name = 'secret' AND id > 5")
+        guard.execute("CREATE ROLE extra")
+        fails(guard, "SELECT 'x", "SQL_SYNTAX")
+        fails(guard, "SELECT nope FROM guard", "UNKNOWN_COLUMN")
+    lines = [json.loads(r.message) for r in caplog.records]
+    assert [x["sql"] for x in lines if x["log"] == "general"] == ["SELECT id FROM guard WHERE name = ? AND id > ?", "CREATE ROLE extra", "(9 characters)", "SELECT nope FROM guard"]
+    assert [x["code"] for x in lines if x["log"] == "error"] == ["SQL_SYNTAX", "UNKNOWN_COLUMN"] and [x["outcome"] for x in lines if x["log"] == "audit"] == ["ok"]
+    assert "secret" not in caplog.text
