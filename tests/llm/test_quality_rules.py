@@ -1,0 +1,47 @@
+import re
+from collections import Counter
+
+from cases import empty, frame
+
+from tessella.llm import quality_rules as q
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def counts(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    c = Counter(zip(w, w[1:], w[2:], strict=False))
+    hit = set()
+    for k in range(len(w) - 2):
+        if c[w[k], w[k + 1], w[k + 2]] > 1:
+            hit |= {k, k + 1, k + 2}
+    bad = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), bad
+
+
+def test_counts(spark, docs):
+    more = ["a a a", "a a a a", "a b c a b c", "x\nx\n\n \n \nx", "#*$%&|<>", "w\x0bv\x0cu\x85t\u00a0s", "a b a b a b", "\ufeffa b"]
+    df = docs.unionByName(frame(spark, [(1000 + i, t, "en", "s", 0, 0.0, 0, 0, "") for i, t in enumerate(more)]))
+    want = sorted(((r["doc_id"], *counts(r["text"])) for r in df.collect()), key=repr)
+    got = sorted((tuple(r)[:7] for r in q.judge(df).collect()), key=repr)
+    assert got == want
+    assert q.judge(empty(spark)).count() == 0
+
+
+def test_fences_follow_the_corpus(spark):
+    """A corpus whose texts all have many symbols keeps them; in another the same text is an outlier. Small sources use their language's fences."""
+    clean = "word another thing here " * 3 + " ".join(f"w{i}x" for i in range(80))
+    noisy = " ".join(f"w{i}x ## %" for i in range(60))
+    rows = [(i, f"{clean} u{i}", "en", "a", 0, 0.0, 0, 0, "") for i in range(100)] + [(1000, noisy, "en", "a", 0, 0.0, 0, 0, ""), (1001, noisy, "en", "tiny", 0, 0.0, 0, 0, "")]
+    rows += [(2000 + i, f"{noisy} u{i}", "xx", "b", 0, 0.0, 0, 0, "") for i in range(100)]
+    kept = {r["doc_id"]: r["kept"] for r in q.judge(frame(spark, rows)).collect()}
+    assert not kept[1000] and not kept[1001] and all(kept[i] for i in range(100)) and all(kept[2000 + i] for i in range(100))
+
+
+def test_sketches_merge(spark, docs):
+    """The language's count is the sum of its sources'."""
+    rows = q.fences(q.measured(docs)).collect()
+    for lang in {r["lang"] for r in rows if r["level"] == 1}:
+        assert sum(r["n"] for r in rows if r["level"] == 0 and r["lang"] == lang) == next(r["n"] for r in rows if r["level"] == 1 and r["lang"] == lang)
