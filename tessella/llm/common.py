@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -85,8 +87,14 @@ def picked(docs: DataFrame, id_column: str, marks: DataFrame, inside: bool = Tru
     return marked.where(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).select(docs.columns)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow that gives memory back to the system when a task is over: workers are reused, and what they keep adds up beside the JVM."""
+    """mapInArrow with batches bounded by bytes (unless the session sets a bound of its own), as 10,000 long texts may be anything, and with memory given back to the system when a task is over: workers are reused, and what they
+    keep adds up beside the JVM."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, "4m")
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -100,6 +108,14 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(trimmed, schema)
 
 
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker makes once and keeps for all its tasks, such as a tokenizer."""
+    state = sys.modules.setdefault("_tessella_worker", types.ModuleType("_tessella_worker")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -3,10 +3,12 @@
 A window is a string of ``length`` bytes. Its anchor is the place in it where the hash of a short gram is least; equal windows have equal anchors at the same distance, and the next windows mostly share
 the anchor, so text is indexed by one entry for every 40 bytes or so: the anchor's gram, and the *context*, the bytes of all windows of that anchor.
 
-1. Each task lists the entries of its documents. Contexts that it has seen itself are removed at once (all their windows have started earlier); so a very common passage leaves a task once.
+1. Each task lists the entries of its documents, some hundred at a time. Of equal contexts among them all but the first are removed at once (all their windows have started earlier), so a very common passage
+   leaves a task once for each such batch.
 2. Entries are sorted by gram and context. Of equal contexts all but the first are removed. A context that is alone with its gram holds no repeated window.
 3. What is left are contexts that share a gram but differ, at the edges of repeated passages. They are fetched and indexed by ``SuffixFamily``: the windows of a batch are sorted into a suffix array, merge-scanned against the arrays
-   of all earlier batches, and arrays of equal size are merged, so that there are logarithmically many.
+   of all earlier batches, and arrays of equal size are merged, so that there are logarithmically many. A gram with very many contexts has several families; a window that is the first in more than one
+   of them is settled by an aggregation over digests of windows.
 4. The ranges that are removed meet their documents again.
 
 Texts are compared as bytes in step 3; steps 1 and 2 compare contexts by two 64-bit hashes.
@@ -14,6 +16,7 @@ Texts are compared as bytes in step 3; steps 1 and 2 compare contexts by two 64-
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_filter, parallelism, picked, staged
+from .common import NO_ID, id_filter, map_batches, parallelism, picked, sliced, staged
 
 LENGTH = 100
 GRAM = 24
 #: Bytes of text that a task indexes at a time, and windows of a batch of the family.
-CHUNK_BYTES, BATCH_WINDOWS = 2_000_000, 100_000
+CHUNK_BYTES, BATCH_WINDOWS = 500_000, 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,9 +104,9 @@ class Anchors:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     texts, ids, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = (t or "").encode()
+    for batch in sliced(batches, 500):
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            raw = raw or b""
             if texts and size + len(raw) > CHUNK_BYTES:
                 yield texts, np.array(ids, np.int64)
                 texts, ids, size = [], [], 0
@@ -144,7 +147,7 @@ def index(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from _rows(ENTRY, *pick(first))
             yield from _rows(REMOVED, *pick(again))
 
-    return docs.select("id", "text").mapInArrow(run, _ENTRY)
+    return map_batches(docs.select("id", "text"), run, _ENTRY)
 
 
 def match(entries: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def match(entries: DataFrame) -> DataFrame:
             yield from _emit(OPEN, held)
 
     tasks = parallelism(entries.sparkSession)
-    return entries.repartition(tasks, "gram").sortWithinPartitions("gram", "context", "id", "start").mapInArrow(run, _ENTRY)
+    return map_batches(entries.repartition(tasks, "gram").sortWithinPartitions("gram", "context", "id", "start"), run, _ENTRY)
 
 
 def _emit(kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -221,41 +224,77 @@ def _covered(contexts: list[bytes], seen: np.ndarray, counts: np.ndarray) -> Ite
     return row[b], b - base[row[b]], e - base[row[e]]
 
 
-def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes) that share a gram."""
+#: Contexts of one gram that one family indexes; grams with more are dealt out to several.
+FAMILY_CONTEXTS = 4000
+#: Up to so many such grams are broadcast (16 bytes each).
+MAX_BROADCAST_GRAMS = 500_000
+_RESOLVED = "high long, low long, id long, start int, stop int"
+
 
-    def batch_of(rows: list[tuple], family: SuffixFamily) -> pa.RecordBatch:
+def families(contexts: DataFrame, length: int) -> DataFrame:
+    """Rows (id, start, stop) of windows that one family has seen before, and, of grams with several families (``shared``), rows with the digest (high, low) of each window that is the first in its family."""
+
+    def batch_of(rows: list[tuple], family: SuffixFamily) -> Iterator[pa.RecordBatch]:
         raw = [r[3] for r in rows]
         counts = np.array([len(x) - length + 1 for x in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         base = np.cumsum([0, *map(len, raw)])[:-1]
         places = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[places]).view(f"S{length}").ravel()
-        row, a, b = _covered(raw, family.add(windows), counts)
-        ids, starts = np.array([r[1] for r in rows], np.int64)[row], np.array([r[2] for r in rows], np.int64)[row]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((starts + a).astype(np.int32)), pa.array((starts + b + length).astype(np.int32))], names=["id", "start", "stop"])
+        seen = family.add(windows)
+        row, a, b = _covered(raw, seen, counts)
+        ids, starts, shared = (np.array([r[k] for r in rows], t) for k, t in ((1, np.int64), (2, np.int64), (4, bool)))
+        none = pa.nulls(len(row), pa.int64())
+        yield _resolved(none, none, ids[row], starts[row] + a, starts[row] + b + length)
+        fresh = np.flatnonzero(np.repeat(shared, counts) & ~seen)
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            keys = np.frombuffer(b"".join(hashlib.blake2b(data[p : p + length].tobytes(), digest_size=16).digest() for p in places[some].tolist()), np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(len(rows)), counts)[some]
+            begin = starts[of] + places[some] - base[of]
+            yield _resolved(pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids[of], begin, begin + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, rows, size = SuffixFamily(), [], 0
         last = before = None
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r == before:  # of a repeated row
                     continue
                 before = r
+                key = r[0], r[5]
                 if size >= BATCH_WINDOWS:
-                    yield batch_of(rows, family)
-                    if r[0] != last:  # no window stands under two grams
+                    yield from batch_of(rows, family)
+                    if key != last:  # no window stands under two grams
                         family = SuffixFamily()
                     rows, size = [], 0
+                elif key != last and (r[4] or family.levels):  # families of one gram are kept apart
+                    if rows:
+                        yield from batch_of(rows, family)
+                    family, rows, size = SuffixFamily(), [], 0
                 rows.append(r)
                 size += len(r[3]) - length + 1
-                last = r[0]
+                last = key
         if rows:
-            yield batch_of(rows, family)
+            yield from batch_of(rows, family)
+
+    dealt = contexts.select("gram", "id", "start", "bytes", "shared", "family").repartition(parallelism(contexts.sparkSession), "gram", "family")
+    return map_batches(dealt.sortWithinPartitions("gram", "family", "id", "start", "bytes"), run, _RESOLVED)
+
+
+def _resolved(high, low, ids, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([high, low, pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["high", "low", "id", "start", "stop"])
 
-    tasks = parallelism(contexts.sparkSession)
-    return contexts.select("gram", "id", "start", "bytes").repartition(tasks, "gram").sortWithinPartitions("gram", "id", "start", "bytes").mapInArrow(run, "id long, start int, stop int")
+
+def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes, shared, family) that share a gram."""
+    found = staged(families(contexts, length), "suffix-families")
+    inside = found.where(F.col("high").isNull()).select("id", "start", "stop")
+    firsts = found.where(F.col("high").isNotNull())
+    # A window has one row here for each of its gram's families at most.
+    least = firsts.groupBy("high", "low").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    across = firsts.join(least, ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", "stop")
+    return inside.unionByName(across)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -264,21 +303,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     matched = staged(match(entries.where(F.col("kind") == ENTRY)), "suffix-matches")
     gone = entries.where(F.col("kind") == REMOVED).unionByName(matched.where(F.col("kind") == REMOVED)).select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
     open_ = matched.where(F.col("kind") == OPEN)
-    wanted = open_.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "length")).alias("wanted"))
-    near = picked(docs.select("id", "text"), "id", open_.select("id").distinct()).join(wanted, "id")
+    # Grams with very many contexts are dealt out to several families by a hash of the document.
+    hot = staged(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY_CONTEXTS), "suffix-hot-grams")
+    number = F.ceil(F.col("n") / FAMILY_CONTEXTS)
+    few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GRAMS else hot
+    dealt = open_.join(few, "gram", "left").withColumn("shared", F.col("n").isNotNull()).withColumn("family", F.coalesce(F.pmod(F.xxhash64("id"), number), F.lit(0)).cast("int"))
+    wanted = dealt.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "length", "shared", "family")).alias("wanted"))
+    near = picked(docs.select("id", "text"), "id", id_filter(open_.select("id"))).join(wanted, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                out = []
-                for i, text, want in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True):
-                    raw = (text or "").encode()
-                    out += [(w["gram"], i, w["start"], part) for w in want if len(part := raw[w["start"] : w["start"] + w["length"]]) == w["length"]]
-                for k in range(0, len(out), 20_000):
-                    columns = list(zip(*out[k : k + 20_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "start", "bytes"])
-
-    contexts = near.mapInArrow(cut, "gram long, id long, start int, bytes binary")
+        for batch in sliced(batches, 100):
+            out = []
+            for i, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = (text or "").encode()
+                out += [(w["gram"], i, w["start"], part, w["shared"], w["family"]) for w in want if len(part := raw[w["start"] : w["start"] + w["length"]]) == w["length"]]
+            for k in range(0, len(out), 20_000):
+                columns = list(zip(*out[k : k + 20_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()), strict=True)], names=["gram", "id", "start", "bytes", "shared", "family"])
+
+    contexts = map_batches(near, cut, "gram long, id long, start int, bytes binary, shared boolean, family int")
     return gone.unionByName(resolve(contexts, length))
 
 
@@ -291,16 +334,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
     docs = docs.select(kept_id, "text")
     ranges = staged(repeated_ranges(docs, length), "suffix-ranges")
-    words = id_filter(ranges.select("id"))
+    marks = id_filter(ranges.select("id"))
     by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    touched = picked(docs, "id", words).join(by_doc, "id", "left")
-    whole = picked(docs, "id", words, inside=False).withColumn("ranges", F.lit(None).cast(by_doc.schema["ranges"].dataType))
+    touched = picked(docs, "id", marks).join(by_doc, "id", "left")
+    whole = picked(docs, "id", marks, inside=False).withColumn("ranges", F.lit(None).cast(by_doc.schema["ranges"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
+        for batch in sliced(batches, 200):
+            if batch.num_rows:
                 out = []
-                for i, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     raw = (text or "").encode()
                     spans: list[list[int]] = []
                     for a, b in sorted((r["start"], min(r["stop"], len(raw))) for r in found or ()):
@@ -315,4 +358,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return touched.mapInArrow(run, schema).unionByName(whole.mapInArrow(run, schema))
+    return map_batches(touched, run, schema).unionByName(map_batches(whole, run, schema))
