@@ -8,6 +8,7 @@ counted in bounded parts, so a length that a third of all pieces have is no hot
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -18,18 +19,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import map_batches, per_worker, sliced, staged
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows ranked by one task within a length.
 ROWS_PER_RANK_TASK = 50_000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS, _CACHE_PARTS = 100_000, 250_000
 _MARK = "\x01"
+#: Texts of white space, digits, letters that lower-casing and composition treat alike everywhere, and ASCII signs without the apostrophe. They fall into runs of letters, single digits and runs of signs.
+_SIMPLE = re.compile(r"[ \n\t\rA-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers. The tokenizer drops white space, so the words between blanks are encoded once and remembered; new words of a batch are encoded in one call."""
+    """Token ids of texts as little-endian 32-bit numbers.
+
+    Simple texts are taken apart here, and new parts given to the merges alone. In other texts, as the tokenizer drops white space, the words between blanks are encoded once and remembered; the new words of a batch are
+    encoded in one call.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -37,12 +52,24 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.parts = per_worker(f"tokenizer {path}", lambda: Tokenizer.from_file(path)), {"": b""}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        # Parts may be given to the merges only if the whole tokenizer makes the same of them.
+        trial = ["word", "Ünïcöde", "ßÿ", "a.b,c!!", "(x) 42", "#a_b\n1x2"]
+        self.direct = all(b"".join(map(self._part, _PARTS.findall(t.lower()))) == np.array(self._encode(t), "<u4").tobytes() for t in trial)
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = [t.id for t in self.model.tokenize(letters)]
+            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if _MARK not in w and len(w) <= 64]
         # Words in one text, a mark after each; the mark's id comes from nothing else.
@@ -64,11 +91,19 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.known) > _CACHE_WORDS:
             self.known = {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws}.difference(self.known)
-        self._learn(list(new))
-        for ws in split:
-            yield b"".join(map(self.known.__getitem__, ws))
+        if len(self.parts) > _CACHE_PARTS:
+            self.parts = {}
+        simple = [self.direct and _SIMPLE.fullmatch(t or "") is not None and "<|" not in (t or "") for t in texts]
+        split = [None if plain else (t or "").replace("\n", " ").split(" ") for t, plain in zip(texts, simple, strict=True)]
+        self._learn(list({w for ws in split if ws is not None for w in ws}.difference(self.known)))
+        for t, ws in zip(texts, split, strict=True):
+            if ws is not None:
+                yield b"".join(map(self.known.__getitem__, ws))
+                continue
+            parts = _PARTS.findall((t or "").lower())
+            for p in set(parts).difference(self.parts):
+                self._part(p)
+            yield b"".join(map(self.parts.__getitem__, parts))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -76,21 +111,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), struct.pack("<I", end_id)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep, rows = [], []
-                for k, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    raw += end
-                    for i, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        keep.append(k)
-                        rows.append((i, a // 4, len(piece := raw[a : a + 4 * capacity]) // 4, zlib.crc32(piece)))
-                columns = list(zip(*rows, strict=True))
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        encoder, end = None, struct.pack("<I", end_id)
+        for part in sliced(batches, 256):
+            encoder = encoder or Encoder(tokenizer)
+            keep, rows = [], []
+            for k, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
+                raw += end
+                for i, a in enumerate(range(0, len(raw), 4 * capacity)):
+                    keep.append(k)
+                    rows.append((i, a // 4, len(piece := raw[a : a + 4 * capacity]) // 4, zlib.crc32(piece)))
+            columns = list(zip(*rows, strict=True))
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return map_batches(docs.select("doc_id", "text"), cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -171,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             j = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-2]], pa.array(run[:, 2] + j // run[:, 3]), pa.array(run[:, 4] + j % run[:, 3] * length)], names=names)
 
-    return ranked.select(*cut.columns, "rank").mapInArrow(place, ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long")
+    return map_batches(ranked.select(*cut.columns, "rank"), place, ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long")
