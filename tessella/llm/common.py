@@ -39,6 +39,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Stages tables, and deletes them once what was made from them has been written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            discard(self.tables.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     spark = df.sparkSession

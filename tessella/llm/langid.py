@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches, sliced
+
 PROFILE = 300
 #: Expected rows of each language that profiles are learned from.
 TRAIN_ROWS = 3000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 
 
 def _grams(word: str) -> list[str]:
@@ -59,7 +61,7 @@ class Counts:
 
 def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, sums = Counts(), {}
-    for batch in batches:
+    for batch in sliced(batches, 500):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text is not None and (got := counts.count(text)):
                 total = sums.setdefault(lang, Counter())
@@ -77,7 +79,7 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, length: int = PROFILE)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, train_rows / n)).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < share * 2**30).select("lang", "text")
-    counted = picked.mapInArrow(_batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(picked, _batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= length)
     profiles: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "rank").collect():
@@ -126,12 +128,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], length: int = PROF
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(shared.value, length)
-        for batch in batches:
+        for batch in sliced(batches, 500):
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-            if len(model.counts.number) > 2_000_000:  # the numbers of rare n-grams are forgotten now and then
+            if len(model.counts.number) > 300_000:  # the numbers of rare n-grams are forgotten now and then
                 model = Profiles(shared.value, length)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return map_batches(docs, predict, f"{fields}, lang_pred string, score double")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, picked, staged
+from .common import NO_ID, discard, id_filter, map_batches, picked, sliced, staged
 from .components import components
 
 SHINGLE = 3
@@ -32,7 +32,7 @@ THRESHOLD = (90, 100)
 #: Counters of the frequency sketch (one byte each when it is shared).
 SKETCH = 1 << 22
 PIVOTS = 16
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 300_000
 
 
 class Shingler:
@@ -69,26 +69,36 @@ def _slots(sets: np.ndarray, sketch: int) -> np.ndarray:
     return (sets & np.int64(sketch - 1)).astype(np.int64)
 
 
+#: Counters that travel as one row.
+BLOCK = 1 << 16
+
+
 def frequencies(docs: DataFrame, size: int, sketch: int = SKETCH) -> np.ndarray:
     """For each counter the logarithm (base 2, in quarters) of the number of documents that have one of its shingles. Bounded: one number a counter, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(size), np.zeros(sketch, np.uint32)
+        for batch in sliced(batches, 2000):
+            slots = np.concatenate([_slots(shingler.shingles(t), sketch) for t in batch.column(0).to_pylist()])
+            total += np.bincount(slots, minlength=sketch).astype(np.uint32)
+        if total.any():
+            for block, part in enumerate(np.split(total, sketch // BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [shingler.shingles(t) for t in batch.column(0).to_pylist()]
-            if sets:
-                total += np.bincount(_slots(np.concatenate(sets), sketch), minlength=sketch).astype(np.uint32)
-        # 64 rows of counters, added up in Spark.
-        for part, row in enumerate(np.split(total, 64)):
-            used = np.flatnonzero(row)
-            for at in range(0, len(used), 65536):
-                some = used[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array((some + part * len(row)).astype(np.int32)), pa.array(row[some].astype(np.int64))], names=["slot", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).select("slot", F.least(F.floor(4 * F.log2(F.col("n") + 1)), F.lit(255)).cast("short").alias("n"))
-    got = counted.toArrow()
-    out = np.zeros(sketch, np.uint8)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(raw.as_buffer(), np.uint32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.uint64)
+        for block, x in sums.items():
+            ranks = np.minimum(np.floor(4 * np.log2(x + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["block", "counts"])
+
+    schema, out = "block int, counts binary", np.zeros(sketch, np.uint8)
+    added = map_batches(map_batches(docs.select("text"), count, schema).repartition(sketch // BLOCK, "block"), add, schema)
+    for row in added.collect():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
@@ -103,7 +113,7 @@ def profiles(docs: DataFrame, rank: np.ndarray, size: int, threshold: tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank = Shingler(size), shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             rows = []
             for t in batch.column(1).to_pylist():
                 s = shingler.shingles(t)
@@ -123,7 +133,7 @@ def profiles(docs: DataFrame, rank: np.ndarray, size: int, threshold: tuple[int,
                 names=["id", "n", "digest", "prefix", "pivots"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, digest long, prefix array<long>, pivots array<int>")
+    return map_batches(docs.select("id", "text"), run, "id long, n int, digest long, prefix array<long>, pivots array<int>")
 
 
 def _overlap(threshold: tuple[int, int], a: str = "n", b: str = "m"):
@@ -142,17 +152,15 @@ def _possible(threshold: tuple[int, int]):
 def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are similar enough, by their whole sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = picked(docs, "id", ids)
+    near = picked(docs, "id", id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingler.shingles(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+        for batch in sliced(batches, 64):
+            sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    sets = near.select("id", "text").mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    sets = map_batches(near.select("id", "text"), run, "id long, set array<long>").join(ids, "id", "left_semi")
     both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     sized = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
@@ -167,10 +175,13 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
     rank = frequencies(docs, size)
     rows = staged(profiles(docs, rank, size, threshold), "join-profiles")
     nodes = staged(rows.where(F.col("n") > 0).groupBy("digest", "n").agg(F.min("id").alias("node"), F.min_by("prefix", "id").alias("prefix"), F.min_by("pivots", "id").alias("pivots")), "join-nodes")
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "shingle"))
+    # Most shingles stand in one node only. They go first, by their hash alone, as every column of such a row would cost more than what is left.
+    entries = nodes.select("node", F.posexplode("prefix").alias("i", "shingle"), "n").select("shingle", "node", (F.col("i") * F.lit(2**32) + F.col("n")).alias("place"))
+    twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("shingle")
+    shared = entries.join(twice, "shingle", "left_semi").select("shingle", "node", (F.col("place") % 2**32).cast("int").alias("n"), F.shiftright("place", 32).cast("int").alias("i"))
+    shared = staged(shared, "join-entries")
     # The hub of a shingle is the node in which it stands first; ties: the smaller set, then the smaller id.
-    hubs = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("i", "n", "node")).alias("hub")).where(F.col("members") > 1)
-    shared = staged(entries.join(hubs, "shingle"), "join-entries")
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "n", "node")).alias("hub"))
     node = nodes.select("node", "pivots")
 
     def suffix_filtered(pairs: DataFrame) -> DataFrame:
@@ -185,13 +196,14 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         return suffix_filtered(pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n", "m").alias("n"), pick("m", "n").alias("m")).distinct())
 
-    star = shared.select(F.col("node").alias("a"), "n", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j")).where(F.col("a") != F.col("b")).where(_possible(threshold))
+    star = shared.join(hubs, "shingle").select(F.col("node").alias("a"), "n", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j")).where(F.col("a") != F.col("b")).where(_possible(threshold))
     first = staged(of(star), "join-star-pairs")
     links = staged(verified(docs, first, size, threshold), "join-star-links")
     found = components(links)
 
     labelled = shared.select("shingle", "node", "n", "i").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = staged(labelled, "join-labelled")
+    discard(shared)
     # Within a shingle only pairs of different components matter, so one of the two is outside the shingle's largest component.
     sizes = labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1).drop("parts")
@@ -199,10 +211,9 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
     right = mixed.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
     rest = mixed.where(F.col("component") != F.col("major")).withColumnRenamed("node", "a").join(right, "shingle").where((F.col("component") != F.col("other")) & _possible(threshold))
     second = staged(of(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest-pairs")
-    if second.isEmpty():
-        classes = found
-    else:
-        classes = components(links.unionByName(verified(docs, second, size, threshold)))
+    classes = found if second.isEmpty() else components(links.unionByName(verified(docs, second, size, threshold)))
+    for done in (first, links, labelled, second):
+        discard(done)
     classes = nodes.select("digest", "n", "node").join(classes, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
     return rows.select("id", "n", "digest").join(classes, ["digest", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
