@@ -10,18 +10,18 @@ Nothing is grouped by term but counts, which are combined before the shuffle, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, staged
+from .common import Scratch, ascii_lower, let, staged
 
 # Fixed value: what separates words, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms whose shifted postings are intersected before words are compared.
 RAREST = 3
-#: Rows of a look-up table that is broadcast (under 100 bytes each); larger ones are shuffled, where adaptive execution splits skewed terms.
-MAX_BROADCAST_ROWS = 500_000
+#: Rows of a look-up table that is broadcast (under 200 bytes each), and of the table with the windows themselves (under 2 KB each); larger ones are shuffled, where adaptive execution splits skewed terms.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_WINDOWS = 200_000, 20_000
 
 
 def words(text: Column) -> Column:
@@ -29,8 +29,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS, -1), lambda w: w != "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -57,9 +57,9 @@ def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return wins.join(by_window.where(F.col("least") > 0), ["item", "first"]).drop("least").withColumn("anchors", anchors)
 
 
-def alignments(postings: DataFrame, wins: DataFrame) -> DataFrame:
+def alignments(postings: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFrame:
     """item, anchors, doc and delta (the place of the item's word 0) where the shifted postings of all anchors meet."""
-    groups = staged(wins.select("item", "anchors").distinct().withColumn("anchor_id", F.xxhash64("item", "anchors")), "decontam-anchors")
+    groups = scratch(wins.select("item", "anchors").distinct().withColumn("anchor_id", F.xxhash64("item", "anchors")), "decontam-anchors")
     n = groups.count()
     met = None
     for k in range(RAREST):
@@ -72,26 +72,27 @@ def alignments(postings: DataFrame, wins: DataFrame) -> DataFrame:
             same = [met[c] == shifted[c] for c in key] + [met["doc"].eqNullSafe(shifted["doc"])]
             there = met.join(shifted, same, "left_semi")
             # Windows of fewer words have fewer anchors.
-            met = there.unionByName(met.join(F.broadcast(groups.where(F.size("anchors") <= k).select("anchor_id")), "anchor_id", "left_semi").select(met.columns))
+            met = there.unionByName(met.join(_small(groups.where(F.size("anchors") <= k).select("anchor_id"), n), "anchor_id", "left_semi").select(met.columns))
     return met.distinct()
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """doc, text_hash, item, first, start and length (words) of each place in ``docs`` where a window of ``benchmark`` stands.
 
     Rows that share a doc_id are told apart by text_hash. Null texts and ids: a null text has no words; a null doc_id is an id like others; a null item_id has no name and is left out.
     """
-    wins = staged(windows(benchmark.where(F.col("item_id").isNotNull()), size), "decontam-windows")
+    scratch = scratch or Scratch()
+    wins = scratch(windows(benchmark.where(F.col("item_id").isNotNull()), size), "decontam-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
-    postings = staged(index(docs, terms, terms.count()), "decontam-postings")
-    looked = staged(lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "decontam-lookups")
-    found = alignments(postings, looked)
-    candidates = staged(found, "decontam-candidates")
+    postings = scratch(index(docs, terms, terms.count()), "decontam-postings")
+    looked = scratch(lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "decontam-lookups")
+    found = alignments(postings, looked, scratch)
+    candidates = scratch(found, "decontam-candidates")
     some = candidates.select("doc").distinct()
     mine = docs.select(F.col("doc_id").alias("doc"), "text").join(some.withColumnRenamed("doc", "__doc"), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi")
     hashed = mine.select("doc", F.xxhash64("text").alias("text_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w"))
     by_anchor = looked.withColumn("anchor_id", F.xxhash64("item", "anchors")).groupBy("anchor_id").agg(F.collect_list(F.struct("first", "terms")).alias("wins"))
-    here = candidates.withColumnRenamed("doc", "__doc").join(_small(by_anchor, by_anchor.count()), "anchor_id")
+    here = candidates.withColumnRenamed("doc", "__doc").join(_small(by_anchor, by_anchor.count(), MAX_BROADCAST_WINDOWS), "anchor_id")
     pairs = here.join(hashed, F.col("__doc").eqNullSafe(F.col("doc")))
     start = lambda w: F.col("delta") + w["first"]
     fit = F.filter("wins", lambda w: (start(w) >= 0) & (F.slice("w", F.greatest(start(w), F.lit(0)) + 1, F.size(w["terms"])) == w["terms"]))
@@ -119,7 +120,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``; an empty table gives an empty result."""
-    hits = staged(exact_matches(docs, benchmark, size), "decontam-hits")
+    scratch = Scratch()
+    hits = staged(exact_matches(docs, benchmark, size, scratch), "decontam-hits")
+    scratch.clear()
     places = hits.select("doc", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = places.groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
