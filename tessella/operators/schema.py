@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import types as ty
-from ..functions.types import SqlType
 from ..plans import ast as A
 from ..plans.lower import ROW_ID
 from ..sources.tables import Column, Index, Store, Version
@@ -226,7 +225,3 @@ def _any_null(columns: tuple[str, ...]) -> SparkColumn:
     for c in columns:
         out = out | F.col(f"`{c}`").isNull()
     return out
-
-
-def type_text(kind: SqlType) -> str:
-    return str(kind)
