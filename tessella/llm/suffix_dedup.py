@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_filter, map_batches, parallelism, picked, sliced, staged
+from .common import NO_ID, Scratch, id_filter, map_batches, parallelism, picked, sliced, staged
 
 LENGTH = 100
 GRAM = 24
@@ -286,9 +286,9 @@ def _resolved(high, low, ids, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([high, low, pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["high", "low", "id", "start", "stop"])
 
 
-def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+def resolve(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes, shared, family) that share a gram."""
-    found = staged(families(contexts, length), "suffix-families")
+    found = scratch(families(contexts, length), "suffix-families")
     inside = found.where(F.col("high").isNull()).select("id", "start", "stop")
     firsts = found.where(F.col("high").isNotNull())
     # A window has one row here for each of its gram's families at most.
@@ -297,14 +297,14 @@ def resolve(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     return inside.unionByName(across)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """id, start, stop: all bytes that a window covers which starts earlier too, as ranges that may overlap. ``docs``: id (long, not null) and text."""
-    entries = staged(index(docs, length), "suffix-entries")
-    matched = staged(match(entries.where(F.col("kind") == ENTRY)), "suffix-matches")
+    entries = scratch(index(docs, length), "suffix-entries")
+    matched = scratch(match(entries.where(F.col("kind") == ENTRY)), "suffix-matches")
     gone = entries.where(F.col("kind") == REMOVED).unionByName(matched.where(F.col("kind") == REMOVED)).select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
     open_ = matched.where(F.col("kind") == OPEN)
     # Grams with very many contexts are dealt out to several families by a hash of the document.
-    hot = staged(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY_CONTEXTS), "suffix-hot-grams")
+    hot = scratch(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY_CONTEXTS), "suffix-hot-grams")
     number = F.ceil(F.col("n") / FAMILY_CONTEXTS)
     few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GRAMS else hot
     dealt = open_.join(few, "gram", "left").withColumn("shared", F.col("n").isNotNull()).withColumn("family", F.coalesce(F.pmod(F.xxhash64("id"), number), F.lit(0)).cast("int"))
@@ -322,7 +322,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()), strict=True)], names=["gram", "id", "start", "bytes", "shared", "family"])
 
     contexts = map_batches(near, cut, "gram long, id long, start int, bytes binary, shared boolean, family int")
-    return gone.unionByName(resolve(contexts, length))
+    return gone.unionByName(resolve(contexts, length, scratch))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -333,7 +333,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     kept_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
     docs = docs.select(kept_id, "text")
-    ranges = staged(repeated_ranges(docs, length), "suffix-ranges")
+    scratch = Scratch()
+    ranges = staged(repeated_ranges(docs, length, scratch), "suffix-ranges")
+    scratch.clear()
     marks = id_filter(ranges.select("id"))
     by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     touched = picked(docs, "id", marks).join(by_doc, "id", "left")
