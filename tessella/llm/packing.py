@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_worker, sliced, staged
+from .common import map_batches, parallelism, per_worker, sliced, staged
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows ranked by one task within a length.
-ROWS_PER_RANK_TASK = 50_000
+ROWS_PER_RANK_TASK, LEAST_RANK_ROWS = 50_000, 200
 _CACHE_WORDS, _CACHE_PARTS = 100_000, 250_000
 _MARK = "\x01"
 #: Texts of white space, digits, letters that lower-casing and composition treat alike everywhere, and ASCII signs without the apostrophe. They fall into runs of letters, single digits and runs of signs.
@@ -184,7 +184,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     cut = staged(pieces(docs, tokenizer, capacity, end_id), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(histogram, capacity)
-    parts = max(1, -(-max(histogram.values(), default=1) // ROWS_PER_RANK_TASK))
+    # No task ranks more than its share, nor more than ROWS_PER_RANK_TASK rows of a length.
+    share = max(LEAST_RANK_ROWS, min(ROWS_PER_RANK_TASK, sum(histogram.values()) // parallelism(docs.sparkSession)))
+    parts = max(1, -(-max(histogram.values(), default=1) // share))
     salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     starts = (
         salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
