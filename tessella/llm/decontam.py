@@ -46,9 +46,9 @@ def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return tokens.select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"), "doc", "place").join(_small(terms, n_terms), "term", "left_semi")
 
 
-def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
+def lookups(wins: DataFrame, counts: DataFrame, n_terms: int) -> DataFrame:
     """``wins`` with ``anchors``: the RAREST rarest terms (term, its place in the item), rarest first. Windows with a term that the corpus lacks are gone."""
-    terms = wins.select("item", "first", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    terms = wins.select("item", "first", F.posexplode("terms").alias("offset", "term")).join(_small(counts, n_terms), "term", "left")
     by_window = terms.groupBy("item", "first").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"),
         F.slice(F.sort_array(F.collect_list(F.struct("n", (F.col("first") + F.col("offset")).alias("at"), "term"))), 1, RAREST).alias("anchors"),
@@ -84,8 +84,9 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scr
     scratch = scratch or Scratch()
     wins = scratch(windows(benchmark.where(F.col("item_id").isNotNull()), size), "decontam-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
-    postings = scratch(index(docs, terms, terms.count()), "decontam-postings")
-    looked = scratch(lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "decontam-lookups")
+    n_terms = terms.count()
+    postings = scratch(index(docs, terms, n_terms), "decontam-postings")
+    looked = scratch(lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), n_terms), "decontam-lookups")
     found = alignments(postings, looked, scratch)
     candidates = scratch(found, "decontam-candidates")
     some = candidates.select("doc").distinct()
@@ -107,8 +108,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """
     wins = staged(windows(benchmark.where(F.col("item_id").isNotNull()), size), "proximity-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
-    postings = staged(index(docs, terms, terms.count()), "proximity-postings")
-    looked = lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))).select("item", "first", "terms", F.col("anchors")[0]["term"].alias("term"))
+    n_terms = terms.count()
+    postings = staged(index(docs, terms, n_terms), "proximity-postings")
+    looked = lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), n_terms).select("item", "first", "terms", F.col("anchors")[0]["term"].alias("term"))
     near = postings.join(F.broadcast(looked) if looked.count() <= MAX_BROADCAST_ROWS else looked, "term")
     hashed = docs.select(F.col("doc_id").alias("__doc"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w"))
     reach = F.size("terms") + slop
