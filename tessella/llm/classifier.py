@@ -4,7 +4,7 @@ One zstandard dictionary is built from texts labelled good and one from texts la
 divided by the text's own size, says which texts it resembles. A logistic curve through the differences of the labelled texts that went into neither dictionary makes a probability of it.
 
 The fit uses a bounded sample of the labelled rows: each label's rows are thinned by a hash of the id to ``TRAIN_ROWS`` expected rows, half of them for the dictionaries and half for
-the curve. Scoring is a map over whole texts.
+the curve. The dictionaries hold whole texts; the curve is fitted on whole texts too, which stay on the executors. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, sliced
+from .common import discard, map_batches, sliced, staged
 
 #: Expected rows of each label in the sample.
 TRAIN_ROWS = 3000
-#: Bytes of a sampled text that go into a dictionary (texts are scored whole), and of a dictionary.
-SAMPLE_BYTES, DICT_BYTES = 2000, 112_640
+#: Expected bytes of the larger dictionary at most. Where the sampled texts are longer, fewer rows go in, at one rate for both labels; no text is cut.
+DICT_BYTES = 1 << 24
 LEVEL = 9
 
 
@@ -65,11 +65,8 @@ def _logistic(x: float) -> float:
 
 
 def _content(texts: list[str]) -> bytes:
-    """An equal share of each text, up to the dictionary's size."""
-    if not texts:
-        return b" " * 8
-    share = max(64, min(SAMPLE_BYTES, DICT_BYTES // len(texts)))
-    return b"\n".join(t.encode()[:share] for t in texts)[:DICT_BYTES].ljust(8)
+    """The whole texts, one after the other."""
+    return "\n".join(texts).encode().ljust(8)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -97,16 +94,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     share = F.when(F.col("label") == 1, min(1.0, train_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, train_rows / max(1, sizes.get(0, 0))))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) / 2**30
     few = labels.withColumns({"unit": unit, "share": share}).where(F.col("unit") < F.col("share"))
-    texts = docs.where(F.col("text") != "").select("doc_id", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"))
-    picked = texts.join(F.broadcast(few.select("doc_id", "label", "unit", "share")), "doc_id").groupBy("doc_id", "label", "unit", "share").agg(F.min("text").alias("text"))
-    sample = sorted((r["doc_id"], r["label"], r["text"], r["unit"] < r["share"] / 2) for r in picked.collect())
-    good, bad = ([t for _, y, t, first in sample if y == label and first] for label in (1, 0))
+    texts = docs.where(F.col("text") != "").select("doc_id", "text")
+    joined = texts.join(F.broadcast(few.select("doc_id", "label", "unit", "share")), "doc_id").groupBy("doc_id", "label", "unit", "share").agg(F.min("text").alias("text"))
+    sample = staged(joined, "classifier-sample")
+    halves = F.col("unit") < F.col("share") / 2
+    bytes_of = [r["n"] for r in sample.where(halves).groupBy("label").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()]
+    rate = min(1.0, DICT_BYTES / max([1, *bytes_of]))
+    chosen = sorted((r["doc_id"], r["label"], r["text"]) for r in sample.where(F.col("unit") < F.col("share") / 2 * rate).select("doc_id", "label", "text").collect())
+    good, bad = ([t for _, y, t in chosen if y == label] for label in (1, 0))
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     model = Model(_content(good), _content(bad), 0.0, math.log(prior / (1 - prior)), prior)
-    held = [(t, y) for _, y, t, first in sample if not first]
-    if good and bad and {y for _, y in held} == {0, 1}:
-        scorer = Scorer(model)
-        x, y = np.array([scorer.difference(t) for t, _ in held]), np.array([float(y) for _, y in held])
+    held = sorted(map(tuple, _differences(sample.where(~halves).select("doc_id", "label", "text"), model).collect())) if good and bad else []
+    discard(sample)
+    if {y for _, y, _ in held} == {0, 1}:
+        x, y = np.array([d for _, _, d in held]), np.array([float(y) for _, y, _ in held])
         model.slope, model.offset = _curve(x, y)
         # The sample has other shares of good and bad than the rows.
         taken = y.mean()
@@ -114,6 +115,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return model
 
 
+def _differences(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, label and the difference of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(*shared.value))
+        for batch in sliced(batches, 500):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer.difference(t) for t in batch.column(2).to_pylist()], pa.float64())], names=["doc_id", "label", "difference"])
+
+    return map_batches(rows, run, ", ".join(f"{n} {t}" for n, t in rows.dtypes[:2]) + ", difference double")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score; a column of this name is replaced. Null and empty texts get the share of good rows; equal texts are scored alike; an empty table gives an empty result."""
     docs = docs.drop("score")

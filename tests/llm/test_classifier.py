@@ -1,6 +1,7 @@
+import random
 import zlib
 
-from cases import empty
+from cases import empty, frame, words
 from pyspark.sql import functions as F
 
 from tessella.llm import classifier
@@ -29,3 +30,18 @@ def test_awkward_rows(spark, docs):
     assert classifier.score(empty(spark), model).count() == 0
     for few in (labels.where("false"), labels.where("label = 1"), labels.limit(1)):
         assert all(0 <= r["score"] <= 1 for r in classifier.score(docs, classifier.fit(docs, few)).collect())
+
+
+def test_signal_beyond_the_start(spark):
+    """All texts start alike; what tells the labels apart comes after 3,000 characters."""
+    rnd = random.Random(3)
+    start = words(rnd, 900)
+    assert len(start) > 3000
+    vocabulary = [[words(rnd, 4) for _ in range(60)] for _ in range(2)]
+    rows = [(i, start + " " + " ".join(rnd.choice(vocabulary[i % 2]) for _ in range(40)), None, None, None, 0.0, 0, 0, "") for i in range(160)]
+    df = frame(spark, rows)
+    model = classifier.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")))
+    whole = [[r[1].encode() in d for r in rows if r[0] % 2 == y] for y, d in ((1, model.good), (0, model.bad))]
+    assert all(sum(x) >= 20 for x in whole)
+    got = {r["doc_id"]: r["score"] for r in classifier.score(df, model).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
