@@ -60,6 +60,17 @@ def _least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _anchors(grams: np.ndarray, w: int, span: int = int(_PLACE) + 1) -> np.ndarray:
+    """Place of the least of every w neighbours by all bits above the place's; of equal ones the first. Segments of ``span`` places overlap by w - 1, so a place fits its bits however many there are."""
+    n, step = len(grams) - w + 1, span - w + 1
+    out = np.empty(n, np.int64)
+    for at in range(0, n, step):
+        part = grams[at : at + span]
+        keys = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
+        out[at : at + step] = (_least(keys, w) & _PLACE).astype(np.int64) + at
+    return out
+
+
 class Anchors:
     """Entries of a buffer of documents."""
 
@@ -78,8 +89,7 @@ class Anchors:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[data] * self.up[:n], out=sums[1:])
         grams = _mix((sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1])
-        keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (_least(keys, length - gram + 1) & _PLACE).astype(np.int64)
+        anchor = _anchors(grams, length - gram + 1)
         ends = np.cumsum(sizes)
         # A window is one of a document if it ends in the document in which it starts.
         valid = np.zeros(len(anchor) + 1, bool)

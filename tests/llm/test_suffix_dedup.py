@@ -84,3 +84,23 @@ def test_least():
     for n, w in ((10, 3), (77, 77), (500, 77), (154, 77)):
         x = rnd.integers(0, 50, n).astype(np.uint64)
         assert (sd._least(x, w) == [x[i : i + w].min() for i in range(n - w + 1)]).all()
+
+
+def test_anchors_of_segments():
+    x = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
+    whole = sd._anchors(x, 77)
+    assert all((sd._anchors(x, 77, span) == whole).all() for span in (77, 78, 500, 4999, 5000))
+
+
+def test_text_over_16_mib():
+    """A passage beyond byte 2 ** 24 has the entries that it has in a text of its own."""
+    rnd = np.random.default_rng(2)
+    passage = rnd.integers(97, 123, 600, dtype=np.uint8).tobytes()
+    before = rnd.integers(97, 123, 2**24 + 2000, dtype=np.uint8).tobytes()
+    find = lambda text: sd.Anchors().entries([text], np.array([1]))
+    gram, context, _, start, size, _ = find(before + passage)
+    alone = find(passage)
+    far = start >= len(before)
+    entries = set(zip(gram[far].tolist(), context[far].tolist(), (start[far] - len(before)).tolist(), size[far].tolist(), strict=True))
+    inner = set(zip(*(alone[k].tolist() for k in (0, 1, 3, 4)), strict=True))
+    assert len(inner) >= 5 and len(inner - entries) <= 1  # the first context may begin before the passage
