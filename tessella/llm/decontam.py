@@ -34,10 +34,11 @@ def _small(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS) -> DataFram
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """item, first (place of the window in its item) and terms (hashes) of every window; items without words have none."""
+    """text_key, item, first (place of the window in its text) and terms (hashes) of every window; texts without words have none. text_key tells apart the texts that share an item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w")).where(F.size("w") > 0)
+    items = items.withColumn("text_key", F.xxhash64("item", "w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    return items.select("item", "w", F.explode(starts).alias("first")).select("item", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
+    return items.select("text_key", "item", "w", F.explode(starts).alias("first")).select("text_key", "item", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
 
 
 def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -47,28 +48,28 @@ def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 
 def lookups(wins: DataFrame, counts: DataFrame, n_terms: int) -> DataFrame:
-    """``wins`` with ``anchors``: the RAREST rarest terms (term, its place in the item), rarest first. Windows with a term that the corpus lacks are gone."""
-    terms = wins.select("item", "first", F.posexplode("terms").alias("offset", "term")).join(_small(counts, n_terms), "term", "left")
-    by_window = terms.groupBy("item", "first").agg(
+    """``wins`` with ``anchors``: the RAREST rarest terms (term, its place in the text), rarest first. Windows with a term that the corpus lacks are gone."""
+    terms = wins.select("text_key", "first", F.posexplode("terms").alias("offset", "term")).join(_small(counts, n_terms), "term", "left")
+    by_window = terms.groupBy("text_key", "first").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"),
         F.slice(F.sort_array(F.collect_list(F.struct("n", (F.col("first") + F.col("offset")).alias("at"), "term"))), 1, RAREST).alias("anchors"),
     )
     anchors = F.transform("anchors", lambda a: F.struct(a["term"].alias("term"), a["at"].alias("at")))
-    return wins.join(by_window.where(F.col("least") > 0), ["item", "first"]).drop("least").withColumn("anchors", anchors)
+    return wins.join(by_window.where(F.col("least") > 0), ["text_key", "first"]).drop("least").withColumn("anchors", anchors)
 
 
 def alignments(postings: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFrame:
-    """item, anchors, doc and delta (the place of the item's word 0) where the shifted postings of all anchors meet."""
-    groups = scratch(wins.select("item", "anchors").distinct().withColumn("anchor_id", F.xxhash64("item", "anchors")), "decontam-anchors")
+    """anchor_id, doc and delta (the place of the benchmark text's word 0) where the shifted postings of all anchors meet."""
+    groups = scratch(wins.select("text_key", "anchors").distinct().select(F.xxhash64("text_key", "anchors").alias("anchor_id"), "anchors"), "decontam-anchors")
     n = groups.count()
     met = None
     for k in range(RAREST):
-        asked = groups.where(F.size("anchors") > k).select("item", "anchor_id", F.col("anchors")[k]["term"].alias("term"), F.col("anchors")[k]["at"].alias("at"))
-        shifted = postings.join(_small(asked, n), "term").select("anchor_id", "item", "doc", (F.col("place") - F.col("at")).alias("delta"))
+        asked = groups.where(F.size("anchors") > k).select("anchor_id", F.col("anchors")[k]["term"].alias("term"), F.col("anchors")[k]["at"].alias("at"))
+        shifted = postings.join(_small(asked, n), "term").select("anchor_id", "doc", (F.col("place") - F.col("at")).alias("delta"))
         if met is None:
             met = shifted
         else:
-            key = ["anchor_id", "item", "delta"]
+            key = ["anchor_id", "delta"]
             same = [met[c] == shifted[c] for c in key] + [met["doc"].eqNullSafe(shifted["doc"])]
             there = met.join(shifted, same, "left_semi")
             # Windows of fewer words have fewer anchors.
@@ -92,7 +93,7 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scr
     some = candidates.select("doc").distinct()
     mine = docs.select(F.col("doc_id").alias("doc"), "text").join(some.withColumnRenamed("doc", "__doc"), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi")
     hashed = mine.select("doc", F.xxhash64("text").alias("text_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w"))
-    by_anchor = looked.withColumn("anchor_id", F.xxhash64("item", "anchors")).groupBy("anchor_id").agg(F.collect_list(F.struct("first", "terms")).alias("wins"))
+    by_anchor = looked.withColumn("anchor_id", F.xxhash64("text_key", "anchors")).groupBy("anchor_id").agg(F.min("item").alias("item"), F.collect_list(F.struct("first", "terms")).alias("wins"))
     here = candidates.withColumnRenamed("doc", "__doc").join(_small(by_anchor, by_anchor.count(), MAX_BROADCAST_WINDOWS), "anchor_id")
     pairs = here.join(hashed, F.col("__doc").eqNullSafe(F.col("doc")))
     start = lambda w: F.col("delta") + w["first"]

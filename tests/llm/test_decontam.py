@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from cases import documents, empty, frame
@@ -61,3 +62,14 @@ def test_proximity(spark):
     got = {r["doc"] for r in decontam.proximity_matches(df, bench, slop=3).collect()}
     assert got == {1, 2}
     assert {r["doc"] for r in decontam.exact_matches(df, bench).collect()} == set()
+
+
+def test_texts_that_share_an_item(spark):
+    """Item ids repeat with other texts: one with words that the corpus lacks, one whose words are rarer, and one whose windows are cut alike."""
+    rnd = random.Random(4)
+    many = [" ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rnd.randint(0, 9)) for _ in range(20)) for _ in range(5)]
+    bench = [(0, many[0]), (0, "words that no document of the corpus has at all anywhere in it or near"), (1, many[1]), (1, many[2]), (1, many[2]), (2, many[3]), (2, many[3] + " more")]
+    rows = [(i, "head " + t + " tail", None, None, None, 0.0, 0, 0, "") for i, t in enumerate([*many, many[0] + " " + many[1], many[2] + " " + many[1]])]
+    got = decontam.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute([r[:2] for r in rows], bench))
+    assert sum(r["contaminated"] for r in got) == 6
