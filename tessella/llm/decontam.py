@@ -80,10 +80,10 @@ def alignments(postings: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFr
 def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """doc, text_hash, item, first, start and length (words) of each place in ``docs`` where a window of ``benchmark`` stands.
 
-    Rows that share a doc_id are told apart by text_hash. Null texts and ids: a null text has no words; a null doc_id is an id like others; a null item_id has no name and is left out.
+    Rows that share a doc_id are told apart by text_hash. Null texts and ids: a null text has no words; a null doc_id is an id like others; a null item_id is a null item, whose words count as others' do.
     """
     scratch = scratch or Scratch()
-    wins = scratch(windows(benchmark.where(F.col("item_id").isNotNull()), size), "decontam-windows")
+    wins = scratch(windows(benchmark, size), "decontam-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
     n_terms = terms.count()
     postings = scratch(index(docs, terms, n_terms), "decontam-postings")
@@ -122,7 +122,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``; an empty table gives an empty result."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``; an empty table gives an empty result.
+
+    Benchmark rows without an item_id count for n_hit and contaminated, and are not among the items.
+    """
     scratch = Scratch()
     hits = staged(exact_matches(docs, benchmark, size, scratch), "decontam-hits")
     scratch.clear()

@@ -73,3 +73,15 @@ def test_texts_that_share_an_item(spark):
     got = decontam.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted(brute([r[:2] for r in rows], bench))
     assert sum(r["contaminated"] for r in got) == 6
+
+
+def test_null_items(spark):
+    """Texts of benchmark rows without an id are hit, and are not counted as items."""
+    rnd = random.Random(6)
+    one, two = (" ".join(f"{rnd.choice('uvwxyz')}{rnd.randint(0, 99)}" for _ in range(16)) for _ in range(2))
+    bench = [(None, one), (7, two), (None, "q r s")]
+    rows = [(i, t, None, None, None, 0.0, 0, 0, "") for i, t in enumerate([one, two, one + " " + two, "p q r s t", "q r"])]
+    got = sorted(map(tuple, decontam.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()))
+    want = sorted(brute([r[:2] for r in rows], [(-1 if i is None else i, t) for i, t in bench]))
+    assert [(g[:3], g[5]) for g in got] == [(w[:3], w[5]) for w in want] and [g[5] for g in got] == [True, True, True, True, False]
+    assert [g[3] for g in got] == [0, 1, 1, 0, 0] and [g[4] for g in got] == [hashlib.sha256(s).hexdigest() for s in (b"", b"7", b"7", b"", b"")]
