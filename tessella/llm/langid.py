@@ -71,15 +71,19 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array([names[i] for i in total]), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, length: int = PROFILE) -> dict[str, list[str]]:
-    """Profiles by language, from rows (doc_id, lang, text) with a language. The driver gets ``length`` n-grams a language."""
+def sample(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows (doc_id, lang, text) with a language that profiles are learned from."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, train_rows / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < share * 2**30).select("lang", "text")
-    counted = map_batches(picked, _batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < share * 2**30).select("doc_id", "lang", "text")
+
+
+def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, length: int = PROFILE) -> dict[str, list[str]]:
+    """Profiles by language, from rows (doc_id, lang, text) with a language. The driver gets ``length`` n-grams a language."""
+    counted = map_batches(sample(rows, train_rows).select("lang", "text"), _batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= length)
     profiles: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "rank").collect():
