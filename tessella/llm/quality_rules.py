@@ -3,7 +3,9 @@
 The measures of a document come from its whole text by projections alone. Their distributions are kept as KLL sketches per language and
 source; sketches merge, so those of a language are merged from those of its sources without reading the documents again. A document is judged
 by the fences of its (language, source), or of its language where that group is small, or of the whole corpus where the language is small too. A fence lies
-``reach`` interquartile ranges beyond the quartile, and at least a fixed slack, so that a corpus in which a measure is nearly constant rejects nothing for tiny differences.
+``REACH`` spreads beyond the quartile. The spread is the interquartile range or, where that is less, the distance of the median from the 90th (below: the 10th) percentile, as most measures are zero for most documents;
+higher percentiles would follow the junk that is to be rejected.
+A document in which a measure comes from a single event (one symbol, one line or 3-word window seen twice) is not rejected for it.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Groups of fewer documents use the next wider group's fences.
 LEAST_GROUP = 50
-#: Interquartile ranges beyond the quartiles.
+#: Spreads beyond the quartiles.
 REACH = 3.0
-#: measure: least distance of its fences from the quartiles, and whether low values are rejected too.
-MEASURES = {"symbols": (0.25, False), "dup_lines": (0.4, False), "repeats": (0.35, False), "word_length": (2.5, True)}
+#: measure: least distance of its fences from the quartiles (for measures that are constant in a group), and whether low values are rejected too.
+MEASURES = {"symbols": (0.02, False), "dup_lines": (0.02, False), "repeats": (0.02, False), "word_length": (0.25, True)}
+#: measure: its count, and what a single event adds to it.
+EVENTS = {"symbols": ("n_symbols", 1), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 6)}
 K = 256
 
 
@@ -85,9 +89,9 @@ def fences(rows: DataFrame) -> DataFrame:
     merged = lambda keys: sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(K)).alias(m) for m in names])
     bounds = []
     for m, (slack, both) in MEASURES.items():
-        low, high = F.kll_sketch_get_quantile_double(m, F.lit(0.25)), F.kll_sketch_get_quantile_double(m, F.lit(0.75))
-        reach = F.greatest(REACH * (high - low), F.lit(slack))
-        bounds += [(high + reach).alias(f"{m}_high"), ((low - reach) if both else F.lit(-1.0)).alias(f"{m}_low")]
+        p10, low, mid, high, p90 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+        reach = lambda tail: F.greatest(REACH * F.greatest(high - low, tail), F.lit(slack))  # noqa: B023, E731
+        bounds += [(high + reach(p90 - mid)).alias(f"{m}_high"), ((low - reach(mid - p10)) if both else F.lit(-1.0)).alias(f"{m}_low")]
     levels = [(0, sketches), (1, merged(["lang"]).withColumn("source", F.lit(None).cast("string"))), (2, merged([]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")))]
     out = [x.where(F.col("n") > 0).select(F.lit(k).alias("level"), "lang", "source", "n", *bounds) for k, x in levels]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -114,5 +118,6 @@ def judge(docs: DataFrame) -> DataFrame:
     out = out.withColumn("f", F.coalesce("f0", "f1", "f2"))
     inside = F.lit(True)
     for m, v in _values().items():
-        inside = inside & F.coalesce(v.between(F.col(f"f.{m}_low"), F.col(f"f.{m}_high")), F.lit(True))
+        within = F.coalesce(v.between(F.col(f"f.{m}_low"), F.col(f"f.{m}_high")), F.lit(True))
+        inside = inside & (within | (F.col(EVENTS[m][0]) <= EVENTS[m][1]) if m in EVENTS else within)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))

@@ -45,3 +45,19 @@ def test_sketches_merge(spark, docs):
     rows = q.fences(q.measured(docs)).collect()
     for lang in {r["lang"] for r in rows if r["level"] == 1}:
         assert sum(r["n"] for r in rows if r["level"] == 0 and r["lang"] == lang) == next(r["n"] for r in rows if r["level"] == 1 and r["lang"] == lang)
+
+
+def test_fences_differ_between_groups(spark):
+    """Two sources, one of which repeats lines often: four of twenty lines twice is usual there and an outlier in the other, also where the quartiles are equal."""
+
+    def text(k, dup):
+        lines = [f"w{k}x{j} some{j}a other{k}b{j}" for j in range(20)]
+        return "\n".join([*lines[: 20 - dup], *lines[:dup]])
+
+    rows = [(i, text(i, 0 if i % 5 else 4), "en", "many", 0, 0.0, 0, 0, "") for i in range(200)]
+    rows += [(1000 + i, text(1000 + i, 0), "en", "few", 0, 0.0, 0, 0, "") for i in range(200)] + [(2000, text(2000, 4), "en", "few", 0, 0.0, 0, 0, ""), (2001, text(2001, 1), "en", "few", 0, 0.0, 0, 0, "")]
+    df = frame(spark, rows)
+    kept = {r["doc_id"]: r["kept"] for r in q.judge(df).collect()}
+    assert [i for i, k in kept.items() if not k] == [2000]
+    high = {r["source"]: r["dup_lines_high"] for r in q.fences(q.measured(df)).where("level = 0").collect()}
+    assert high["many"] > 0.2 > high["few"]
