@@ -1,35 +1,43 @@
-"""Removal of long repeated byte strings with a logarithmic family of suffix arrays.
-
-A window is a string of ``length`` bytes. Its anchor is the place in it where the hash of a short gram is least; equal windows have equal anchors at the same distance, and the next windows mostly share
-the anchor, so text is indexed by one entry for every 40 bytes or so: the anchor's gram, and the *context*, the bytes of all windows of that anchor.
-
-1. Each task lists the entries of its documents, some hundred at a time. Of equal contexts among them all but the first are removed at once (all their windows have started earlier), so a very common passage
-   leaves a task once for each such batch.
-2. Entries are sorted by gram and context. Of equal contexts all but the first are removed. A context that is alone with its gram holds no repeated window.
-3. What is left are contexts that share a gram but differ, at the edges of repeated passages. They are fetched and indexed by ``SuffixFamily``: the windows of a batch are sorted into a suffix array, merge-scanned against the arrays
-   of all earlier batches, and arrays of equal size are merged, so that there are logarithmically many. A gram with very many contexts has several families; a window that is the first in more than one
-   of them is settled by an aggregation over digests of windows.
+"""Removal of long repeated byte strings with logarithmic families of suffix arrays.
+
+A window is a string of ``length`` bytes. Windows are dealt out so that equal ones meet: a window's anchor is the place in it where the hash of a short gram is least; equal windows have equal anchors at the same
+distance, and neighbours mostly share theirs. The windows of one anchor are a *context*, some 26 windows in 130 bytes.
+
+1. Each task indexes its documents in chunks. Contexts whose gram stands in a chunk more than once go through a family of the chunk, and those of which every window has started earlier leave it as ranges to remove, so
+   that a passage in many copies leaves a chunk once.
+2. Grams only choose what is indexed: a context whose gram stands nowhere else holds no repeated window. For each task at most two contexts of a gram that repeats in its chunks are asked for by gram; more than two
+   are known to be shared, so a very frequent gram is no hot key.
+3. The other contexts are dealt out by gram. Each task has one ``SuffixFamily`` for all its contexts, in the order of the documents: a batch's windows are sorted into a suffix array, which is merge-scanned against
+   the levels for windows that match in all their bytes, and levels of like size are merged, so that there are logarithmically many. A gram with very many contexts is dealt out to several tasks; a window that is
+   the first in more than one of them is settled by an aggregation over 128-bit BLAKE2 digests of windows.
 4. The ranges that are removed meet their documents again.
 
-Texts are compared as bytes in step 3; steps 1 and 2 compare contexts by two 64-bit hashes.
+Every removal within a task is decided by comparing bytes. Memory: a chunk, or one family of about ``FAMILY_WINDOWS`` windows (their text and 8 bytes each) with one batch of windows as strings.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch, id_filter, map_batches, parallelism, picked, sliced, staged
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of text that a task indexes at a time, and windows of a batch of the family.
-CHUNK_BYTES, BATCH_WINDOWS = 500_000, 50_000
+#: Bytes of text that a task indexes at a time; longer texts are indexed in overlapping segments.
+CHUNK_BYTES = 500_000
+#: Windows of a batch, and those that a family is planned for; the number of families follows the corpus.
+BATCH_WINDOWS, FAMILY_WINDOWS = 125_000, 2_000_000
+#: Windows of a level that are strings at a time.
+SLICE = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,172 +68,219 @@ def _least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def _anchors(grams: np.ndarray, w: int, span: int = int(_PLACE) + 1) -> np.ndarray:
-    """Place of the least of every w neighbours by all bits above the place's; of equal ones the first. Segments of ``span`` places overlap by w - 1, so a place fits its bits however many there are."""
-    n, step = len(grams) - w + 1, span - w + 1
-    out = np.empty(n, np.int64)
-    for at in range(0, n, step):
-        part = grams[at : at + span]
-        keys = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-        out[at : at + step] = (_least(keys, w) & _PLACE).astype(np.int64) + at
-    return out
+class SuffixFamily:
+    """Suffix arrays of windows over one text, in levels whose sizes grow geometrically. An array holds places; a window stands in one level only."""
+
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length, self.text, self.used = length, np.empty(0, np.uint8), 0
+        self.levels: list[np.ndarray] = []
+
+    def strings(self, places: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.length)[places]).view(f"S{self.length}").ravel()
+
+    def add(self, contexts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Index a batch of contexts (their bytes, one after the other); for each of their windows whether it stands in an earlier batch, or earlier in this one."""
+        places = self.used + _window_places(sizes, self.length)
+        self._append(contexts)
+        windows = self.strings(places)
+        order = np.argsort(windows, kind="stable")
+        ranked = windows[order]
+        first = np.ones(len(ranked), bool)
+        first[1:] = ranked[1:] != ranked[:-1]
+        array, ranked = places[order[first]], ranked[first]
+        known = np.zeros(len(array), bool)
+        for level in self.levels:
+            for mine, theirs in self._side_by_side(level, ranked):
+                known[mine.start + self._merged(level[theirs], ranked[mine])[1]] = True
+        seen = np.empty(len(windows), bool)
+        seen[order] = ~first | known[np.cumsum(first) - 1]
+        self._push(array[~known])
+        return seen
+
+    def _append(self, contexts: np.ndarray) -> None:
+        if self.used + len(contexts) > len(self.text):
+            grown = np.empty(max(2 * len(self.text), self.used + len(contexts)), np.uint8)
+            grown[: self.used] = self.text[: self.used]
+            self.text = grown
+        self.text[self.used : self.used + len(contexts)] = contexts
+        self.used += len(contexts)
+
+    def _side_by_side(self, level: np.ndarray, ranked: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """Slices of ``ranked`` and of ``level`` that hold the same part of the order."""
+        starts = np.arange(0, len(level), SLICE)
+        cuts = np.searchsorted(ranked, self.strings(level[starts]))
+        cuts[0] = 0
+        for a, b, at in zip(cuts, [*cuts[1:], len(ranked)], starts, strict=True):
+            yield slice(int(a), int(b)), slice(int(at), int(at) + SLICE)
+
+    def _merged(self, places: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of a slice of a level followed by a slice of sorted strings (two ascending runs, which the stable sort merges), and which of the latter equal their neighbour in the former."""
+        if not len(ranked):
+            return np.arange(len(places)), np.empty(0, np.int64)
+        both = np.concatenate([self.strings(places), ranked])
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        return order, order[1:][both[1:] == both[:-1]] - len(places)
+
+    def _push(self, array: np.ndarray) -> None:
+        while self.levels and len(array) and len(self.levels[-1]) <= 2 * len(array):
+            array = self._merge(self.levels.pop(), array)
+        if len(array):
+            self.levels.append(array)
+
+    def _merge(self, level: np.ndarray, array: np.ndarray) -> np.ndarray:
+        out, at = [], 0
+        for k in range(0, len(array), BATCH_WINDOWS):
+            block = array[k : k + BATCH_WINDOWS]
+            last = k + BATCH_WINDOWS >= len(array)
+            end = len(level) if last else bisect.bisect_left(range(len(level)), self.strings(array[k + BATCH_WINDOWS : k + BATCH_WINDOWS + 1])[0], key=lambda i: self.strings(level[i : i + 1])[0])
+            part, ranked = level[at:end], self.strings(block)
+            if len(part):
+                for mine, theirs in self._side_by_side(part, ranked):
+                    out.append(np.concatenate([part[theirs], block[mine]])[self._merged(part[theirs], ranked[mine])[0]])
+            else:
+                out.append(block)
+            at = end
+        return np.concatenate(out)
+
+
+def _window_places(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places of all windows of contexts that stand one after the other."""
+    counts = sizes - length + 1
+    return np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _parts(sizes: np.ndarray, length: int) -> Iterator[slice]:
+    """Slices of contexts with at most about a batch of windows each."""
+    batch = np.cumsum(sizes - length + 1) // BATCH_WINDOWS
+    edges = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(sizes)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
+
+def _seen(family: SuffixFamily, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``family.add`` for contexts of any number, in batches."""
+    ends = np.cumsum(sizes)
+    out = [family.add(data[ends[p][0] - sizes[p][0] : ends[p][-1]], sizes[p]) for p in _parts(sizes, family.length)]
+    return np.concatenate(out) if out else np.empty(0, bool)
 
 
 class Anchors:
-    """Entries of a buffer of documents."""
+    """Contexts of a buffer of documents."""
 
     def __init__(self, length: int = LENGTH, gram: int = GRAM) -> None:
         self.length, self.gram, self.up, self.down = length, gram, _powers(_BASE, 1), _powers(pow(_BASE, -1, 2**64), 1)
 
-    def entries(self, texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """gram hash, context hash, id, start, length and anchor offset of every context."""
+    def contexts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every context: the hash of its gram, its text's number, and start and end in the texts put together. They have under 2 ** 24 bytes, so that a place fits below the bits of a hash."""
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         n, length, gram = len(data), self.length, self.gram
         if n < length:
-            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32))
+            return tuple(np.empty(0, np.int64) for _ in range(4))
+        if n > int(_PLACE):
+            raise ValueError("more than 2 ** 24 bytes in a chunk")
         if len(self.up) < n + 1:
             self.up, self.down = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[data] * self.up[:n], out=sums[1:])
         grams = _mix((sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1])
-        anchor = _anchors(grams, length - gram + 1)
+        # The place of the least gram hash of every window; of equal ones the first.
+        anchor = (_least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
         ends = np.cumsum(sizes)
         # A window is one of a document if it ends in the document in which it starts.
-        valid = np.zeros(len(anchor) + 1, bool)
         marks = np.zeros(len(anchor) + 2, np.int32)
         long = sizes >= length
         np.add.at(marks, (ends - sizes)[long], 1)
         np.add.at(marks, (ends - length + 1)[long], -1)
-        valid[:-1] = np.cumsum(marks)[: len(anchor)] > 0
-        valid = valid[:-1]
-        starts = valid.copy()
+        valid = np.cumsum(marks)[: len(anchor)] > 0
+        starts, lasts = valid.copy(), valid.copy()
+        # The last windows of a document are not valid, so there is a gap before the next one's.
         starts[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-        # Documents without a gap between their windows don't exist: the last ones of a document are not valid.
-        lasts = valid.copy()
         lasts[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
         s, e = np.flatnonzero(starts), np.flatnonzero(lasts) + length
-        doc = np.searchsorted(ends, s, side="right")
-        a = anchor[s]
-        shape = ((e - s).astype(np.uint64) << np.uint64(32)) | (a - s).astype(np.uint64)
-        context = _mix((sums[e] - sums[s]) * self.down[s] + _mix(shape))
-        return grams[a].view(np.int64), context.view(np.int64), ids[doc], (s - (ends - sizes)[doc]).astype(np.int32), (e - s).astype(np.int32), (a - s).astype(np.int32)
+        return grams[anchor[s]].view(np.int64), np.searchsorted(ends, s, side="right"), s, e
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    texts, ids, size = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts, ids, and where each text stands in its document. Segments of a long text overlap, so that each window is in one of them."""
+    texts, ids, offsets, size = [], [], [], 0
     for batch in sliced(batches, 500):
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             raw = raw or b""
-            if texts and size + len(raw) > CHUNK_BYTES:
-                yield texts, np.array(ids, np.int64)
-                texts, ids, size = [], [], 0
-            texts.append(raw)
-            ids.append(i)
-            size += len(raw)
+            for at in range(0, max(1, len(raw) - length + 1), CHUNK_BYTES):
+                part = raw[at : at + CHUNK_BYTES + length - 1]
+                if texts and size + len(part) > CHUNK_BYTES:
+                    yield texts, np.array(ids, np.int64), np.array(offsets, np.int64)
+                    texts, ids, offsets, size = [], [], [], 0
+                texts.append(part)
+                ids.append(i)
+                offsets.append(at)
+                size += len(part)
     if texts:
-        yield texts, np.array(ids, np.int64)
+        yield texts, np.array(ids, np.int64), np.array(offsets, np.int64)
 
 
-_ENTRY = "kind int, gram long, context long, id long, start int, length int, offset int"
-_NAMES = ["kind", "gram", "context", "id", "start", "length", "offset"]
-ENTRY, REMOVED, OPEN = 0, 1, 2
+_ENTRY = "kind int, gram long, id long, start int, length int"
+#: To be met by gram; known to share its gram; to be removed.
+ENTRY, KNOWN, REMOVED = 0, 1, 2
 
 
-def _rows(kind: int, gram, context, ids, start, length, offset) -> Iterator[pa.RecordBatch]:
+def _entries(kind: np.ndarray, gram: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(ids), 50_000):
-        part = [pa.array(np.ascontiguousarray(x[at : at + 50_000])) for x in (gram, context, ids, start, length, offset)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=_NAMES)
+        part = [np.ascontiguousarray(x[at : at + 50_000]) for x in (kind.astype(np.int32), gram, ids, start.astype(np.int32), length.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["kind", "gram", "id", "start", "length"])
 
 
 def index(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Entries of all documents (id, text), and the ranges that a task can remove by itself."""
+    """Contexts of all documents (id, text), as ``ENTRY`` or ``KNOWN``, and the ranges that a chunk's family removes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length)
-        for texts, ids in _chunks(batches):
-            columns = anchors.entries(texts, ids)
-            gram, context, doc, start, _, _ = columns
-            order = np.lexsort((start, doc, context, gram))
-            gram, context, doc, start, size, offset = (c[order] for c in columns)
-            both = np.stack([gram, context], axis=1) if len(gram) else np.empty((0, 2), np.int64)
-            first = np.ones(len(gram), bool)
-            first[1:] = (both[1:] != both[:-1]).any(axis=1)
-            head = np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0)) if len(gram) else first
-            again = ~first & ((doc != doc[head]) | (start != start[head])) if len(gram) else first
-            pick = lambda mask: (gram[mask], context[mask], doc[mask], start[mask], size[mask], offset[mask])
-            yield from _rows(ENTRY, *pick(first))
-            yield from _rows(REMOVED, *pick(again))
+        anchors, asked = Anchors(length), {}
+        for texts, ids, offsets in _chunks(batches, length):
+            gram, text, start, end = anchors.contexts(texts)
+            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            doc, place, size = ids[text], start - begin[text] + offsets[text], end - start
+            data = b"".join(texts)
+            order = np.lexsort((place, doc))
+            _, which, count = np.unique(gram, return_inverse=True, return_counts=True)
+            again = order[count[which[order]] > 1]
+            # A repeated row is no copy of itself.
+            one, two = again[:-1], again[1:]
+            twin = (doc[one] == doc[two]) & (place[one] == place[two]) & (size[one] == size[two])
+            equal = [b for a, b in zip(one[twin].tolist(), two[twin].tolist(), strict=True) if data[start[a] : end[a]] == data[start[b] : end[b]]]
+            again = again[~np.isin(again, equal)]
+            kind = np.full(len(gram), ENTRY)
+            seen = _seen(SuffixFamily(length), np.frombuffer(b"".join(data[a:b] for a, b in zip(start[again].tolist(), end[again].tolist(), strict=True)), np.uint8), size[again])
+            fresh = np.add.reduceat((~seen).astype(np.int64), np.cumsum(size[again] - length + 1) - (size[again] - length + 1)) if len(again) else np.empty(0, np.int64)
+            kind[again[fresh == 0]] = REMOVED
+            left = again[fresh > 0]
+            if asked:
+                kind[[k for k, g in enumerate(gram.tolist()) if asked.get(g) == 2 and kind[k] == ENTRY]] = KNOWN
+            for k, g in zip(left.tolist(), gram[left].tolist(), strict=True):
+                if (n := asked.get(g, 0)) < 2:
+                    asked[g] = n + 1
+                else:
+                    kind[k] = KNOWN
+            rest = np.ones(len(gram), bool)
+            rest[equal] = False
+            yield from _entries(kind[rest], gram[rest], doc[rest], place[rest], size[rest])
 
     return map_batches(docs.select("id", "text"), run, _ENTRY)
 
 
-def match(entries: DataFrame) -> DataFrame:
-    """Of equal contexts all but the first as REMOVED; contexts that share a gram with different ones as OPEN."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None  # the last first-of-its-context row; whether its neighbour before has its gram
-        linked = False
-        for batch in batches:
-            rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in _NAMES[1:]])
-            if held is not None:
-                rows = np.concatenate([held, rows], axis=1)
-            gram, context, doc, start = rows[:4]
-            first = np.ones(len(gram), bool)
-            first[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-            head = np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))
-            again = ~first & ((doc != doc[head]) | (start != start[head]))
-            heads = np.flatnonzero(first)
-            near = np.zeros(len(heads) + 1, bool)
-            near[1:-1] = gram[heads[1:]] == gram[heads[:-1]]
-            near[0] = linked
-            open_ = heads[:-1][(near[:-1] | near[1:])[:-1]]
-            held, linked = rows[:, heads[-1:]], bool(near[len(heads) - 1])
-            yield from _emit(REMOVED, rows[:, again])
-            yield from _emit(OPEN, rows[:, open_])
-        if held is not None and linked:
-            yield from _emit(OPEN, held)
-
-    tasks = parallelism(entries.sparkSession)
-    return map_batches(entries.repartition(tasks, "gram").sortWithinPartitions("gram", "context", "id", "start"), run, _ENTRY)
-
-
-def _emit(kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if rows.shape[1]:
-        yield from _rows(kind, rows[0], rows[1], rows[2], *(rows[k].astype(np.int32) for k in (3, 4, 5)))
-
+def opened(entries: DataFrame) -> DataFrame:
+    """``entries`` without those that are alone with their gram. Only ``ENTRY`` rows meet by gram; the others are dealt out evenly."""
+    key = F.when(F.col("kind") == ENTRY, F.col("gram")).otherwise(F.xxhash64("id", "start", "kind"))
+    rows = entries.select("*", (F.col("kind") == ENTRY).alias("asks"), key.alias("key"))
+    near = Window.partitionBy("key", "asks").orderBy("id", "start")
+    both = rows.select("*", F.lag("id").over(near).alias("before"), F.lead("id").over(near).alias("after"))
+    return both.where(~F.col("asks") | F.col("before").isNotNull() | F.col("after").isNotNull()).select(entries.columns)
 
-class SuffixFamily:
-    """Sorted arrays of windows, in levels whose sizes grow geometrically."""
-
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
 
-    def add(self, windows: np.ndarray) -> np.ndarray:
-        """Index a batch (fixed-length byte strings in order of place); for each window whether it stands in an earlier batch, or earlier in this one."""
-        order = np.argsort(windows, kind="stable")
-        ranked = windows[order]
-        first = np.ones(len(ranked), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
-        array, known = ranked[first], np.zeros(int(first.sum()), bool)
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            known |= level[at] == array
-        seen = np.empty(len(windows), bool)
-        seen[order] = ~first | known[np.cumsum(first) - 1]
-        self._push(array[~known])
-        return seen
-
-    def _push(self, array: np.ndarray) -> None:
-        while self.levels and len(array) and len(self.levels[-1]) <= 2 * len(array):
-            array = np.sort(np.concatenate([self.levels.pop(), array]), kind="stable")
-        if len(array):
-            self.levels.append(array)
-
-
-def _covered(contexts: list[bytes], seen: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, first window, last window) of each run of seen windows."""
-    row = np.repeat(np.arange(len(contexts)), counts)
+def _covered(sizes: np.ndarray, seen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last window of each run of seen windows."""
+    counts = sizes - length + 1
+    row = np.repeat(np.arange(len(sizes)), counts)
     begin, end = seen.copy(), seen.copy()
     begin[1:] &= ~seen[:-1] | (row[1:] != row[:-1])
     end[:-1] &= ~seen[1:] | (row[1:] != row[:-1])
@@ -234,71 +289,72 @@ def _covered(contexts: list[bytes], seen: np.ndarray, counts: np.ndarray) -> Ite
     return row[b], b - base[row[b]], e - base[row[e]]
 
 
-#: Contexts of one gram that one family indexes; grams with more are dealt out to several.
-FAMILY_CONTEXTS = 4000
+#: Contexts of one gram that one task indexes; grams with more are dealt out to several.
+FAMILY_CONTEXTS = 1000
 #: Up to so many such grams are broadcast (16 bytes each).
 MAX_BROADCAST_GRAMS = 500_000
 _RESOLVED = "high long, low long, id long, start int, stop int"
 
 
-def families(contexts: DataFrame, length: int) -> DataFrame:
-    """Rows (id, start, stop) of windows that one family has seen before, and, of grams with several families (``shared``), rows with the digest (high, low) of each window that is the first in its family."""
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and sizes of an Arrow array of binary values without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    return data, np.diff(offsets)
+
 
-    def batch_of(rows: list[tuple], family: SuffixFamily) -> Iterator[pa.RecordBatch]:
-        raw = [r[3] for r in rows]
-        counts = np.array([len(x) - length + 1 for x in raw])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        base = np.cumsum([0, *map(len, raw)])[:-1]
-        places = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[places]).view(f"S{length}").ravel()
-        seen = family.add(windows)
-        row, a, b = _covered(raw, seen, counts)
-        ids, starts, shared = (np.array([r[k] for r in rows], t) for k, t in ((1, np.int64), (2, np.int64), (4, bool)))
+def families(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
+    """Rows (id, start, stop) of windows that a task's family has seen before, and, of grams that are dealt out to several tasks (``shared``), rows with the digest (high, low) of each window that is the first in its family."""
+
+    def resolved(family: SuffixFamily, batch: pa.RecordBatch, last: tuple | None) -> Iterator[pa.RecordBatch]:
+        ids, starts, shared = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "start", "shared"))
+        data, sizes = _binary(batch.column("bytes"))
+        ends = np.cumsum(sizes)
+        row = lambda k: (batch.column("id")[k], batch.column("start")[k], batch.column("bytes")[k])
+        # A repeated row is no copy of itself.
+        one = np.flatnonzero((ids[1:] == ids[:-1]) & (starts[1:] == starts[:-1]) & (sizes[1:] == sizes[:-1]))
+        once = np.ones(len(ids), bool)
+        once[[k + 1 for k in one.tolist() if (data[ends[k] - sizes[k] : ends[k]] == data[ends[k] : ends[k + 1]]).all()]] = False
+        once[0] = row(0) != last
+        if not once.all():
+            data, sizes, ids, starts, shared = data[np.repeat(once, sizes)], sizes[once], ids[once], starts[once], shared[once]
+        seen = family.add(data, sizes)
+        row, a, b = _covered(sizes, seen, length)
         none = pa.nulls(len(row), pa.int64())
         yield _resolved(none, none, ids[row], starts[row] + a, starts[row] + b + length)
-        fresh = np.flatnonzero(np.repeat(shared, counts) & ~seen)
+        of = np.repeat(np.arange(len(sizes)), sizes - length + 1)
+        places = _window_places(sizes, length)
+        fresh = np.flatnonzero(shared[of] & ~seen)
+        base = np.cumsum(sizes) - sizes
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             keys = np.frombuffer(b"".join(hashlib.blake2b(data[p : p + length].tobytes(), digest_size=16).digest() for p in places[some].tolist()), np.int64).reshape(-1, 2)
-            of = np.repeat(np.arange(len(rows)), counts)[some]
-            begin = starts[of] + places[some] - base[of]
-            yield _resolved(pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids[of], begin, begin + length)
+            begin = starts[of[some]] + places[some] - base[of[some]]
+            yield _resolved(pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids[of[some]], begin, begin + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, size = SuffixFamily(), [], 0
-        last = before = None
-        for batch in sliced(batches, 1000):
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r == before:  # of a repeated row
-                    continue
-                before = r
-                key = r[0], r[5]
-                if size >= BATCH_WINDOWS:
-                    yield from batch_of(rows, family)
-                    if key != last:  # no window stands under two grams
-                        family = SuffixFamily()
-                    rows, size = [], 0
-                elif key != last and (r[4] or family.levels):  # families of one gram are kept apart
-                    if rows:
-                        yield from batch_of(rows, family)
-                    family, rows, size = SuffixFamily(), [], 0
-                rows.append(r)
-                size += len(r[3]) - length + 1
-                last = key
-        if rows:
-            yield from batch_of(rows, family)
-
-    dealt = contexts.select("gram", "id", "start", "bytes", "shared", "family").repartition(parallelism(contexts.sparkSession), "gram", "family")
-    return map_batches(dealt.sortWithinPartitions("gram", "family", "id", "start", "bytes"), run, _RESOLVED)
+        family, held, size, last = SuffixFamily(length), [], 0, None
+        for batch in itertools.chain(sliced(batches, 500), [None]):
+            if batch is not None:
+                held.append(batch)
+                size += pc.sum(pc.binary_length(batch.column("bytes"))).as_py() - (length - 1) * batch.num_rows
+            if held and (batch is None or size >= BATCH_WINDOWS):
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield from resolved(family, whole, last)
+                held, size, last = [], 0, tuple(whole.column(n)[whole.num_rows - 1] for n in ("id", "start", "bytes"))
+
+    dealt = contexts.select("id", "start", "bytes", "shared", "gram", "family").repartition(tasks, "gram", "family")
+    return map_batches(dealt.sortWithinPartitions("id", "start", "bytes").select("id", "start", "bytes", "shared"), run, _RESOLVED)
 
 
 def _resolved(high, low, ids, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([high, low, pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["high", "low", "id", "start", "stop"])
 
 
-def resolve(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def resolve(contexts: DataFrame, length: int, tasks: int, scratch: Scratch) -> DataFrame:
     """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes, shared, family) that share a gram."""
-    found = scratch(families(contexts, length), "suffix-families")
+    found = scratch(families(contexts, length, tasks), "suffix-families")
     inside = found.where(F.col("high").isNull()).select("id", "start", "stop")
     firsts = found.where(F.col("high").isNotNull())
     # A window has one row here for each of its gram's families at most.
@@ -309,11 +365,12 @@ def resolve(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """id, start, stop: all bytes that a window covers which starts earlier too, as ranges that may overlap. ``docs``: id (long, not null) and text."""
-    entries = scratch(index(docs, length), "suffix-entries")
-    matched = scratch(match(entries.where(F.col("kind") == ENTRY)), "suffix-matches")
-    gone = entries.where(F.col("kind") == REMOVED).unionByName(matched.where(F.col("kind") == REMOVED)).select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
-    open_ = matched.where(F.col("kind") == OPEN)
-    # Grams with very many contexts are dealt out to several families by a hash of the document.
+    entries = scratch(opened(index(docs, length)), "suffix-entries")
+    gone = entries.where(F.col("kind") == REMOVED).select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
+    open_ = entries.where(F.col("kind") != REMOVED)
+    windows = open_.agg(F.sum((F.col("length") - (length - 1)).cast("long"))).first()[0] or 0
+    tasks = max(parallelism(docs.sparkSession), -(-windows // FAMILY_WINDOWS))
+    # Grams with very many contexts are dealt out to several tasks by a hash of the document.
     hot = scratch(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY_CONTEXTS), "suffix-hot-grams")
     number = F.ceil(F.col("n") / FAMILY_CONTEXTS)
     few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GRAMS else hot
@@ -332,30 +389,29 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()), strict=True)], names=["gram", "id", "start", "bytes", "shared", "family"])
 
     contexts = map_batches(near, cut, "gram long, id long, start int, bytes binary, shared boolean, family int")
-    return gone.unionByName(resolve(contexts, length, scratch))
+    return gone.unionByName(resolve(contexts, length, tasks, scratch))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of ``docs`` (doc_id, text); other columns are ignored.
 
-    A null text is an empty one. Rows without a doc_id come first in the order and count as one document, as do rows that share a doc_id: equal rows are no copies of each other, and what is removed
-    from one is removed at the same place of all. An empty table gives an empty result.
+    A null text is an empty one. Rows without a doc_id come first in the order (at the place of the least long) and count as one document, as do rows that share a doc_id: equal rows are no copies of each
+    other, and what is removed from one is removed at the same place of all. An empty table gives an empty result.
     """
-    kept_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
-    docs = docs.select(kept_id, "text")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
     scratch = Scratch()
-    ranges = staged(repeated_ranges(docs, length, scratch), "suffix-ranges")
+    ranges = staged(repeated_ranges(docs.select("id", "text"), length, scratch), "suffix-ranges")
     scratch.clear()
     marks = id_filter(ranges.select("id"))
     by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    touched = picked(docs, "id", marks).join(by_doc, "id", "left")
-    whole = picked(docs, "id", marks, inside=False).withColumn("ranges", F.lit(None).cast(by_doc.schema["ranges"].dataType))
+    touched = picked(docs, "id", marks).join(by_doc, "id", "left").select("doc_id", "text", "ranges")
+    whole = picked(docs, "id", marks, inside=False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["ranges"].dataType).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
             if batch.num_rows:
                 out = []
-                for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     raw = (text or "").encode()
                     spans: list[list[int]] = []
                     for a, b in sorted((r["start"], min(r["stop"], len(raw))) for r in found or ()):
@@ -365,9 +421,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                             spans.append([a, b])
                     edges = [0, *(x for s in spans for x in s), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((None if i == NO_ID else i, len(raw), len(raw) - len(kept), len(spans), kept))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((len(raw), len(raw) - len(kept), len(spans), kept))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return map_batches(touched, run, schema).unionByName(map_batches(whole, run, schema))

@@ -64,19 +64,42 @@ def test_random_edits(spark, seed, contexts, monkeypatch):
     assert check(frame(spark, rows)) > 0
 
 
-def test_family_levels():
+def test_family_levels(monkeypatch):
+    monkeypatch.setattr(sd, "SLICE", 7)
     rnd = random.Random(0)
-    family, seen, n = sd.SuffixFamily(), set(), 0
+    family, seen = sd.SuffixFamily(6), set()
     for _ in range(40):
-        batch = [bytes(rnd.choice(b"ab\0") for _ in range(6)) for _ in range(rnd.randint(1, 60))]
-        got = family.add(np.array(batch, dtype="S6"))
-        for w, g in zip(batch, got, strict=True):
-            w = w.rstrip(b"\0")  # of one length, so padding can't make two windows equal
+        batch = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(6, 12))) for _ in range(rnd.randint(1, 20))]
+        monkeypatch.setattr(sd, "BATCH_WINDOWS", rnd.randint(1, 50))
+        got = family.add(np.frombuffer(b"".join(batch), np.uint8), np.array([len(x) for x in batch]))
+        windows = [x[k : k + 6] for x in batch for k in range(len(x) - 5)]
+        assert len(got) == len(windows)
+        for w, g in zip(windows, got, strict=True):
             assert g == (w in seen)
             seen.add(w)
-        n = len(seen)
         sizes = [len(x) for x in family.levels]
-        assert sum(sizes) == n and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        for level in family.levels:  # sorted by the bytes at their places
+            text = [family.text[p : p + 6].tobytes() for p in level]
+            assert text == sorted(set(text))
+
+
+def test_levels_decide(spark, monkeypatch):
+    """Every removed byte is one of a window that a suffix array found: most windows meet an earlier level, with families that live across grams."""
+    monkeypatch.setattr(sd, "BATCH_WINDOWS", 2000)
+    rnd = random.Random(3)
+    letters = "abcdefgh "
+    pool = ["".join(rnd.choice(letters) for _ in range(300)) for _ in range(60)]
+    rows = [f"{i} ".encode() + "".join(rnd.choice(letters) for _ in range(50)).encode() + rnd.choice(pool).encode() for i in range(400)]
+    family, anchors, met, total = sd.SuffixFamily(), sd.Anchors(), 0, 0
+    for k in range(0, 400, 10):
+        gram, _, start, end = anchors.contexts(rows[k : k + 10])
+        data = b"".join(rows[k : k + 10])
+        met += (len(family.levels) > 0) * int((end - start - 99).sum())
+        total += int((end - start - 99).sum())
+        family.add(np.frombuffer(b"".join(data[a:b] for a, b in zip(start, end, strict=True)), np.uint8), end - start)
+        assert len(set(gram.tolist())) > 50
+    assert met > 0.9 * total and len(family.levels) <= np.log2(total)
 
 
 def test_least():
@@ -86,21 +109,29 @@ def test_least():
         assert (sd._least(x, w) == [x[i : i + w].min() for i in range(n - w + 1)]).all()
 
 
-def test_anchors_of_segments():
-    x = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
-    whole = sd._anchors(x, 77)
-    assert all((sd._anchors(x, 77, span) == whole).all() for span in (77, 78, 500, 4999, 5000))
+def test_segments_of_long_texts(spark, monkeypatch):
+    """Chunks smaller than texts: windows across seams, in repeats inside a text and between texts, and repeated rows."""
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 333)
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdef") for _ in range(900))
+    noise = lambda n: "".join(rnd.choice("ghijklé") for _ in range(n))
+    texts = [noise(500) + passage + noise(77) + passage[100:800], noise(10) + passage[5:], passage, noise(2000), passage[:99], passage[:100], "x" * 1500]
+    rows = [(i, t, None, None, None, 0.0, 0, 0, "") for i, t in enumerate(texts)]
+    assert check(frame(spark, rows + rows[:3] + rows[6:])) > 3000
 
 
-def test_text_over_16_mib():
-    """A passage beyond byte 2 ** 24 has the entries that it has in a text of its own."""
+def test_text_over_16_mib(spark):
+    """A passage that stands twice beyond byte 2 ** 24, and once in a text of its own."""
     rnd = np.random.default_rng(2)
-    passage = rnd.integers(97, 123, 600, dtype=np.uint8).tobytes()
-    before = rnd.integers(97, 123, 2**24 + 2000, dtype=np.uint8).tobytes()
-    find = lambda text: sd.Anchors().entries([text], np.array([1]))
-    gram, context, _, start, size, _ = find(before + passage)
-    alone = find(passage)
-    far = start >= len(before)
-    entries = set(zip(gram[far].tolist(), context[far].tolist(), (start[far] - len(before)).tolist(), size[far].tolist(), strict=True))
-    inner = set(zip(*(alone[k].tolist() for k in (0, 1, 3, 4)), strict=True))
-    assert len(inner) >= 5 and len(inner - entries) <= 1  # the first context may begin before the passage
+    passage = rnd.integers(97, 123, 400, dtype=np.uint8).tobytes().decode()
+    before = rnd.integers(97, 123, 2**24 + 2000, dtype=np.uint8).tobytes().decode()
+    rows = [(1, before + passage + "0" * 50 + passage, None, None, None, 0.0, 0, 0, ""), (2, "1" + passage, None, None, None, 0.0, 0, 0, "")]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(frame(spark, rows)).collect()}
+    assert got[1]["n_removed"] == 400 and bytes(got[1]["kept"]) == (before + passage + "0" * 50).encode()
+    assert got[2]["n_removed"] == 400 and bytes(got[2]["kept"]) == b"1"
+
+
+def test_least_long_as_id(spark):
+    rows = [(-(2**63), "abc" * 60, None, None, None, 0.0, 0, 0, ""), (3, "abc" * 60, None, None, None, 0.0, 0, 0, "")]
+    got = {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(frame(spark, rows)).collect()}
+    assert set(got) == {-(2**63), 3} and got[3] == 180
