@@ -8,7 +8,8 @@ distance, and neighbours mostly share theirs. The windows of one anchor are a *c
 2. Grams only choose what is indexed: a context whose gram stands nowhere else holds no repeated window. For each task at most two contexts of a gram that repeats in its chunks are asked for by gram; more than two
    are known to be shared, so a very frequent gram is no hot key.
 3. The other contexts are dealt out by gram. Each task has one ``SuffixFamily`` for all its contexts, in the order of the documents: a batch's windows are sorted into a suffix array, which is merge-scanned against
-   the levels for windows that match in all their bytes, and levels of like size are merged, so that there are logarithmically many. A gram with very many contexts is dealt out to several tasks; a window that is
+   the levels for windows that match in all their bytes, and levels of like size are merged, so that there are logarithmically many. First windows of contexts go first: where such a match extends to the whole
+   context, its other windows need not be sorted. A gram with very many contexts is dealt out to several tasks; a window that is
    the first in more than one of them is settled by an aggregation over 128-bit BLAKE2 digests of windows.
 4. The ranges that are removed meet their documents again.
 
@@ -33,9 +34,9 @@ from .common import NO_ID, Scratch, id_filter, map_batches, parallelism, picked,
 LENGTH = 100
 GRAM = 24
 #: Bytes of text that a task indexes at a time; longer texts are indexed in overlapping segments.
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 1_000_000
 #: Windows of a batch, and those that a family is planned for; the number of families follows the corpus.
-BATCH_WINDOWS, FAMILY_WINDOWS = 125_000, 2_000_000
+BATCH_WINDOWS, FAMILY_WINDOWS = 250_000, 2_000_000
 #: Windows of a level that are strings at a time.
 SLICE = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
@@ -69,39 +70,70 @@ def _least(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 class SuffixFamily:
-    """Suffix arrays of windows over one text, in levels whose sizes grow geometrically. An array holds places; a window stands in one level only."""
+    """Suffix arrays of windows over one text, in levels whose sizes grow geometrically. An array holds places; a window stands in one level only. The text is made of the contexts that brought a new window."""
 
     def __init__(self, length: int = LENGTH) -> None:
-        self.length, self.text, self.used = length, np.empty(0, np.uint8), 0
+        self.length, self.text, self.used = length, np.zeros(1 << 16, np.uint8), 0
         self.levels: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]  # of the contexts in the text, by batch
 
-    def strings(self, places: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.length)[places]).view(f"S{self.length}").ravel()
+    def strings(self, places: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text if text is None else text, self.length)[places]).view(f"S{self.length}").ravel()
 
     def add(self, contexts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Index a batch of contexts (their bytes, one after the other); for each of their windows whether it stands in an earlier batch, or earlier in this one."""
-        places = self.used + _window_places(sizes, self.length)
-        self._append(contexts)
-        windows = self.strings(places)
-        order = np.argsort(windows, kind="stable")
-        ranked = windows[order]
-        first = np.ones(len(ranked), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
-        array, ranked = places[order[first]], ranked[first]
-        known = np.zeros(len(array), bool)
+        rest = ~self._whole(contexts, sizes)
+        inside = np.repeat(rest, sizes - self.length + 1)
+        seen = ~inside
+        if rest.any():
+            places = self.used + _window_places(sizes[rest], self.length)
+            self._append(contexts[np.repeat(rest, sizes)])
+            self.ends.append(self.ends[-1][-1] + np.cumsum(sizes[rest]))
+            seen[inside] = self._add(places)
+        return seen
+
+    def _whole(self, contexts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each context whether all of it stands in the text, or in an earlier context of this batch, at a place where its first window does: the match of the first windows is extended."""
+        starts, most = np.cumsum(sizes) - sizes, int(sizes.max())
+        padded = np.concatenate([contexts, np.zeros(most, np.uint8)])
+        order, first, distinct = _ranked(self.strings(starts, padded))
+        group = np.empty(len(sizes), np.int64)
+        group[order] = np.cumsum(first) - 1
+        place, leader = self._places(distinct)[group], order[first][group]
+        self._reserve(most)
+        ends, found = np.concatenate(self.ends), np.zeros(len(sizes), bool)
+        tries = np.flatnonzero(place >= 0)
+        tries = tries[ends[np.searchsorted(ends, place[tries], side="right")] >= place[tries] + sizes[tries]]
+        found[tries] = _same(self.text, place[tries], padded, starts[tries], sizes[tries])
+        tries = np.flatnonzero(~found & (leader < np.arange(len(sizes))) & (sizes[leader] >= sizes))
+        found[tries] = _same(padded, starts[leader[tries]], padded, starts[tries], sizes[tries])
+        return found
+
+    def _places(self, ranked: np.ndarray) -> np.ndarray:
+        """Where each of these windows (sorted, distinct) stands in the text, or -1."""
+        out = np.full(len(ranked), -1)
         for level in self.levels:
             for mine, theirs in self._side_by_side(level, ranked):
-                known[mine.start + self._merged(level[theirs], ranked[mine])[1]] = True
-        seen = np.empty(len(windows), bool)
+                _, there, here = self._merged(level[theirs], ranked[mine])
+                out[mine.start + here] = level[theirs][there]
+        return out
+
+    def _add(self, places: np.ndarray) -> np.ndarray:
+        order, first, ranked = _ranked(self.strings(places))
+        array, known = places[order[first]], self._places(ranked) >= 0
+        seen = np.empty(len(places), bool)
         seen[order] = ~first | known[np.cumsum(first) - 1]
         self._push(array[~known])
         return seen
 
-    def _append(self, contexts: np.ndarray) -> None:
-        if self.used + len(contexts) > len(self.text):
-            grown = np.empty(max(2 * len(self.text), self.used + len(contexts)), np.uint8)
+    def _reserve(self, size: int) -> None:
+        if self.used + size > len(self.text):
+            grown = np.zeros(max(2 * len(self.text), self.used + size), np.uint8)
             grown[: self.used] = self.text[: self.used]
             self.text = grown
+
+    def _append(self, contexts: np.ndarray) -> None:
+        self._reserve(len(contexts))
         self.text[self.used : self.used + len(contexts)] = contexts
         self.used += len(contexts)
 
@@ -113,14 +145,15 @@ class SuffixFamily:
         for a, b, at in zip(cuts, [*cuts[1:], len(ranked)], starts, strict=True):
             yield slice(int(a), int(b)), slice(int(at), int(at) + SLICE)
 
-    def _merged(self, places: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of a slice of a level followed by a slice of sorted strings (two ascending runs, which the stable sort merges), and which of the latter equal their neighbour in the former."""
+    def _merged(self, places: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of a slice of a level followed by a slice of sorted strings (two ascending runs, which the stable sort merges), and which of the former and of the latter are equal neighbours."""
         if not len(ranked):
-            return np.arange(len(places)), np.empty(0, np.int64)
+            return np.arange(len(places)), np.empty(0, np.int64), np.empty(0, np.int64)
         both = np.concatenate([self.strings(places), ranked])
         order = np.argsort(both, kind="stable")
         both = both[order]
-        return order, order[1:][both[1:] == both[:-1]] - len(places)
+        equal = np.flatnonzero(both[1:] == both[:-1])
+        return order, order[equal], order[equal + 1] - len(places)
 
     def _push(self, array: np.ndarray) -> None:
         while self.levels and len(array) and len(self.levels[-1]) <= 2 * len(array):
@@ -144,6 +177,26 @@ class SuffixFamily:
         return np.concatenate(out)
 
 
+def _ranked(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the windows, which of them in this order is the first of its like, and the sorted distinct windows."""
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    first = np.ones(len(ranked), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    return order, first, ranked[first]
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` bytes at these places of a and of b are the same. Both are long enough for the largest size at each place."""
+    out = np.empty(len(at), bool)
+    for k in range(0, len(at), 10_000):
+        some = slice(k, k + 10_000)
+        most = int(sizes[some].max())
+        left, right = (np.lib.stride_tricks.sliding_window_view(x, most)[t[some]] for x, t in ((a, at), (b, bt)))
+        out[some] = ((left == right) | (np.arange(most) >= sizes[some][:, None])).all(axis=1)
+    return out
+
+
 def _window_places(sizes: np.ndarray, length: int) -> np.ndarray:
     """Places of all windows of contexts that stand one after the other."""
     counts = sizes - length + 1

@@ -67,9 +67,11 @@ def test_random_edits(spark, seed, contexts, monkeypatch):
 def test_family_levels(monkeypatch):
     monkeypatch.setattr(sd, "SLICE", 7)
     rnd = random.Random(0)
-    family, seen = sd.SuffixFamily(6), set()
+    family, seen, pool = sd.SuffixFamily(6), set(), []
     for _ in range(40):
         batch = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(6, 12))) for _ in range(rnd.randint(1, 20))]
+        batch += rnd.sample(pool, min(5, len(pool))) + [x[1:] for x in rnd.sample(pool, min(3, len(pool))) if len(x) > 6]
+        pool += batch
         monkeypatch.setattr(sd, "BATCH_WINDOWS", rnd.randint(1, 50))
         got = family.add(np.frombuffer(b"".join(batch), np.uint8), np.array([len(x) for x in batch]))
         windows = [x[k : k + 6] for x in batch for k in range(len(x) - 5)]
