@@ -1,25 +1,30 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index has a posting (term, doc, place) for every occurrence in the corpus of a word that occurs in the benchmark; words are known by a 64-bit hash.
-A window (13 consecutive words of an item, or a shorter item as a whole) is looked up from its rarest words: the postings of the rarest
-one, shifted by its offset, are places where the item may be aligned; they are intersected with the shifted postings of the next rarest ones. Windows that have the same
-rarest words at the same places of the item share the look-up. What is left is compared word by word.
+Words are known by a 64-bit hash. A window (13 consecutive words of an item, or a shorter item as a whole) is looked up from its rarest words, its anchors:
 
-Nothing is grouped by term but counts, which are combined before the shuffle, and the look-up table is broadcast if it is small, so a frequent word doesn't gather in one task.
+1. The words of the benchmark are counted in the corpus; counts are combined before the shuffle.
+2. The index has a posting (term, doc, place) for every occurrence of an anchor, and of no other word.
+3. The postings of a window's rarest word, shifted by its offset, are places where the text may be aligned; they are intersected with the shifted postings of its next rarest ones. Windows that have the same
+   anchors at the same places of their text share the look-up, and windows of equal words are one.
+4. What is left is compared word by word: candidates meet the words of their document in pieces of ``PIECE`` words, so the work is linear in words and candidates.
+
+Nothing is grouped by term but counts, and the look-up table is broadcast if it is small, so a frequent word doesn't gather in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, let, staged
+from .common import Scratch, ascii_lower, id_filter, let, picked, staged
 
 # Fixed value: what separates words, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms whose shifted postings are intersected before words are compared.
 RAREST = 3
+#: Words of a document that candidates are compared with at a time.
+PIECE = 4096
 #: Rows of a look-up table that is broadcast (under 200 bytes each), and of the table with the windows themselves (under 2 KB each); larger ones are shuffled, where adaptive execution splits skewed terms.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_WINDOWS = 200_000, 20_000
 
@@ -41,10 +46,25 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("text_key", "item", "w", F.explode(starts).alias("first")).select("text_key", "item", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
 
 
+def hashed(text: Column) -> Column:
+    """The words of the text as terms."""
+    return F.transform(words(text), lambda w: F.xxhash64(ascii_lower(w)))
+
+
+def frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """term and n: how often each of the given terms stands in whole texts."""
+    tokens = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"))
+    count = lambda df: df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return count(tokens.join(F.broadcast(terms), "term", "left_semi")) if n_terms <= MAX_BROADCAST_ROWS else count(tokens).join(terms, "term", "left_semi")
+
+
 def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """Postings (term, doc, place) of the given terms in whole texts; place counts words from 0."""
     tokens = docs.select(F.col("doc_id").alias("doc"), F.posexplode(words(F.col("text"))).alias("place", "word"))
-    return tokens.select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"), "doc", "place").join(_small(terms, n_terms), "term", "left_semi")
+    postings = tokens.select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"), "doc", "place")
+    if n_terms > MAX_BROADCAST_ROWS:
+        postings = picked(postings, "term", id_filter(terms))
+    return postings.join(_small(terms, n_terms), "term", "left_semi")
 
 
 def lookups(wins: DataFrame, counts: DataFrame, n_terms: int) -> DataFrame:
@@ -58,10 +78,8 @@ def lookups(wins: DataFrame, counts: DataFrame, n_terms: int) -> DataFrame:
     return wins.join(by_window.where(F.col("least") > 0), ["text_key", "first"]).drop("least").withColumn("anchors", anchors)
 
 
-def alignments(postings: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFrame:
-    """anchor_id, doc and delta (the place of the benchmark text's word 0) where the shifted postings of all anchors meet."""
-    groups = scratch(wins.select("text_key", "anchors").distinct().select(F.xxhash64("text_key", "anchors").alias("anchor_id"), "anchors"), "decontam-anchors")
-    n = groups.count()
+def alignments(postings: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """anchor_id, doc and delta (the place of the benchmark text's word 0) where the shifted postings of all anchors meet. ``groups``: n rows of anchor_id and anchors."""
     met = None
     for k in range(RAREST):
         asked = groups.where(F.size("anchors") > k).select("anchor_id", F.col("anchors")[k]["term"].alias("term"), F.col("anchors")[k]["at"].alias("at"))
@@ -77,29 +95,49 @@ def alignments(postings: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFr
     return met.distinct()
 
 
+def places(docs: DataFrame, wins: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
+    """doc, text_hash, text_key, first, start and length (words) of each place in ``docs`` where one of ``wins`` (text_key, first, terms; no two of the same terms) stands."""
+    terms = wins.select(F.explode("terms").alias("term")).distinct()
+    n_terms = terms.count()
+    counts = scratch(frequencies(docs, terms, n_terms), "decontam-counts")
+    looked = scratch(lookups(wins, counts, n_terms).withColumn("anchor_id", F.xxhash64("text_key", "anchors")), "decontam-lookups")
+    rare = scratch(looked.select(F.explode("anchors").alias("a")).select("a.term").distinct(), "decontam-terms")
+    postings = scratch(index(docs, rare, rare.count()), "decontam-postings")
+    groups = scratch(looked.select("anchor_id", "anchors").distinct(), "decontam-anchors")
+    met = scratch(alignments(postings, groups, groups.count()), "decontam-candidates")
+    asked = looked.select("anchor_id", "text_key", "first", "terms")
+    start = F.col("delta") + F.col("first")
+    found = met.join(_small(asked, asked.count(), MAX_BROADCAST_WINDOWS), "anchor_id").where(start >= 0).select(F.col("doc").alias("__doc"), F.floor(start / PIECE).alias("piece"), F.struct(start.alias("start"), "text_key", "first", "terms").alias("c"))
+    candidates = found.groupBy("__doc", "piece").agg(F.collect_list("c").alias("candidates"))
+    near = picked(docs.select("doc_id", "text"), "doc_id", id_filter(met.select("doc")))
+
+    def pieces(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), lambda i: F.struct(i.cast("long").alias("piece"), F.slice(w, i * PIECE + 1, F.lit(PIECE + size - 1)).alias("w")))
+
+    parts = near.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), hashed(F.col("text")).alias("w")).where(F.size("w") > 0).select("doc", "text_hash", F.explode(pieces(F.col("w"))).alias("p"))
+    pairs = parts.select("doc", "text_hash", F.col("p.piece").alias("__piece"), "p.w").join(candidates, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("__piece") == F.col("piece")))
+    fit = F.filter("candidates", lambda c: F.slice("w", (c["start"] - F.col("piece") * PIECE).cast("int") + 1, F.size(c["terms"])) == c["terms"])
+    hits = pairs.select("doc", "text_hash", F.explode(F.transform(fit, lambda c: F.struct(c["text_key"].alias("text_key"), c["first"].alias("first"), c["start"].alias("start"), F.size(c["terms"]).alias("length")))).alias("x"))
+    return hits.select("doc", "text_hash", "x.*").distinct()
+
+
+def known_windows(benchmark: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The windows of the benchmark, those of equal words once (text_key, first, terms), and the items that have them (text_key, first, item)."""
+    every = scratch(windows(benchmark, size), "decontam-windows")
+    once = every.groupBy("terms").agg(F.min(F.struct("text_key", "first")).alias("w"))
+    wins = scratch(once.select("w.text_key", "w.first", "terms"), "decontam-distinct")
+    members = every.select("item", "terms").join(wins, "terms").select("text_key", "first", "item").distinct()
+    return wins, scratch(members, "decontam-members")
+
+
 def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """doc, text_hash, item, first, start and length (words) of each place in ``docs`` where a window of ``benchmark`` stands.
+    """doc, text_hash, item, start and length (words) of each place in ``docs`` where a window of an item of ``benchmark`` stands.
 
     Rows that share a doc_id are told apart by text_hash. Null texts and ids: a null text has no words; a null doc_id is an id like others; a null item_id is a null item, whose words count as others' do.
     """
     scratch = scratch or Scratch()
-    wins = scratch(windows(benchmark, size), "decontam-windows")
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
-    n_terms = terms.count()
-    postings = scratch(index(docs, terms, n_terms), "decontam-postings")
-    looked = scratch(lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), n_terms), "decontam-lookups")
-    found = alignments(postings, looked, scratch)
-    candidates = scratch(found, "decontam-candidates")
-    some = candidates.select("doc").distinct()
-    mine = docs.select(F.col("doc_id").alias("doc"), "text").join(some.withColumnRenamed("doc", "__doc"), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi")
-    hashed = mine.select("doc", F.xxhash64("text").alias("text_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w"))
-    by_anchor = looked.withColumn("anchor_id", F.xxhash64("text_key", "anchors")).groupBy("anchor_id").agg(F.min("item").alias("item"), F.collect_list(F.struct("first", "terms")).alias("wins"))
-    here = candidates.withColumnRenamed("doc", "__doc").join(_small(by_anchor, by_anchor.count(), MAX_BROADCAST_WINDOWS), "anchor_id")
-    pairs = here.join(hashed, F.col("__doc").eqNullSafe(F.col("doc")))
-    start = lambda w: F.col("delta") + w["first"]
-    fit = F.filter("wins", lambda w: (start(w) >= 0) & (F.slice("w", F.greatest(start(w), F.lit(0)) + 1, F.size(w["terms"])) == w["terms"]))
-    hits = pairs.select("doc", "text_hash", "item", "delta", F.explode(F.transform(fit, lambda w: F.struct(w["first"].alias("first"), F.size(w["terms"]).alias("length")))).alias("x"))
-    return hits.select("doc", "text_hash", "item", F.col("x.first").alias("first"), (F.col("delta") + F.col("x.first")).alias("start"), F.col("x.length").alias("length")).distinct()
+    wins, members = known_windows(benchmark, size, scratch)
+    return places(docs, wins, scratch, size).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "start", "length").distinct()
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 5) -> DataFrame:
@@ -110,12 +148,13 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     wins = staged(windows(benchmark.where(F.col("item_id").isNotNull()), size), "proximity-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
     n_terms = terms.count()
-    postings = staged(index(docs, terms, n_terms), "proximity-postings")
-    looked = lookups(wins, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), n_terms).select("item", "first", "terms", F.col("anchors")[0]["term"].alias("term"))
+    looked = staged(lookups(wins, frequencies(docs, terms, n_terms), n_terms).select("item", "first", "terms", F.col("anchors")[0]["term"].alias("term")), "proximity-lookups")
+    rare = looked.select("term").distinct()
+    postings = staged(index(docs, rare, rare.count()), "proximity-postings")
     near = postings.join(F.broadcast(looked) if looked.count() <= MAX_BROADCAST_ROWS else looked, "term")
-    hashed = docs.select(F.col("doc_id").alias("__doc"), F.transform(words(F.col("text")), lambda w: F.xxhash64(ascii_lower(w))).alias("w"))
+    whole = docs.select(F.col("doc_id").alias("__doc"), hashed(F.col("text")).alias("w"))
     reach = F.size("terms") + slop
-    starts = near.join(hashed, F.col("doc").eqNullSafe(F.col("__doc"))).withColumn("start", F.explode(F.sequence(F.greatest(F.col("place") - reach + 1, F.lit(0)), F.col("place"))))
+    starts = near.join(whole, F.col("doc").eqNullSafe(F.col("__doc"))).withColumn("start", F.explode(F.sequence(F.greatest(F.col("place") - reach + 1, F.lit(0)), F.col("place"))))
     stretch = starts.withColumn("s", F.slice("w", F.col("start") + 1, reach)).where(F.array_contains("terms", F.col("s")[0]))
     enough = F.forall(F.array_distinct("terms"), lambda t: F.size(F.filter("s", lambda x: x == t)) >= F.size(F.filter("terms", lambda x: x == t)))
     return stretch.where(enough).select("doc", "item", "first", "start").distinct()
@@ -127,11 +166,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     Benchmark rows without an item_id count for n_hit and contaminated, and are not among the items.
     """
     scratch = Scratch()
-    hits = staged(exact_matches(docs, benchmark, size, scratch), "decontam-hits")
+    wins, members = known_windows(benchmark, size, scratch)
+    hits = staged(places(docs, wins, scratch, size), "decontam-hits")
+    items = staged(hits.select("doc", "text_hash", "text_key", "first").distinct().join(members, ["text_key", "first"]).groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items")), "decontam-items")
     scratch.clear()
-    places = hits.select("doc", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
-    n_hit = places.groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # A hit counts the words that no earlier one of its text covers.
+    longest = hits.groupBy("doc", "text_hash", "start").agg((F.col("start") + F.max("length")).alias("end"))
+    before = F.max("end").over(Window.partitionBy("doc", "text_hash").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    n_hit = longest.withColumn("fresh", F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0))).groupBy("doc", "text_hash").agg(F.sum("fresh").alias("n_hit"))
     both = n_hit.join(items, [n_hit["doc"].eqNullSafe(items["doc"]), n_hit["text_hash"] == items["text_hash"]]).select(n_hit["doc"].alias("__doc"), n_hit["text_hash"].alias("__hash"), "n_hit", "items")
     n_words = let(F.split(F.coalesce("text", F.lit("")), SEPARATORS, -1), lambda p: F.size(p) - (F.get(p, F.lit(0)) == "").cast("int") - ((F.size(p) > 1) & (F.get(p, F.size(p) - 1) == "")).cast("int"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("__text"), n_words.cast("long").alias("n_words"))

@@ -85,3 +85,22 @@ def test_null_items(spark):
     want = sorted(brute([r[:2] for r in rows], [(-1 if i is None else i, t) for i, t in bench]))
     assert [(g[:3], g[5]) for g in got] == [(w[:3], w[5]) for w in want] and [g[5] for g in got] == [True, True, True, True, False]
     assert [g[3] for g in got] == [0, 1, 1, 0, 0] and [g[4] for g in got] == [hashlib.sha256(s).hexdigest() for s in (b"", b"7", b"7", b"", b"")]
+
+
+def test_long_text_with_short_items(spark, monkeypatch):
+    """Work is linear in words and candidates: a text of 200,000 equal words, an item of one word and one of many equal ones; and seams between pieces of a text."""
+    bench = [(1, "ab"), (2, "ab " * 500), (3, "cd"), (4, " ".join(f"w{i}" for i in range(30)))]
+    rows = [(1, "ab " * 200_000, None, None, None, 0.0, 0, 0, ""), (2, "x " * 4090 + bench[3][1] + " x" * 4050 + " " + bench[3][1] + " cd", None, None, None, 0.0, 0, 0, ""), (3, "x y", None, None, None, 0.0, 0, 0, "")]
+    got = sorted(map(tuple, decontam.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()))
+    assert got == brute([r[:2] for r in rows], bench)
+    assert [r[2] for r in got] == [200_000, 61, 0]
+
+
+def test_shuffled_tables(spark, docs, monkeypatch):
+    """Where nothing is small enough to be broadcast, and with pieces of few words."""
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "PIECE", 16)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    got = sorted(map(tuple, decontam.contamination(docs, bench).collect()), key=repr)
+    assert got == sorted(brute([(r["doc_id"], r["text"]) for r in docs.collect()], [x for x in items() if x[0] is not None]), key=repr)
