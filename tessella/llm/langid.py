@@ -10,6 +10,8 @@ The profiles are learned from a bounded sample: each language's rows are thinned
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,9 @@ PROFILE = 300
 #: Expected rows of each language that profiles are learned from.
 TRAIN_ROWS = 3000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+# Python's \w has the letters (Unicode category L), the digits, the underscore and the numbers that are no digits, such as a half or a Roman eight.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _CACHE_WORDS = 100_000
 
 
@@ -53,10 +57,15 @@ class Counts:
         words = Counter(_WORD.findall(text.lower()))
         if not words:
             return None
-        parts = [self._numbers(w) for w in words]
-        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        numbers, back = np.unique(np.concatenate(parts), return_inverse=True)
-        return numbers, np.bincount(back, weights).astype(np.int64)
+        parts = list(map(self._numbers, words))
+        weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        every = np.concatenate(parts)
+        if len(self.number) > 8 * len(every):
+            numbers, back = np.unique(every, return_inverse=True)
+            return numbers, np.bincount(back, weights).astype(np.int64)
+        counts = np.bincount(every, weights)
+        numbers = np.flatnonzero(counts)
+        return numbers, counts[numbers].astype(np.int64)
 
 
 def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +121,12 @@ class Profiles:
         if got is None:
             return UNKNOWN, 0.0
         numbers, counts = got
-        # Ties: known n-grams by their text, then the others, all of which are as far from every language.
-        top = numbers[np.lexsort((np.minimum(numbers, self.known), -counts))[: self.length]]
+        # Most frequent first; ties: known n-grams by their text, then the others, all of which are as far from every language.
+        place = np.minimum(numbers, self.known) - counts * (self.known + 1)
+        if len(place) > self.length:
+            most = np.argpartition(place, self.length - 1)[: self.length]
+            numbers, place = numbers[most], place[most]
+        top = numbers[np.argsort(place, kind="stable")]
         ranks = self.ranks[:, np.minimum(top, self.known)]
         out = np.where(ranks < 0, self.length, np.minimum(np.abs(ranks - np.arange(len(top))), self.length)).sum(axis=1)
         order = np.argsort(out, kind="stable")

@@ -18,15 +18,36 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(held) > 20 and sum(held) >= 0.95 * len(held)
 
 
-def brute(text, profiles):
+def distances(text, profiles):
+    """The nearest language and the score, or None for a text without a letter."""
     counts = {}
     for w in langid._WORD.findall(text.lower()):
         for g in langid._grams(w):
             counts[g] = counts.get(g, 0) + 1
+    if not counts:
+        return None
     known = {g for p in profiles.values() for g in p}
     ranked = sorted(counts, key=lambda g: (-counts[g], g not in known, g))[: langid.PROFILE]
-    best = min(sorted(profiles), key=lambda k: sum(min(abs(profiles[k].index(g) - i), langid.PROFILE) if g in profiles[k] else langid.PROFILE for i, g in enumerate(ranked)))
-    return best
+    out = {k: sum(min(abs(p.index(g) - i), langid.PROFILE) if g in p else langid.PROFILE for i, g in enumerate(ranked)) for k, p in profiles.items()}
+    best = min(sorted(out), key=out.get)
+    return best, 1 - out[best] / (langid.PROFILE * len(ranked))
+
+
+def brute(text, profiles):
+    return distances(text, profiles)[0]
+
+
+def test_learn_against_plain_python(spark, docs):
+    """The most frequent n-grams of each language's rows, ties by text; repeated rows count as often as they stand."""
+    from collections import Counter
+
+    want = {}
+    for r in docs.collect():
+        if r["lang"] is not None and r["text"] is not None:
+            for w in langid._WORD.findall(r["text"].lower()):
+                want.setdefault(r["lang"], Counter()).update(langid._grams(w))
+    want = {k: sorted(c, key=lambda g: (-c[g], g))[: langid.PROFILE] for k, c in want.items()}
+    assert langid.learn(docs) == want
 
 
 def test_against_plain_python():
@@ -39,12 +60,28 @@ def test_against_plain_python():
         assert model.predict(text)[0] == brute(text, profiles)
 
 
+def test_only_letters_are_letters():
+    """Numbers of any kind, marks and signs are no letters; letters that count as numbers are."""
+    import unicodedata
+
+    model = langid.Profiles({"aa": langid._grams("abc"), "zh": langid._grams("一二三")})
+    for text in ("½ ² 12", "Ⅷ ①", "٣ ४", "_", "́", "🙂", "1²_½"):
+        assert model.predict(text) == ("und", 0.0), text
+    assert model.predict("½ 一二三")[0] == "zh" and model.predict("a½b")[0] == "aa"
+    rnd = random.Random(1)
+    for c in map(chr, [*range(0x3000), *(rnd.randrange(0x3000, 0x110000) for _ in range(20_000))]):
+        assert bool(langid._WORD.search(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
 def test_awkward_rows(spark, docs):
     profiles = langid.learn(docs)
     got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.identify(docs, profiles).collect()}
     assert got[None, None] == ("und", 0.0)
     for (_, t), (lang, _) in got.items():
         assert (lang == "und") == (not t or not any(c.isalpha() for c in t))
+    for t, (lang, score) in ((t, x) for (_, t), x in got.items() if t):
+        want = distances(t, profiles)
+        assert (lang, score) == (("und", 0.0) if want is None else (want[0], pytest.approx(want[1])))
     assert langid.identify(empty(spark), profiles).count() == 0
     nothing = langid.learn(docs.where("false"))
     assert nothing == {} and langid.identify(docs, nothing).where(F.col("lang_pred") != "und").count() == 0
