@@ -1,12 +1,15 @@
 """Similarity join on word n-grams: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Shingles are counted in a sketch of fixed size over all documents. A shingle's place in the common order is its count's logarithm in the sketch, then its hash: rare ones come first. Any order gives
-   the same links; the sketch only decides how few candidates there are.
-2. Documents with equal sets are one node (known by a 64-bit digest and the set's size). The prefix of a node is its first ``n - ceil(t n) + 1`` shingles; two sets that are similar enough share one.
+1. Shingles have one order for all documents: first those of the *pool*, a fixed share of the hashes, by the number of sets that have them, rare ones first; then the others, by hash. The share is twice the part of a
+   set that a prefix takes, so nearly all prefixes lie in the pool, and only the pool is counted: exactly, at any size of the corpus. Any order gives the same links; the counts decide how few candidates there are.
+2. Documents with equal sets are one node, known by a 64-bit digest and the set's size. The prefix of a node is its first ``n - ceil(t n) + 1`` shingles; two sets that are similar enough share one. Pool shingles that
+   stand in one node only come first and are never written: most prefixes have nothing else.
 3. Nodes that share a prefix shingle are candidates if their sizes and places allow the overlap (length and positional filter) and so do the counts of their shingles in ranges of the hash (the suffix filter,
    with fixed pivots). A pair is verified once, whatever number of shingles it shares.
 4. In a first round each node is compared with one hub of its shingle only, the node in which the shingle stands first. This joins a large group of near copies in linear work. Later only nodes
-   that are still in different components are compared, which decides on the same components as all pairs.
+   that are still in different components are compared, within bands of like size, which decides on the same components as all pairs.
+
+No key is hot: counts are combined before the shuffle, and a hub that many nodes are compared with is dealt out, its set once for each ``HUB_PAIRS`` of them.
 
 Documents are read as bytes: words are what stands between ASCII white space, A-Z in lower case.
 """
@@ -14,24 +17,25 @@ Documents are read as bytes: words are what stands between ASCII white space, A-
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, id_filter, map_batches, picked, sliced, staged
+from .common import discard, id_filter, map_batches, picked, sliced, staged
 from .components import components
 
 SHINGLE = 3
 #: Similarity as a fraction: 100 * intersection >= 90 * union.
 THRESHOLD = (90, 100)
-#: Counters of the frequency sketch (one byte each when it is shared).
-SKETCH = 1 << 22
 PIVOTS = 16
+#: Candidates of one hub that meet one copy of its set.
+HUB_PAIRS = 500
 _CACHE_WORDS = 300_000
 
 
@@ -65,41 +69,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _slots(sets: np.ndarray, sketch: int) -> np.ndarray:
-    return (sets & np.int64(sketch - 1)).astype(np.int64)
-
-
-#: Counters that travel as one row.
-BLOCK = 1 << 16
-
-
-def frequencies(docs: DataFrame, size: int, sketch: int = SKETCH) -> np.ndarray:
-    """For each counter the logarithm (base 2, in quarters) of the number of documents that have one of its shingles. Bounded: one number a counter, whatever the corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(size), np.zeros(sketch, np.uint32)
-        for batch in sliced(batches, 2000):
-            slots = np.concatenate([_slots(shingler.shingles(t), sketch) for t in batch.column(0).to_pylist()])
-            total += np.bincount(slots, minlength=sketch).astype(np.uint32)
-        if total.any():
-            for block, part in enumerate(np.split(total, sketch // BLOCK)):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.uint32)
-                sums[block] = sums[block] + part if block in sums else part.astype(np.uint64)
-        for block, x in sums.items():
-            ranks = np.minimum(np.floor(4 * np.log2(x + 1.0)), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["block", "counts"])
-
-    schema, out = "block int, counts binary", np.zeros(sketch, np.uint8)
-    added = map_batches(map_batches(docs.select("text"), count, schema).repartition(sketch // BLOCK, "block"), add, schema)
-    for row in added.collect():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
-    return out
+def _digest(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _need(n: int, threshold: tuple[int, int]) -> int:
@@ -107,33 +78,48 @@ def _need(n: int, threshold: tuple[int, int]) -> int:
     return -(-threshold[0] * n // threshold[1])
 
 
-def profiles(docs: DataFrame, rank: np.ndarray, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """id, n, digest, prefix (rarest first) and pivots (shingles in ranges of the hash) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def _pool_end(threshold: tuple[int, int]) -> int:
+    """Hashes below it (as signed numbers) are the pool: twice the share of a prefix."""
+    share = min(Fraction(1), 2 * (1 - Fraction(*threshold)))
+    return int(share * (2**64 - 1)) - 2**63
+
+
+def profiles(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """id, n, digest, pool (its shingles in the pool), more (the others that the prefix needs, if the pool has too few) and pivots (shingles in ranges of the hash) of every document."""
+    end = _pool_end(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(size), shared.value
+        shingler = Shingler(size)
         for batch in sliced(batches, 1000):
             rows = []
             for t in batch.column(1).to_pylist():
                 s = shingler.shingles(t)
-                n = len(s)
-                p = n - _need(n, threshold) + 1 if n else 0
-                order = rank[_slots(s, len(rank))]
-                if p < n:
-                    edge = np.partition(order, p - 1)[p - 1]
-                    near = np.flatnonzero(order <= edge)
-                    prefix = s[near[np.lexsort((s[near], order[near]))[:p]]]
-                else:
-                    prefix = s
+                n, k = len(s), int(np.searchsorted(s, end))
                 bins = np.bincount((s.view(np.uint64) >> np.uint64(60)).astype(np.int64), minlength=PIVOTS)
-                rows.append((n, int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), prefix, bins))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))],
-                names=["id", "n", "digest", "prefix", "pivots"],
-            )
-
-    return map_batches(docs.select("id", "text"), run, "id long, n int, digest long, prefix array<long>, pivots array<int>")
+                rows.append((n, _digest(s), s[:k], s[k : max(k, n - _need(n, threshold) + 1 if n else 0)], bins))
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["id", "n", "digest", "pool", "more", "pivots"])
+
+    return map_batches(docs.select("id", "text"), run, "id long, n int, digest long, pool array<long>, more array<long>, pivots array<int>")
+
+
+def prefixes(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """shingle, node, n and i (its place in the order) of the prefix shingles that more than one node has. ``nodes``: node, n, pool and more."""
+    pooled = nodes.select("node", "n", F.size("pool").alias("pooled"), F.explode("pool").alias("shingle"))
+    shared = staged(pooled.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1), "join-shared")
+    # Most shingles of the pool stand in one node; a bitmap keeps nearly all of them from the shuffle.
+    mine = picked(pooled, "shingle", id_filter(shared.select("shingle"))).join(shared, "shingle")
+    of_node = Window.partitionBy("node")
+    alone = F.col("pooled") - F.count(F.lit(1)).over(of_node)
+    placed = mine.select("shingle", "node", "n", (alone + F.row_number().over(of_node.orderBy("sets", "shingle")) - 1).cast("int").alias("i"))
+    others = nodes.where(F.size("more") > 0).select("node", "n", F.size("pool").alias("pooled"), F.posexplode("more").alias("k", "shingle")).select("shingle", "node", "n", (F.col("pooled") + F.col("k")).alias("i"))
+    last = F.col("n") - F.ceil(F.col("n").cast("long") * threshold[0] / threshold[1] - 1e-9)
+    entries = staged(placed.unionByName(others).where(F.col("i") <= last), "join-prefixes")
+    discard(shared)
+    twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("shingle")
+    out = staged(entries.join(twice, "shingle", "left_semi").select("shingle", "node", "n", "i"), "join-entries")
+    discard(entries)
+    return out
 
 
 def _overlap(threshold: tuple[int, int], a: str = "n", b: str = "m"):
@@ -149,38 +135,60 @@ def _possible(threshold: tuple[int, int]):
     return (low * F.greatest("n", "m") <= high * F.least("n", "m")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _overlap(threshold))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by their whole sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = picked(docs, "id", id_filter(ids))
+def _band(threshold: tuple[int, int], n: str):
+    """Sets that are similar enough are in the same band of sizes or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / (math.log(threshold[1] / threshold[0]) * 1.0001)).cast("int")
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and its whole set, of ``nodes`` (node, id: of a document that has the set)."""
+    near = picked(docs, "id", id_filter(nodes.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in sliced(batches, 64):
             sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    # Few documents are picked that have a set of these but another id; rows that share an id are told apart by the digest.
+    return map_batches(near.select("id", "text"), run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
 
-    sets = map_batches(near.select("id", "text"), run, "id long, set array<long>").join(ids, "id", "left_semi")
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by their whole sets."""
+    asked = staged(nodes.select("node", "id").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), "join-asked")
+    sets = staged(node_sets(docs, asked, size), "join-sets")
+    discard(asked)
+    # Each pair meets the set of its less frequent side by a plain key, and that of the other by a copy for so many pairs.
+    counts = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB_PAIRS)
+    many = staged(counts, "join-hubs")
+    of = lambda side: many.select(F.col("x").alias(side), F.col("k").alias(f"k_{side}"))
+    sized = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("k_a", F.lit(1)).alias("ka"), F.coalesce("k_b", F.lit(1)).alias("kb"))
+    salt = lambda k, other: F.pmod(F.xxhash64(other), F.ceil(F.col(k) / HUB_PAIRS))
+    salted = staged(sized.select("a", "b", salt("ka", "b").alias("sa"), salt("kb", "a").alias("sb")), "join-salted")
+
+    def copies(side: str, name: str) -> DataFrame:
+        wanted = salted.select(F.col(side).alias("node"), F.col(f"s{side}").alias("s")).distinct()
+        return wanted.join(sets, "node").select(F.col("node").alias(side), F.col("s").alias(f"s{side}"), F.col("set").alias(name))
+
+    both = salted.join(copies("a", "x"), ["a", "sa"]).join(copies("b", "y"), ["b", "sb"])
     common = F.size(F.array_intersect("x", "y"))
-    sized = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
-    return sized.where(threshold[1] * F.col("common") >= threshold[0] * (F.col("sum") - F.col("common"))).select("a", "b").distinct()
+    alike = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sum")).where(threshold[1] * F.col("common") >= threshold[0] * (F.col("sum") - F.col("common")))
+    out = staged(alike.select("a", "b").distinct(), "join-links")
+    for done in (sets, many, salted):
+        discard(done)
+    return out
 
 
 def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """id, n_shingles, component of every row of ``docs`` (id, text): the least id reachable by links.
-
-    Rows with an empty set are linked with nothing.
-    """
-    rank = frequencies(docs, size)
-    rows = staged(profiles(docs, rank, size, threshold), "join-profiles")
-    nodes = staged(rows.where(F.col("n") > 0).groupBy("digest", "n").agg(F.min("id").alias("node"), F.min_by("prefix", "id").alias("prefix"), F.min_by("pivots", "id").alias("pivots")), "join-nodes")
-    # Most shingles stand in one node only. They go first, by their hash alone, as every column of such a row would cost more than what is left.
-    entries = nodes.select("node", F.posexplode("prefix").alias("i", "shingle"), "n").select("shingle", "node", (F.col("i") * F.lit(2**32) + F.col("n")).alias("place"))
-    twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("shingle")
-    shared = entries.join(twice, "shingle", "left_semi").select("shingle", "node", (F.col("place") % 2**32).cast("int").alias("n"), F.shiftright("place", 32).cast("int").alias("i"))
-    shared = staged(shared, "join-entries")
-    # The hub of a shingle is the node in which it stands first; ties: the smaller set, then the smaller id.
+    """id, n_shingles and component (the least id of its documents, null if none has one) of every row of ``docs`` (id, text). Rows with an empty set are linked with nothing."""
+    rows = staged(profiles(docs, size, threshold), "join-profiles")
+    full = rows.where(F.col("n") > 0)
+    # Of equal sets one is kept; ``id`` is that of a document that has it.
+    firsts = full.groupBy(F.col("digest").alias("node"), "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("pool", "more", "pivots")))
+    nodes = staged(firsts, "join-nodes")
+    shared = prefixes(nodes, threshold)
+    # The hub of a shingle is the node in which it stands first; ties: the smaller set, then the smaller node.
     hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "n", "node")).alias("hub"))
     node = nodes.select("node", "pivots")
 
@@ -198,7 +206,7 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
 
     star = shared.join(hubs, "shingle").select(F.col("node").alias("a"), "n", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j")).where(F.col("a") != F.col("b")).where(_possible(threshold))
     first = staged(of(star), "join-star-pairs")
-    links = staged(verified(docs, first, size, threshold), "join-star-links")
+    links = verified(docs, first, nodes, size, threshold)
     found = components(links)
 
     labelled = shared.select("shingle", "node", "n", "i").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -207,24 +215,26 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
     # Within a shingle only pairs of different components matter, so one of the two is outside the shingle's largest component.
     sizes = labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1).drop("parts")
-    mixed = labelled.join(major, "shingle")
-    right = mixed.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
-    rest = mixed.where(F.col("component") != F.col("major")).withColumnRenamed("node", "a").join(right, "shingle").where((F.col("component") != F.col("other")) & _possible(threshold))
+    mixed = labelled.join(major, "shingle").withColumn("band", _band(threshold, "n"))
+    right = mixed.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
+    rest = mixed.where(F.col("component") != F.col("major")).withColumnRenamed("node", "a").join(right, ["shingle", "band"]).where((F.col("component") != F.col("other")) & _possible(threshold))
     second = staged(of(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest-pairs")
-    classes = found if second.isEmpty() else components(links.unionByName(verified(docs, second, size, threshold)))
+    classes = found if second.isEmpty() else components(links.unionByName(verified(docs, second, nodes, size, threshold)))
     for done in (first, links, labelled, second):
         discard(done)
-    classes = nodes.select("digest", "n", "node").join(classes, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
-    return rows.select("id", "n", "digest").join(classes, ["digest", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    known = staged(nodes.select("node", "n", "id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-classes")
+    discard(nodes)
+    least = known.groupBy("component").agg(F.min("id").alias("least"))
+    by_set = known.join(least, "component").select(F.col("node").alias("digest"), "n", "least")
+    out = rows.select("id", "n", "digest").join(by_set, ["digest", "n"], "left")
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
 
 
 def similar(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); other columns are ignored.
 
-    A null or empty text has an empty set and is its own component. Rows without a doc_id count as one document with the least id, which comes back as null; rows that share a
-    doc_id are one document, which is linked by any of its texts. An empty table gives an empty result.
+    A null or empty text has an empty set and is its own component. Rows are judged by their texts: those that share a doc_id, or have none, link as others do, each with what its own text is similar to. component_id is
+    the least doc_id in the component, and null where no row of it has one. An empty table gives an empty result.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    out = link_classes(ids, size, threshold)
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
+    out = link_classes(docs.select(F.col("doc_id").alias("id"), "text"), size, threshold)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -3,30 +3,34 @@ import random
 import numpy as np
 import pytest
 from cases import empty, frame, words
+from pyspark.sql import functions as F
 
 from tessella.llm import ngram_join as nj
 from tessella.llm.components import components
 
 
 def brute(rows, size, t):
-    """doc_id -> (n, least id reachable), by all pairs; rows that share an id are one document."""
+    """(doc_id, n, least id reachable) of every row, by all pairs of rows."""
     sets = []
     for i, text in rows:
         w = (text or "").encode().lower().split()
         sets.append((i, {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()))
-    root = {i: i for i, _ in sets}
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
             if x and y and t[1] * len(x & y) >= t[0] * len(x | y):
-                p, q = sorted((find(i), find(j)), key=lambda v: (v is not None, v))
-                root[q] = p
-    return sorted(((i, len(x), find(i)) for i, x in sets), key=repr)
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(least.get(find(a), i), i)
+    return sorted(((i, len(x), least.get(find(a))) for a, (i, x) in enumerate(sets)), key=repr)
 
 
 def check(df, size, t):
@@ -65,9 +69,47 @@ def test_empty(spark):
     assert nj.similar(empty(spark)).count() == 0
 
 
-def test_prefix_is_rare_first():
-    s = nj.Shingler(1).shingles("a b c d e f g h i j")
-    assert len(s) == 10 and (np.diff(s) > 0).all()
+def test_rows_without_ids_and_shared_ids(spark):
+    """Two classes that have nothing in common stay apart, though each has a row without an id, and rows of one id with other texts; the least long is an id."""
+    rnd = random.Random(2)
+    one, two, three = (words(rnd, 60) for _ in range(3))
+    rows = [(1, one), (None, one), (2, two), (None, two + " more"), (7, one), (7, two), (None, three), (None, three), (-(2**63), three + " tail"), (9, "x"), (None, ""), (-(2**63), None)]
+    df = frame(spark, [(i, t, None, None, None, 0.0, 0, 0, "") for i, t in rows])
+    assert check(df, 3, (90, 100)) == 6
+    got = {tuple(r) for r in nj.similar(df).collect()}
+    assert {(c) for i, n, c in got if i is None and n > 0} == {1, 2, -(2**63)}
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """One large class, whose hub meets its members in parts."""
+    monkeypatch.setattr(nj, "HUB_PAIRS", 3)
+    rnd = random.Random(4)
+    base = words(rnd, 80).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rnd.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w), None, None, None, 0.0, 0, 0, ""))
+    assert check(frame(spark, rows), 3, (90, 100)) > 50
+
+
+def test_prefixes_are_rare_first(spark):
+    """The pool's shingles in order of the number of sets that have them: two texts that share only frequent shingles have no entries but those."""
+    rnd = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(400))])) for i in range(30)] + [(100, "same " * 3 + words(rnd, 50)), (101, "same " * 3 + words(rnd, 50))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    profile = nj.profiles(docs, 1, (90, 100))
+    assert all(r["pool"] == sorted(r["pool"]) and len(r["pool"]) + len(r["more"]) >= r["n"] - nj._need(r["n"], (90, 100)) + 1 for r in profile.collect())
+    entries = nj.prefixes(profile.select(F.col("id").alias("node"), "n", "pool", "more"), (90, 100)).collect()
+    assert not [e for e in entries if e["node"] < 100]  # 44 of 440 shingles are a prefix; about 80 of the pool stand in no other text
+
+
+def test_pool_and_bands():
+    for t in ((90, 100), (80, 100), (50, 100), (99, 100)):
+        rnd = np.random.default_rng(1)
+        s = np.sort(rnd.integers(-(2**63), 2**63 - 1, 10_000))
+        assert abs(np.searchsorted(s, nj._pool_end(t)) / 10_000 - min(1, 2 * (1 - t[0] / t[1]))) < 0.02
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 102), (29, 200)], [(-(2**63), 5), (5, 5), (7, 5)]])
