@@ -1,9 +1,10 @@
 """Similarity join on word n-grams: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Shingles have one order for all documents: first those of the *pool*, a fixed share of the hashes, by the number of sets that have them, rare ones first; then the others, by hash. The share is twice the part of a
-   set that a prefix takes, so nearly all prefixes lie in the pool, and only the pool is counted: exactly, at any size of the corpus. Any order gives the same links; the counts decide how few candidates there are.
-2. Documents with equal sets are one node, known by a 64-bit digest and the set's size. The prefix of a node is its first ``n - ceil(t n) + 1`` shingles; two sets that are similar enough share one. Pool shingles that
-   stand in one node only come first and are never written: most prefixes have nothing else.
+1. Documents with equal sets are one node, known by a 64-bit digest and the set's size. Shingles have one order for all nodes, rare ones first. The prefix of a node is its first ``n - ceil(t n) + 1`` shingles; two sets
+   that are similar enough share one. Any order gives the same links; the order decides how few candidates there are.
+2. The order comes from exact counts, at any size of the corpus, though not all shingles are counted. First come the shingles of the *pool* (a fixed part of the hashes, twice the part of a set that a prefix takes) that one
+   node alone has. A node with enough of these has no partner and is done, which holds for most texts that aren't near copies. Of the others all shingles are counted: those of the pool among all nodes, the rest
+   among the nodes that are left, and they are ordered by these counts.
 3. Nodes that share a prefix shingle are candidates if their sizes and places allow the overlap (length and positional filter) and so do the counts of their shingles in ranges of the hash (the suffix filter,
    with fixed pivots). A pair is verified once, whatever number of shingles it shares.
 4. In a first round each node is compared with one hub of its shingle only, the node in which the shingle stands first. This joins a large group of near copies in linear work. Later only nodes
@@ -85,7 +86,7 @@ def _pool_end(threshold: tuple[int, int]) -> int:
 
 
 def profiles(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """id, n, digest, pool (its shingles in the pool), more (the others that the prefix needs, if the pool has too few) and pivots (shingles in ranges of the hash) of every document."""
+    """id, n, digest, pool (its shingles in the pool) and pivots (shingles in ranges of the hash) of every document."""
     end = _pool_end(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,28 +95,58 @@ def profiles(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFram
             rows = []
             for t in batch.column(1).to_pylist():
                 s = shingler.shingles(t)
-                n, k = len(s), int(np.searchsorted(s, end))
                 bins = np.bincount((s.view(np.uint64) >> np.uint64(60)).astype(np.int64), minlength=PIVOTS)
-                rows.append((n, _digest(s), s[:k], s[k : max(k, n - _need(n, threshold) + 1 if n else 0)], bins))
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["id", "n", "digest", "pool", "more", "pivots"])
+                rows.append((len(s), _digest(s), s[: int(np.searchsorted(s, end))], bins))
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["id", "n", "digest", "pool", "pivots"])
 
-    return map_batches(docs.select("id", "text"), run, "id long, n int, digest long, pool array<long>, more array<long>, pivots array<int>")
+    return map_batches(docs.select("id", "text"), run, "id long, n int, digest long, pool array<long>, pivots array<int>")
 
 
-def prefixes(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """shingle, node, n and i (its place in the order) of the prefix shingles that more than one node has. ``nodes``: node, n, pool and more."""
-    pooled = nodes.select("node", "n", F.size("pool").alias("pooled"), F.explode("pool").alias("shingle"))
-    shared = staged(pooled.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1), "join-shared")
-    # Most shingles of the pool stand in one node; a bitmap keeps nearly all of them from the shuffle.
-    mine = picked(pooled, "shingle", id_filter(shared.select("shingle"))).join(shared, "shingle")
+def node_sets(docs: DataFrame, nodes: DataFrame, size: int, start: int | None = None) -> DataFrame:
+    """node and its whole set, or its shingles from ``start`` on, of ``nodes`` (node, id: of a document that has the set)."""
+    near = picked(docs, "id", id_filter(nodes.select("id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, done = Shingler(size), set()
+        for batch in sliced(batches, 64):
+            rows = [(_digest(s), s if start is None else s[int(np.searchsorted(s, start)) :]) for s in map(shingler.shingles, batch.column(1).to_pylist())]
+            rows = [r for r in rows if not (r[0] in done or done.add(r[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["node", "set"])
+
+    # A few documents are picked that have a set of these but another id; rows that share an id are told apart by the digest.
+    return map_batches(near.select("id", "text"), run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def _last(threshold: tuple[int, int]):
+    """The greatest place of a prefix."""
+    return F.col("n") - F.ceil(F.col("n").cast("long") * threshold[0] / threshold[1] - 1e-9)
+
+
+def _shared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (node, shingle, ...): the shingles that several nodes have, with their number, and the rows that have one of them. Most shingles stand in one node; a bitmap keeps nearly all of these from the shuffle."""
+    shared = staged(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1), name)
+    return shared, picked(rows, "shingle", id_filter(shared.select("shingle"))).join(shared, "shingle")
+
+
+def prefixes(docs: DataFrame, nodes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """shingle, node, n and i (its place in the order) of the prefix shingles that more than one node has. ``nodes``: node, id, n and pool."""
+    shared, mine = _shared(nodes.select("node", F.explode("pool").alias("shingle")), "join-shared")
+    mine = staged(mine.select("node", "shingle", "sets"), "join-pool")
+    counts = mine.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    alone = F.size("pool") - F.coalesce("k", F.lit(0))
+    left = staged(nodes.join(counts, "node", "left").select("node", "id", "n", F.size("pool").alias("pooled"), alone.alias("alone")).where(F.col("alone") <= _last(threshold)), "join-left")
+    others = staged(node_sets(docs, left, size, _pool_end(threshold)), "join-others")
+    also, theirs = _shared(others.select("node", F.explode("set").alias("shingle")), "join-also-shared")
+    rows = mine.select("node", "shingle", "sets", F.lit(0).alias("kind")).unionByName(theirs.select("node", "shingle", "sets", F.lit(1).alias("kind")))
     of_node = Window.partitionBy("node")
-    alone = F.col("pooled") - F.count(F.lit(1)).over(of_node)
-    placed = mine.select("shingle", "node", "n", (alone + F.row_number().over(of_node.orderBy("sets", "shingle")) - 1).cast("int").alias("i"))
-    others = nodes.where(F.size("more") > 0).select("node", "n", F.size("pool").alias("pooled"), F.posexplode("more").alias("k", "shingle")).select("shingle", "node", "n", (F.col("pooled") + F.col("k")).alias("i"))
-    last = F.col("n") - F.ceil(F.col("n").cast("long") * threshold[0] / threshold[1] - 1e-9)
-    entries = staged(placed.unionByName(others).where(F.col("i") <= last), "join-prefixes")
-    discard(shared)
+    known = rows.join(left.drop("id"), "node")
+    # Shingles that the node has alone come first: those of the pool, then the rest.
+    single = F.col("alone") + F.col("n") - F.col("pooled") - F.sum("kind").over(of_node)
+    placed = known.withColumn("i", (single + F.row_number().over(of_node.orderBy("sets", "kind", "shingle")) - 1).cast("int"))
+    entries = staged(placed.where(F.col("i") <= _last(threshold)).select("shingle", "node", "n", "i"), "join-prefixes")
+    for done in (shared, mine, left, others, also):
+        discard(done)
     twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("shingle")
     out = staged(entries.join(twice, "shingle", "left_semi").select("shingle", "node", "n", "i"), "join-entries")
     discard(entries)
@@ -140,20 +171,6 @@ def _band(threshold: tuple[int, int], n: str):
     return F.floor(F.log(F.col(n).cast("double")) / (math.log(threshold[1] / threshold[0]) * 1.0001)).cast("int")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and its whole set, of ``nodes`` (node, id: of a document that has the set)."""
-    near = picked(docs, "id", id_filter(nodes.select("id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in sliced(batches, 64):
-            sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
-    # Few documents are picked that have a set of these but another id; rows that share an id are told apart by the digest.
-    return map_batches(near.select("id", "text"), run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-
-
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are similar enough, by their whole sets."""
     asked = staged(nodes.select("node", "id").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), "join-asked")
@@ -185,9 +202,9 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
     rows = staged(profiles(docs, size, threshold), "join-profiles")
     full = rows.where(F.col("n") > 0)
     # Of equal sets one is kept; ``id`` is that of a document that has it.
-    firsts = full.groupBy(F.col("digest").alias("node"), "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("pool", "more", "pivots")))
+    firsts = full.groupBy(F.col("digest").alias("node"), "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("pool", "pivots")))
     nodes = staged(firsts, "join-nodes")
-    shared = prefixes(nodes, threshold)
+    shared = prefixes(docs, nodes, size, threshold)
     # The hub of a shingle is the node in which it stands first; ties: the smaller set, then the smaller node.
     hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "n", "node")).alias("hub"))
     node = nodes.select("node", "pivots")

@@ -93,16 +93,25 @@ def test_hubs_are_dealt_out(spark, monkeypatch):
     assert check(frame(spark, rows), 3, (90, 100)) > 50
 
 
-def test_prefixes_are_rare_first(spark):
-    """The pool's shingles in order of the number of sets that have them: two texts that share only frequent shingles have no entries but those."""
+@pytest.mark.parametrize("t", [(90, 100), (80, 100)])
+def test_prefixes_are_rare_first(spark, t):
+    """Places follow one order for all nodes; a node that has enough shingles alone has no entries, and the others have those of their first shingles that several nodes have."""
     rnd = random.Random(6)
     common = [f"c{i}" for i in range(40)]
-    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(400))])) for i in range(30)] + [(100, "same " * 3 + words(rnd, 50)), (101, "same " * 3 + words(rnd, 50))]
+    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(400))])) for i in range(30)]
+    rows += [(100 + i, " ".join(rnd.sample(common, 30) + [f"v{i}x{k}" for k in range(rnd.randint(0, 6))])) for i in range(40)]
     docs = spark.createDataFrame(rows, "id long, text string")
-    profile = nj.profiles(docs, 1, (90, 100))
-    assert all(r["pool"] == sorted(r["pool"]) and len(r["pool"]) + len(r["more"]) >= r["n"] - nj._need(r["n"], (90, 100)) + 1 for r in profile.collect())
-    entries = nj.prefixes(profile.select(F.col("id").alias("node"), "n", "pool", "more"), (90, 100)).collect()
-    assert not [e for e in entries if e["node"] < 100]  # 44 of 440 shingles are a prefix; about 80 of the pool stand in no other text
+    nodes = nj.profiles(docs, 1, t).select(F.col("digest").alias("node"), "id", "n", "pool")
+    sets = {nj._digest(s): set(s.tolist()) for s in map(nj.Shingler(1).shingles, (r[1] for r in rows))}
+    end, count = nj._pool_end(t), lambda nodes, g: sum(g in sets[x] for x in nodes)
+    last = {x: len(s) - nj._need(len(s), t) for x, s in sets.items()}
+    left = [x for x, s in sets.items() if sum(g < end and count(sets, g) == 1 for g in s) <= last[x]]
+    key = lambda g: (count(sets, g), 0, g) if g < end else (count(left, g), 1, g)
+    want = {(x, g, i) for x in left for i, g in enumerate(sorted(sets[x], key=key)) if i <= last[x] and key(g)[0] > 1}
+    assert {x for x, _, _ in want} and all(r["id"] >= 100 for r in nodes.collect() if r["node"] in left)
+    held = {g for g in {g for _, g, _ in want} if sum(g == h for _, h, _ in want) > 1}
+    got = {(e["node"], e["shingle"], e["i"]) for e in nj.prefixes(docs, nodes, 1, t).collect()}
+    assert got == {w for w in want if w[1] in held}
 
 
 def test_pool_and_bands():
