@@ -7,13 +7,13 @@ distance, and neighbours mostly share theirs. The windows of one anchor are a *c
    that a passage in many copies leaves a chunk once.
 2. Grams only choose what is indexed: a context whose gram stands nowhere else holds no repeated window. For each task at most two contexts of a gram that repeats in its chunks are asked for by gram; more than two
    are known to be shared, so a very frequent gram is no hot key.
-3. The other contexts are dealt out by gram. Each task has one ``SuffixFamily`` for all its contexts, in the order of the documents: a batch's windows are sorted into a suffix array, which is merge-scanned against
+3. The other contexts are dealt out by gram to ``SuffixFamily``s, each of which has all contexts of very many grams, in the order of the documents: a batch's windows are sorted into a suffix array, which is merge-scanned against
    the levels for windows that match in all their bytes, and levels of like size are merged, so that there are logarithmically many. First windows of contexts go first: where such a match extends to the whole
-   context, its other windows need not be sorted. A gram with very many contexts is dealt out to several tasks; a window that is
+   context, its other windows need not be sorted. A gram with very many contexts is dealt out to several families; a window that is
    the first in more than one of them is settled by an aggregation over 128-bit BLAKE2 digests of windows.
 4. The ranges that are removed meet their documents again.
 
-Every removal within a task is decided by comparing bytes. Memory: a chunk, or one family of about ``FAMILY_WINDOWS`` windows (their text and 8 bytes each) with one batch of windows as strings.
+Every removal within a family is decided by comparing bytes. Memory: a chunk, or one family of about ``FAMILY_WINDOWS`` windows (their text and 8 bytes each) with one batch of windows as strings.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ GRAM = 24
 #: Bytes of text that a task indexes at a time; longer texts are indexed in overlapping segments.
 CHUNK_BYTES = 1_000_000
 #: Windows of a batch, and those that a family is planned for; the number of families follows the corpus.
-BATCH_WINDOWS, FAMILY_WINDOWS = 250_000, 2_000_000
+BATCH_WINDOWS, FAMILY_WINDOWS = 200_000, 1_000_000
 #: Windows of a level that are strings at a time.
 SLICE = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
@@ -114,7 +114,7 @@ class SuffixFamily:
         out = np.full(len(ranked), -1)
         for level in self.levels:
             for mine, theirs in self._side_by_side(level, ranked):
-                _, there, here = self._merged(level[theirs], ranked[mine])
+                there, here = self._common(level[theirs], ranked[mine])
                 out[mine.start + here] = level[theirs][there]
         return out
 
@@ -145,15 +145,19 @@ class SuffixFamily:
         for a, b, at in zip(cuts, [*cuts[1:], len(ranked)], starts, strict=True):
             yield slice(int(a), int(b)), slice(int(at), int(at) + SLICE)
 
-    def _merged(self, places: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order of a slice of a level followed by a slice of sorted strings (two ascending runs, which the stable sort merges), and which of the former and of the latter are equal neighbours."""
+    def _common(self, places: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a slice of a level and a slice of sorted strings, neither with equal ones: which of the former and of the latter are equal. Both are scanned side by side: each string is looked for from the place of the one before."""
         if not len(ranked):
-            return np.arange(len(places)), np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.concatenate([self.strings(places), ranked])
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        equal = np.flatnonzero(both[1:] == both[:-1])
-        return order, order[equal], order[equal + 1] - len(places)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        theirs = self.strings(places)
+        at = np.searchsorted(theirs, ranked)  # ascending, so the scan never goes back far
+        at[at == len(theirs)] = 0
+        here = np.flatnonzero(theirs[at] == ranked)
+        return at[here], here
+
+    def _merged(self, places: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+        """The order of a slice of a level followed by a slice of sorted strings (two ascending runs, which the stable sort merges)."""
+        return np.argsort(np.concatenate([self.strings(places), ranked]), kind="stable") if len(ranked) else np.arange(len(places))
 
     def _push(self, array: np.ndarray) -> None:
         while self.levels and len(array) and len(self.levels[-1]) <= 2 * len(array):
@@ -170,7 +174,7 @@ class SuffixFamily:
             part, ranked = level[at:end], self.strings(block)
             if len(part):
                 for mine, theirs in self._side_by_side(part, ranked):
-                    out.append(np.concatenate([part[theirs], block[mine]])[self._merged(part[theirs], ranked[mine])[0]])
+                    out.append(np.concatenate([part[theirs], block[mine]])[self._merged(part[theirs], ranked[mine])])
             else:
                 out.append(block)
             at = end
@@ -342,7 +346,7 @@ def _covered(sizes: np.ndarray, seen: np.ndarray, length: int) -> tuple[np.ndarr
     return row[b], b - base[row[b]], e - base[row[e]]
 
 
-#: Contexts of one gram that one task indexes; grams with more are dealt out to several.
+#: Contexts of one gram that one family indexes; grams with more are dealt out to several.
 FAMILY_CONTEXTS = 1000
 #: Up to so many such grams are broadcast (16 bytes each).
 MAX_BROADCAST_GRAMS = 500_000
@@ -357,8 +361,8 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets)
 
 
-def families(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
-    """Rows (id, start, stop) of windows that a task's family has seen before, and, of grams that are dealt out to several tasks (``shared``), rows with the digest (high, low) of each window that is the first in its family."""
+def families(contexts: DataFrame, length: int, number: int) -> DataFrame:
+    """The contexts are dealt out by gram to so many families, of which a task has several, one after the other. Rows (id, start, stop) of windows that a task's family has seen before, and, of grams that are dealt out to several tasks (``shared``), rows with the digest (high, low) of each window that is the first in its family."""
 
     def resolved(family: SuffixFamily, batch: pa.RecordBatch, last: tuple | None) -> Iterator[pa.RecordBatch]:
         ids, starts, shared = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "start", "shared"))
@@ -387,27 +391,42 @@ def families(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
             yield _resolved(pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids[of[some]], begin, begin + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, size, last = SuffixFamily(length), [], 0, None
-        for batch in itertools.chain(sliced(batches, 500), [None]):
-            if batch is not None:
-                held.append(batch)
-                size += pc.sum(pc.binary_length(batch.column("bytes"))).as_py() - (length - 1) * batch.num_rows
-            if held and (batch is None or size >= BATCH_WINDOWS):
+        family, bucket, held, size, last = SuffixFamily(length), None, [], 0, None
+        for batch in itertools.chain(_by_bucket(batches), [None]):
+            mine = None if batch is None else batch.column("bucket")[0].as_py()
+            if held and (size >= BATCH_WINDOWS or mine != bucket):
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 yield from resolved(family, whole, last)
                 held, size, last = [], 0, tuple(whole.column(n)[whole.num_rows - 1] for n in ("id", "start", "bytes"))
+            if batch is not None:
+                if mine != bucket:
+                    family, bucket, last = SuffixFamily(length), mine, None
+                held.append(batch)
+                size += pc.sum(pc.binary_length(batch.column("bytes"))).as_py() - (length - 1) * batch.num_rows
+
+    tasks = min(number, parallelism(contexts.sparkSession))
+    bucket = F.pmod(F.xxhash64("gram", "family"), F.lit(number)).cast("int")
+    dealt = contexts.select(bucket.alias("bucket"), "id", "start", "bytes", "shared").repartitionById(tasks, F.col("bucket") % tasks)
+    return map_batches(dealt.sortWithinPartitions("bucket", "id", "start", "bytes"), run, _RESOLVED)
 
-    dealt = contexts.select("id", "start", "bytes", "shared", "gram", "family").repartition(tasks, "gram", "family")
-    return map_batches(dealt.sortWithinPartitions("id", "start", "bytes").select("id", "start", "bytes", "shared"), run, _RESOLVED)
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches, each of one bucket."""
+    for batch in sliced(batches, 500):
+        buckets = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
 
 
 def _resolved(high, low, ids, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([high, low, pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["high", "low", "id", "start", "stop"])
 
 
-def resolve(contexts: DataFrame, length: int, tasks: int, scratch: Scratch) -> DataFrame:
+def resolve(contexts: DataFrame, length: int, number: int, scratch: Scratch) -> DataFrame:
     """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes, shared, family) that share a gram."""
-    found = scratch(families(contexts, length, tasks), "suffix-families")
+    found = scratch(families(contexts, length, number), "suffix-families")
     inside = found.where(F.col("high").isNull()).select("id", "start", "stop")
     firsts = found.where(F.col("high").isNotNull())
     # A window has one row here for each of its gram's families at most.
@@ -422,12 +441,12 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
     gone = entries.where(F.col("kind") == REMOVED).select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
     open_ = entries.where(F.col("kind") != REMOVED)
     windows = open_.agg(F.sum((F.col("length") - (length - 1)).cast("long"))).first()[0] or 0
-    tasks = max(parallelism(docs.sparkSession), -(-windows // FAMILY_WINDOWS))
-    # Grams with very many contexts are dealt out to several tasks by a hash of the document.
+    number = max(parallelism(docs.sparkSession), -(-windows // FAMILY_WINDOWS))
+    # Grams with very many contexts are dealt out to several families by a hash of the document.
     hot = scratch(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY_CONTEXTS), "suffix-hot-grams")
-    number = F.ceil(F.col("n") / FAMILY_CONTEXTS)
+    parts = F.ceil(F.col("n") / FAMILY_CONTEXTS)
     few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GRAMS else hot
-    dealt = open_.join(few, "gram", "left").withColumn("shared", F.col("n").isNotNull()).withColumn("family", F.coalesce(F.pmod(F.xxhash64("id"), number), F.lit(0)).cast("int"))
+    dealt = open_.join(few, "gram", "left").withColumn("shared", F.col("n").isNotNull()).withColumn("family", F.coalesce(F.pmod(F.xxhash64("id"), parts), F.lit(0)).cast("int"))
     wanted = dealt.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "length", "shared", "family")).alias("wanted"))
     near = picked(docs.select("id", "text"), "id", id_filter(open_.select("id"))).join(wanted, "id")
 
@@ -442,7 +461,7 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()), strict=True)], names=["gram", "id", "start", "bytes", "shared", "family"])
 
     contexts = map_batches(near, cut, "gram long, id long, start int, bytes binary, shared boolean, family int")
-    return gone.unionByName(resolve(contexts, length, tasks, scratch))
+    return gone.unionByName(resolve(contexts, length, number, scratch))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
