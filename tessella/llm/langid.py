@@ -9,10 +9,7 @@ The profiles are learned from a bounded sample: each language's rows are thinned
 
 from __future__ import annotations
 
-import re
 import sys
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,64 +17,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, sliced
+from .common import map_batches, per_worker, sliced
 
 PROFILE = 300
 #: Expected rows of each language that profiles are learned from.
 TRAIN_ROWS = 3000
 UNKNOWN = "und"
-# Python's \w has the letters (Unicode category L), the digits, the underscore and the numbers that are no digits, such as a half or a Roman eight.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
-_CACHE_WORDS = 100_000
-
-
-def _grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
-
-
-class Counts:
-    """Counts the n-grams of texts; the n-grams of a word are made once. Numbers of n-grams: from 0, in the order seen."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.of_word: dict[str, np.ndarray] = {}
-
-    def _numbers(self, word: str) -> np.ndarray:
-        got = self.of_word.get(word)
-        if got is None:
-            got = np.array([self.number.setdefault(g, len(self.number)) for g in _grams(word)], dtype=np.int32)
-            if len(self.of_word) < _CACHE_WORDS:
-                self.of_word[word] = got
-        return got
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Numbers and counts; None if the text has no letter."""
-        words = Counter(_WORD.findall(text.lower()))
-        if not words:
-            return None
-        parts = list(map(self._numbers, words))
-        weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        every = np.concatenate(parts)
-        if len(self.number) > 8 * len(every):
-            numbers, back = np.unique(every, return_inverse=True)
-            return numbers, np.bincount(back, weights).astype(np.int64)
-        counts = np.bincount(every, weights)
-        numbers = np.flatnonzero(counts)
-        return numbers, counts[numbers].astype(np.int64)
+#: Characters of a text that are looked at together.
+PIECE = 1 << 20
+_BLANK, _BITS = np.uint64(32), np.uint64(21)
+
+
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter (Unicode category L)."""
+    return np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+
+
+def key_of(gram: str) -> int:
+    """An n-gram of up to 3 characters as a number; numbers are ordered as the texts are."""
+    return sum(ord(c) << 42 - 21 * i for i, c in enumerate(gram))
+
+
+def gram_of(key: int) -> str:
+    return "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+
+
+def _unique(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their weights (1 each if there are none)."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    sums = np.diff(np.append(first, len(keys))) if weights is None else np.add.reduceat(weights, first) if len(keys) else weights
+    return keys[first], sums.astype(np.int64)
+
+
+def count(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the text's words as numbers, in order, and how often each stands there. What isn't a letter separates words."""
+    letter = per_worker("letters", _letters)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    tail, inside = np.array([_BLANK]), False  # the last two characters kept, and whether the last one is a letter
+    for at in range(0, len(points) + 1, PIECE):
+        part = points[at : at + PIECE]
+        if at + PIECE > len(points):
+            part = np.append(part, np.uint32(32))  # the last word ends too
+        is_letter = letter[part]
+        # One blank stays after each word.
+        keep = is_letter | np.concatenate([[inside], is_letter[:-1]])
+        inside = bool(is_letter[-1])
+        new = np.where(is_letter[keep], part[keep], np.uint32(32)).astype(np.uint64)
+        old, s = len(tail), np.concatenate([tail, new])
+        one = new[new != _BLANK] << np.uint64(42)
+        two = (s[:-1] << np.uint64(42) | s[1:] << _BITS)[old - 1 :]
+        three = (s[:-2] << np.uint64(42) | s[1:-1] << _BITS | s[2:])[max(0, old - 2) :]
+        three = three[s[1:-1][max(0, old - 2) :] != _BLANK]
+        found.append(_unique(np.concatenate([one, two, three])))
+        tail = s[-2:]
+    return found[0] if len(found) == 1 else _unique(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
 
 
 def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, sums = Counts(), {}
+    sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
     for batch in sliced(batches, 500):
+        new: dict[str | None, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text is not None and (got := counts.count(text)):
-                total = sums.setdefault(lang, Counter())
-                total.update(dict(zip(got[0].tolist(), got[1].tolist(), strict=True)))
-    names = list(counts.number)
-    for lang, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array([names[i] for i in total]), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
+            if text:
+                new.setdefault(lang, [sums[lang]] if lang in sums else []).append(count(text))
+        for lang, parts in new.items():
+            sums[lang] = _unique(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+    for lang, (keys, counts) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(list(map(gram_of, keys.tolist())), pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
 
 def sample(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -104,35 +116,29 @@ class Profiles:
     """Distances of texts to language profiles."""
 
     def __init__(self, profiles: dict[str, list[str]], length: int = PROFILE) -> None:
-        self.langs, self.length, self.counts = sorted(profiles), length, Counts()
-        known = sorted({g for p in profiles.values() for g in p})
-        for g in known:
-            self.counts.number[g] = len(self.counts.number)
-        self.ranks = np.full((len(self.langs), len(known) + 1), -1, np.int32)
+        self.langs, self.length = sorted(profiles), length
+        self.known = np.array(sorted({key_of(g) for p in profiles.values() for g in p}), np.uint64)
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int32)
         for k, lang in enumerate(self.langs):
-            for rank, g in enumerate(profiles[lang]):
-                self.ranks[k, self.counts.number[g]] = rank
-        self.known = len(known)
-        # n-grams of equal counts stand in the order of their text; numbers of the known ones follow it already.
-        self.order: list[str] = known
+            self.ranks[k, np.searchsorted(self.known, np.array([key_of(g) for g in profiles[lang]], np.uint64))] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        got = self.counts.count(text) if text and self.langs else None
-        if got is None:
+        keys, counts = count(text) if text and self.langs else (np.empty(0), np.empty(0))
+        if not len(keys):
             return UNKNOWN, 0.0
-        numbers, counts = got
+        n = len(self.known)
+        numbers = np.minimum(np.searchsorted(self.known, keys), n - 1)
+        numbers[self.known[numbers] != keys] = n
         # Most frequent first; ties: known n-grams by their text, then the others, all of which are as far from every language.
-        place = np.minimum(numbers, self.known) - counts * (self.known + 1)
+        place = numbers - counts * (n + 1)
         if len(place) > self.length:
             most = np.argpartition(place, self.length - 1)[: self.length]
             numbers, place = numbers[most], place[most]
         top = numbers[np.argsort(place, kind="stable")]
-        ranks = self.ranks[:, np.minimum(top, self.known)]
+        ranks = self.ranks[:, top]
         out = np.where(ranks < 0, self.length, np.minimum(np.abs(ranks - np.arange(len(top))), self.length)).sum(axis=1)
         order = np.argsort(out, kind="stable")
-        best = out[order[0]]
-        score = 1.0 - best / (self.length * len(top))
-        return self.langs[order[0]], float(score)
+        return self.langs[order[0]], float(1.0 - out[order[0]] / (self.length * len(top)))
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], length: int = PROFILE) -> DataFrame:
@@ -149,8 +155,6 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], length: int = PROF
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-            if len(model.counts.number) > 300_000:  # the numbers of rare n-grams are forgotten now and then
-                model = Profiles(shared.value, length)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return map_batches(docs, predict, f"{fields}, lang_pred string, score double")

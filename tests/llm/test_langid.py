@@ -18,11 +18,22 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(held) > 20 and sum(held) >= 0.95 * len(held)
 
 
+def words_of(text):
+    import unicodedata
+
+    return "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()
+
+
+def grams(word):
+    padded = f" {word} "
+    return [g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
+
+
 def distances(text, profiles):
     """The nearest language and the score, or None for a text without a letter."""
     counts = {}
-    for w in langid._WORD.findall(text.lower()):
-        for g in langid._grams(w):
+    for w in words_of(text):
+        for g in grams(w):
             counts[g] = counts.get(g, 0) + 1
     if not counts:
         return None
@@ -44,15 +55,15 @@ def test_learn_against_plain_python(spark, docs):
     want = {}
     for r in docs.collect():
         if r["lang"] is not None and r["text"] is not None:
-            for w in langid._WORD.findall(r["text"].lower()):
-                want.setdefault(r["lang"], Counter()).update(langid._grams(w))
+            for w in words_of(r["text"]):
+                want.setdefault(r["lang"], Counter()).update(grams(w))
     want = {k: sorted(c, key=lambda g: (-c[g], g))[: langid.PROFILE] for k, c in want.items()}
     assert langid.learn(docs) == want
 
 
 def test_against_plain_python():
     rnd = random.Random(0)
-    profiles = {"aa": langid._grams("theringand"), "bb": langid._grams("schuenberg"), "cc": langid._grams("theberguen")}
+    profiles = {"aa": grams("theringand"), "bb": grams("schuenberg"), "cc": grams("theberguen")}
     profiles = {k: list(dict.fromkeys(v)) for k, v in profiles.items()}
     model = langid.Profiles(profiles)
     for _ in range(200):
@@ -64,13 +75,28 @@ def test_only_letters_are_letters():
     """Numbers of any kind, marks and signs are no letters; letters that count as numbers are."""
     import unicodedata
 
-    model = langid.Profiles({"aa": langid._grams("abc"), "zh": langid._grams("一二三")})
+    model = langid.Profiles({"aa": grams("abc"), "zh": grams("一二三")})
     for text in ("½ ² 12", "Ⅷ ①", "٣ ४", "_", "́", "🙂", "1²_½"):
         assert model.predict(text) == ("und", 0.0), text
     assert model.predict("½ 一二三")[0] == "zh" and model.predict("a½b")[0] == "aa"
     rnd = random.Random(1)
     for c in map(chr, [*range(0x3000), *(rnd.randrange(0x3000, 0x110000) for _ in range(20_000))]):
-        assert bool(langid._WORD.search(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+        lower = any(unicodedata.category(x).startswith("L") for x in c.lower())
+        assert (len(langid.count(c)[0]) > 0) == lower, hex(ord(c))
+
+
+def test_counts_of_pieces(monkeypatch):
+    """Long texts are looked at in pieces; n-grams at the seams count."""
+    from collections import Counter
+
+    rnd = random.Random(3)
+    for piece in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for text in ("", "a", "a b", " a", "ab", "abc", "1", "İI ß", *("".join(rnd.choice("abcé 1²中.") for _ in range(rnd.randint(1, 60))) for _ in range(30))):
+            want = Counter(g for w in words_of(text) for g in grams(w))
+            keys, counts = langid.count(text)
+            assert {langid.gram_of(k): n for k, n in zip(keys.tolist(), counts.tolist(), strict=True)} == want, (piece, text)
+            assert [langid.gram_of(k) for k in keys.tolist()] == sorted(want) and [langid.key_of(g) for g in sorted(want)] == keys.tolist()
 
 
 def test_awkward_rows(spark, docs):
