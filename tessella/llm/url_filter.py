@@ -17,8 +17,12 @@ MAX_BROADCAST_RULES = 100_000
 
 
 def rules_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """A table (verdict, host, path) from rows of Python; large rule sets are read from a table of these columns instead."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    """A table (verdict, host, path) of the rows as literals; large rule sets are read from a table of these columns instead."""
+    names = ("verdict", "host", "path")
+    rows = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(names, r, strict=True)]) for r in rules]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def url_parts(urls: DataFrame) -> DataFrame:
