@@ -1,10 +1,11 @@
 """Quality rules with thresholds that follow the corpus.
 
 The measures of a document come from its whole text by projections alone. Their distributions are kept as KLL sketches per language and
-source; sketches merge, so those of a language are merged from those of its sources without reading the documents again. A document is judged
-by the fences of its (language, source), or of its language where that group is small, or of the whole corpus where the language is small too. A fence lies
-``REACH`` spreads beyond the quartile. The spread is the interquartile range or, where that is less, the distance of the median from the 90th (below: the 10th) percentile, as most measures are zero for most documents;
-higher percentiles would follow the junk that is to be rejected.
+source; sketches merge, so those of a language and of the corpus are merged from those of its sources without reading the documents again.
+
+A fence lies ``REACH`` spreads beyond the quartile. The spread is the interquartile range or, where that is more, the distance of the median from an outer percentile: the 90th (below: the 10th), so that up to a tenth of a
+group may be junk, or the 99th for repeated lines and windows, which clean texts have too. Groups are of any size: quartile and spread of a source are averaged with those of its language, which weigh as much as
+``WEIGHT`` documents, those of a language with the corpus's, and the corpus's spread with a prior one.
 A document in which a measure comes from a single event (one symbol, one line or 3-word window seen twice) is not rejected for it.
 """
 
@@ -18,12 +19,12 @@ from .common import let, staged
 WORDS = r"[ \t\n\x0B\f\r]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Groups of fewer documents use the next wider group's fences.
-LEAST_GROUP = 50
 #: Spreads beyond the quartiles.
 REACH = 3.0
-#: measure: least distance of its fences from the quartiles (for measures that are constant in a group), and whether low values are rejected too.
-MEASURES = {"symbols": (0.02, False), "dup_lines": (0.02, False), "repeats": (0.02, False), "word_length": (0.25, True)}
+#: Documents that the next wider group's values, or the prior spread, weigh as much as.
+WEIGHT = 20
+#: measure: outer percentile, prior spread, and whether low values are rejected too.
+MEASURES = {"symbols": (0.9, 0.02, False), "dup_lines": (0.99, 0.1, False), "repeats": (0.99, 0.1, False), "word_length": (0.9, 0.25, True)}
 #: measure: its count, and what a single event adds to it.
 EVENTS = {"symbols": ("n_symbols", 1), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 6)}
 K = 256
@@ -83,17 +84,39 @@ def _values() -> dict[str, Column]:
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """lang, source, n and the fences of each group, from sketches; source or both are null for the wider groups."""
+    """lang, source, n and the fences of each group, from sketches (level 0); source or both are null for the wider groups (levels 1 and 2)."""
     names = list(MEASURES)
-    sketches = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(v, F.lit(K)).alias(m) for m, v in _values().items()])
+    sketches = staged(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(v, F.lit(K)).alias(m) for m, v in _values().items()]), "quality-sketches")
     merged = lambda keys: sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(K)).alias(m) for m in names])
+
+    def own(groups: DataFrame, keys: list[str]) -> DataFrame:
+        """n, and for each measure the quartiles and the spreads to either side."""
+        columns = []
+        for m, (tail, _, _) in MEASURES.items():
+            inner, low, mid, high, outer = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (round(1 - tail, 4), 0.25, 0.5, 0.75, tail))
+            columns += [high.alias(f"{m}_q3"), low.alias(f"{m}_q1"), F.greatest(high - low, outer - mid).alias(f"{m}_up"), F.greatest(high - low, mid - inner).alias(f"{m}_down")]
+        return groups.where(F.col("n") > 0).select(*keys, "n", *columns)
+
+    parts = [f"{m}_{x}" for m in names for x in ("q3", "q1", "up", "down")]
+
+    def shrunk(mine: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
+        """Each value averaged with the wider group's."""
+        other = wider.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in parts])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        joined = mine.join(other, same) if same else mine.join(F.broadcast(other))  # one row
+        return joined.select(*[c for c in mine.columns if c not in parts], *[((F.col("n") * F.col(c) + WEIGHT * F.col(f"__{c}")) / (F.col("n") + WEIGHT)).alias(c) for c in parts])
+
+    every = own(merged([]), [])
+    prior = {f"{m}_{x}": spread for m, (_, spread, _) in MEASURES.items() for x in ("up", "down")}
+    corpus = every.withColumns({c: (F.col("n") * F.col(c) + WEIGHT * v) / (F.col("n") + WEIGHT) for c, v in prior.items()})
+    language = shrunk(own(merged(["lang"]), ["lang"]), corpus, [])
+    source = shrunk(own(sketches, ["lang", "source"]), language, ["lang"])
     bounds = []
-    for m, (slack, both) in MEASURES.items():
-        p10, low, mid, high, p90 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
-        reach = lambda tail: F.greatest(REACH * F.greatest(high - low, tail), F.lit(slack))  # noqa: B023, E731
-        bounds += [(high + reach(p90 - mid)).alias(f"{m}_high"), ((low - reach(mid - p10)) if both else F.lit(-1.0)).alias(f"{m}_low")]
-    levels = [(0, sketches), (1, merged(["lang"]).withColumn("source", F.lit(None).cast("string"))), (2, merged([]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")))]
-    out = [x.where(F.col("n") > 0).select(F.lit(k).alias("level"), "lang", "source", "n", *bounds) for k, x in levels]
+    for m, (_, _, both) in MEASURES.items():
+        bounds += [(F.col(f"{m}_q3") + REACH * F.col(f"{m}_up")).alias(f"{m}_high"), (F.col(f"{m}_q1") - REACH * F.col(f"{m}_down") if both else F.lit(-1.0)).alias(f"{m}_low")]
+    none = F.lit(None).cast("string")
+    levels = [source, language.withColumn("source", none), corpus.withColumn("lang", none).withColumn("source", none)]
+    out = [x.select(F.lit(k).alias("level"), "lang", "source", "n", *bounds) for k, x in enumerate(levels)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -110,12 +133,9 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = staged(measured(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality-measures")
     limits = staged(fences(rows.where(~F.col("base_failed"))), "quality-fences")
     keys = [f"{m}_{side}" for m in MEASURES for side in ("high", "low")]
-    part = lambda k, name: limits.where((F.col("level") == k) & (F.col("n") >= (LEAST_GROUP if k < 2 else 1))).select(*([] if k == 2 else [F.col("lang").alias(f"__lang{k}")]), *([] if k else [F.col("source").alias("__source0")]), F.struct(*keys).alias(name))
-    small = F.broadcast if limits.count() <= MAX_BROADCAST_GROUPS else (lambda x: x)
-    out = rows.join(small(part(0, "f0")), F.col("lang").eqNullSafe(F.col("__lang0")) & F.col("source").eqNullSafe(F.col("__source0")), "left")
-    out = out.join(small(part(1, "f1")), F.col("lang").eqNullSafe(F.col("__lang1")), "left")
-    out = out.join(F.broadcast(part(2, "f2")), F.lit(True), "left")
-    out = out.withColumn("f", F.coalesce("f0", "f1", "f2"))
+    mine = limits.where(F.col("level") == 0).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*keys).alias("f"))
+    # Every document that passes the base rules has a group.
+    out = rows.join(F.broadcast(mine) if limits.count() <= MAX_BROADCAST_GROUPS else mine, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
     for m, v in _values().items():
         within = F.coalesce(v.between(F.col(f"f.{m}_low"), F.col(f"f.{m}_high")), F.lit(True))

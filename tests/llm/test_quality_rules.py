@@ -1,7 +1,9 @@
+import math
+import random
 import re
 from collections import Counter
 
-from cases import empty, frame
+from cases import documents, empty, frame, words
 
 from tessella.llm import quality_rules as q
 
@@ -61,3 +63,92 @@ def test_fences_differ_between_groups(spark):
     assert [i for i, k in kept.items() if not k] == [2000]
     high = {r["source"]: r["dup_lines_high"] for r in q.fences(q.measured(df)).where("level = 0").collect()}
     assert high["many"] > 0.2 > high["few"]
+
+
+def quantile(values, q):
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def brute(rows):
+    """kept of each row (doc_id, text, lang, source), with exact quantiles: sketches of so few rows are exact."""
+    measured = []
+    for r in rows:
+        n, chars, symbols, dup, repeats, bad = counts(r[1])
+        lines = sum(1 for x in (r[1] or "").split("\n") if WORD.search(x))
+        values = {"symbols": symbols / n if n else 0, "dup_lines": dup / lines if lines else 0, "repeats": repeats / n if n else 0, "word_length": chars / n if n else 0}
+        measured.append((r, values, {"symbols": symbols > 1, "dup_lines": dup > 1, "repeats": repeats > 6, "word_length": True}, bad))
+    good = [m for m in measured if not m[3]]
+
+    def own(group, m, tail):
+        v = [x[1][m] for x in group]
+        high, mid, low = quantile(v, 0.75), quantile(v, 0.5), quantile(v, 0.25)
+        return [high, low, max(high - low, quantile(v, tail) - mid), max(high - low, mid - quantile(v, round(1 - tail, 4)))]
+
+    def mixed(group, mine, wider):
+        return [(len(group) * a + q.WEIGHT * b) / (len(group) + q.WEIGHT) for a, b in zip(mine, wider, strict=True)]
+
+    out, limits = [], {}
+    for m, (tail, prior, both) in q.MEASURES.items():
+        corpus = own(good, m, tail) if good else None
+        for lang in {x[0][2] for x in good}:
+            of_lang = [x for x in good if x[0][2] == lang]
+            wide = mixed(of_lang, own(of_lang, m, tail), [*corpus[:2], *mixed(good, corpus[2:], [prior, prior])])
+            for source in {x[0][3] for x in of_lang}:
+                group = [x for x in of_lang if x[0][3] == source]
+                high, low, up, down = mixed(group, own(group, m, tail), wide)
+                limits[lang, source, m] = high + q.REACH * up, low - q.REACH * down if both else -1
+    for r, values, many, bad in measured:
+        outside = [m for m, v in values.items() if not bad and many[m] and not limits[r[2], r[3], m][1] - 1e-9 <= v <= limits[r[2], r[3], m][0] + 1e-9]
+        out.append((r[0], not bad and not outside))
+    return out, limits
+
+
+def varied():
+    """Two corpora of other habits, junk in both, sources of a few rows, and null groups."""
+    rnd, rows = random.Random(12), []
+    for i in range(170):
+        lang, source = rnd.choice([("en", "tidy"), ("en", "tidy"), ("en", "few"), ("xx", "loud"), ("xx", "loud"), (None, None), ("xx", None)]) if i > 3 else ("en", "rare")
+        lines = [words(rnd, rnd.randint(4, 12)) for _ in range(rnd.randint(8, 20))]
+        if lang == "xx":
+            lines = [x + " long" + "er" * 4 + rnd.choice([" #", " & %", ""]) for x in lines] + lines[: rnd.randint(0, 6)]
+        kind = rnd.random()
+        if kind < 0.05:
+            lines = [x + " ### $$ %%" for x in lines]
+        elif kind < 0.1:
+            lines += lines[:-2]
+        elif kind < 0.15:
+            lines = [x.replace(" ", "") + " " + words(rnd, 3) for x in lines for _ in range(3)]
+        rows.append((i, "\n".join(lines), lang, source, 0, 0.0, 0, 0, ""))
+    return rows
+
+
+def test_verdict_against_plain_python(spark):
+    rows = varied()
+    want, limits = brute(rows)
+    got = sorted((r["doc_id"], r["kept"]) for r in q.judge(frame(spark, rows)).collect())
+    assert got == sorted(want) and 3 < sum(not k for _, k in got) < 60
+    df = frame(spark, rows)
+    made = q.measured(df).withColumn("bad", (q.F.col("n_words") < 50) | (100 * q.F.col("n_repeat_words") > 50 * q.F.col("n_words"))).where("not bad")
+    for r in q.fences(made).where("level = 0").collect():
+        for m in q.MEASURES:
+            high, low = limits[r["lang"], r["source"], m]
+            assert abs(r[f"{m}_high"] - high) < 1e-9 and abs(r[f"{m}_low"] - low) < 1e-9
+    # No two groups have the same fence, on any measure.
+    for m in q.MEASURES:
+        highs = [v[0] for (_, _, x), v in limits.items() if x == m]
+        assert len(set(highs)) == len(highs) == 6, m
+
+
+def test_awkward_rows_against_plain_python(spark, docs):
+    rows = [tuple(r)[:4] for r in docs.collect()]
+    got = sorted(((r["doc_id"], r["kept"]) for r in q.judge(docs).collect()), key=repr)
+    assert got == sorted(brute(rows)[0], key=repr) and len(documents()) == len(rows)
+
+
+def test_clean_documents_stay(spark):
+    """Of the documents that are labelled good and pass the base rules, hardly any is rejected; of the others most are."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = q.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(q.F.avg(q.F.col("kept").cast("int")).alias("share")).collect()
+    shares = {r["quality"]: r["share"] for r in got}
+    assert shares[1] > 0.995 and shares[0] < 0.15
