@@ -1,10 +1,10 @@
 """Quality classifier by compression.
 
-One zstandard dictionary is built from texts labelled good and one from texts labelled bad. A text is compressed with either; the difference of the sizes,
+One zstandard dictionary is trained on texts labelled good and one on texts labelled bad, both for the same size (zstandard may leave out a little that pays for nothing). A text is compressed with either; the difference of the sizes,
 divided by the text's own size, says which texts it resembles. A logistic curve through the differences of the labelled texts that went into neither dictionary makes a probability of it.
 
 The fit uses a bounded sample of the labelled rows: each label's rows are thinned by a hash of the id to ``TRAIN_ROWS`` expected rows, half of them for the dictionaries and half for
-the curve. The dictionaries hold whole texts; the curve is fitted on whole texts too, which stay on the executors. Scoring is a map over whole texts.
+the curve. The dictionaries are trained on whole texts, in pieces; the curve is fitted on whole texts too, which stay on the executors. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ from .common import discard, map_batches, sliced, staged
 
 #: Expected rows of each label in the sample.
 TRAIN_ROWS = 3000
-#: Expected bytes of the larger dictionary at most. Where the sampled texts are longer, fewer rows go in, at one rate for both labels; no text is cut.
-DICT_BYTES = 1 << 24
-LEVEL = 9
+#: Expected bytes of the texts of one label that a dictionary is trained on at most. Where the sampled texts are longer, fewer rows go in, at one rate for both labels; no text is cut.
+TRAIN_BYTES = 1 << 24
+#: Bytes of a dictionary, and of the pieces of texts that it is trained on.
+DICT_BYTES, PIECE = 1 << 18, 1024
+#: Bytes of the segments that a dictionary is put together from, and of the strings that are counted to choose them.
+SEGMENT, COUNTED = 200, 8
+LEVEL = 3
 
 
 @dataclass
@@ -55,7 +59,7 @@ class Scorer:
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
-    made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressionDict(raw)
     made.precompute_compress(level=LEVEL)
     return made
 
@@ -64,9 +68,19 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _content(texts: list[str]) -> bytes:
-    """The whole texts, one after the other."""
-    return "\n".join(texts).encode().ljust(8)
+def _dictionaries(good: list[str], bad: list[str]) -> tuple[bytes, bytes]:
+    """Dictionaries trained for one size, a quarter of the smaller label's texts at most. Labels with too little text to train on give their texts as they are."""
+    raws = [[t.encode() for t in texts] for texts in (good, bad)]
+    size = min(DICT_BYTES, min(sum(map(len, r)) for r in raws) // 4)
+    out = []
+    for texts in raws:
+        pieces = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
+        try:
+            out.append(zstandard.train_dictionary(size, pieces, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes())
+        except (zstandard.ZstdError, ValueError):
+            out = [b"\n".join(r)[-DICT_BYTES:].ljust(8) for r in raws]
+            break
+    return out[0], out[1]
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -99,11 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sample = staged(joined, "classifier-sample")
     halves = F.col("unit") < F.col("share") / 2
     bytes_of = [r["n"] for r in sample.where(halves).groupBy("label").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()]
-    rate = min(1.0, DICT_BYTES / max([1, *bytes_of]))
+    rate = min(1.0, TRAIN_BYTES / max([1, *bytes_of]))
     chosen = sorted((r["doc_id"], r["label"], r["text"]) for r in sample.where(F.col("unit") < F.col("share") / 2 * rate).select("doc_id", "label", "text").collect())
     good, bad = ([t for _, y, t in chosen if y == label] for label in (1, 0))
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-    model = Model(_content(good), _content(bad), 0.0, math.log(prior / (1 - prior)), prior)
+    model = Model(*_dictionaries(good, bad), 0.0, math.log(prior / (1 - prior)), prior)
     held = sorted(map(tuple, _differences(sample.where(~halves).select("doc_id", "label", "text"), model).collect())) if good and bad else []
     discard(sample)
     if {y for _, y, _ in held} == {0, 1}:
