@@ -12,8 +12,8 @@ from ..errors import EngineError
 from ..functions import types as ty
 from ..plans import ast as A
 from ..plans.lower import ROW_ID, Context, Field, Scope, filtered
-from ..sources.tables import Store, Version
-from .schema import check_unique, default_of
+from ..sources.tables import Index, Store, Version
+from .schema import check_absent, check_unique, default_of
 
 #: Up to so many new keys are looked for by a list that is pushed down to the scan; more by a join.
 MAX_LISTED_KEYS = 500
@@ -130,7 +130,9 @@ def append(store: Store, database: str, table: str, version: Version, df: DataFr
         sums = stored.agg(F.count(F.lit(1)).alias("n"), F.max(ROW_ID).alias("last"), *([F.max(version.auto.name).alias("auto")] if version.auto else [])).first()
         for index in version.indexes:
             if index.unique:
-                check_unique(store.read(database, table, version).unionByName(stored), index)
+                check_unique(stored, index)
+                if version.files:
+                    check_absent(store.read(database, table, version), stored, version, index)
     except EngineError:
         store.drop_files(database, table, written)
         raise
@@ -180,13 +182,29 @@ def update(store: Store, database: str, table: str, version: Version, node: A.St
     try:
         for index in version.indexes:
             if index.unique and set(index.columns) & set(values):
-                check_unique(store.read(database, table, after), index)
+                _check_changed(store.read(database, table, after), changed, index, new, values)
     except EngineError:
         store.drop_files(database, table, written)
         raise
     return Change(after, count, "UPDATE", changed)
 
 
+def _check_changed(after: DataFrame, changed: DataFrame, index: Index, new: dict[str, SparkColumn], values: dict[str, object]) -> None:
+    """Fail if a changed row has the key of another. A key that is set as a whole is looked up; of others only the changed rows' keys are joined."""
+    if any(values.get(c, "") is None for c in index.columns):
+        return
+    if set(index.columns) <= set(values):
+        same = after
+        for c in index.columns:
+            same = same.where(F.col(f"`{c}`") == new[c])
+        twice = len(same.select(F.lit(1)).limit(2).collect()) > 1
+    else:
+        mine = changed.select(F.col(ROW_ID).alias("__changed"), *[F.col(f"`{c}`") for c in index.columns]).dropna()
+        twice = not after.join(mine, list(index.columns)).where(F.col(ROW_ID) != F.col("__changed")).isEmpty()
+    if twice:
+        raise EngineError("UNIQUE_VIOLATION", f"The key {index.name} is not unique.")
+
+
 def delete(store: Store, database: str, table: str, version: Version, node: A.Statement, context: Context, policy: SparkColumn | None) -> Change:
     matched, files, count = _matched(store, database, table, version, node.where, context, policy)
     if not count:

@@ -105,6 +105,18 @@ def check_unique(rows: DataFrame, index: Index) -> None:
         raise EngineError("UNIQUE_VIOLATION", f"The key {index.name} is not unique.")
 
 
+def check_absent(existing: DataFrame, rows: DataFrame, version: Version, index: Index) -> None:
+    """Fail if a row of ``existing`` has a key of ``rows``. Files and row groups outside the range of the new keys are passed over."""
+    keys = [f"`{c}`" for c in index.columns]
+    if version.column(index.columns[0]).type.name in ty.NUMBERS | ty.TEXTS:
+        low, high = rows.agg(F.min(keys[0]), F.max(keys[0])).first()
+        if low is None:
+            return
+        existing = existing.where(F.col(keys[0]).between(low, high))
+    if not existing.select(*keys).join(rows.select(*keys).dropna(), list(index.columns), "left_semi").isEmpty():
+        raise EngineError("UNIQUE_VIOLATION", f"The key {index.name} is not unique.")
+
+
 def check_key_size(rows: DataFrame, version: Version, index: Index) -> None:
     total = F.lit(0)
     for c in index.columns:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ class Relation:
     df: DataFrame
     types: dict[str, SqlType]
     has_row_id: bool = False
+    #: The files that hold the first rows, so many, by row id; None where files can't be told apart.
+    first: Callable[[int], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -113,8 +115,8 @@ class Scope:
         if isinstance(node, A.Json):
             return self._json(node)
         if isinstance(node, A.Subquery):
-            select = A.Select(**{**vars(node.select)})
-            df, types = Planner(self.context).run(select)
+            # The first row: by row id where the subquery has no order of its own.
+            df, types = Planner(self.context).run(node.select if node.select.limit is not None else replace(node.select, limit=A.Lit(1)))
             first = df.columns[0]
             return Operand(df.limit(1).select(F.col(f"`{first}`")).scalar(), types[0])
         return Operand(None, None, True, self.context.constant(node))
@@ -310,7 +312,7 @@ class Planner:
 
     def run(self, select: A.Select) -> tuple[DataFrame, list[SqlType]]:
         """The result and the types of its columns."""
-        df, scope, row_ids = self._from(select.sources)
+        df, scope, row_ids = self._from(select.sources, self._wanted(select))
         df = filtered(df, scope, select.where)
         if select.group or any(isinstance(p.expr, A.Agg) for p in select.projections) or select.having is not None:
             return self._grouped(df, scope, select)
@@ -328,7 +330,12 @@ class Planner:
         df = self._bounds(df, select)
         return df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), types
 
-    def _from(self, sources: tuple[A.Source, ...]) -> tuple[DataFrame, Scope, list[str]]:
+    def _wanted(self, select: A.Select) -> int | None:
+        """How many rows a SELECT with nothing but bounds can use."""
+        plain = len(select.sources) == 1 and select.where is None and not select.order and not select.group and select.having is None and not any(isinstance(p.expr, A.Agg) for p in select.projections)
+        return (self._bound(select.offset) or 0) + self._bound(select.limit) if plain and select.limit is not None else None
+
+    def _from(self, sources: tuple[A.Source, ...], wanted: int | None = None) -> tuple[DataFrame, Scope, list[str]]:
         out, fields, row_ids, seen = None, [], [], set()
         for k, source in enumerate(sources):
             if source.alias in seen:
@@ -340,7 +347,7 @@ class Planner:
             if relation.has_row_id:
                 row_ids.append(f"__{k}{ROW_ID}")
                 columns.append(F.col(ROW_ID).alias(row_ids[-1]))
-            df = relation.df.select(*columns)
+            df = (relation.df if wanted is None or relation.first is None else relation.first(wanted)).select(*columns)
             fields += own
             if out is None:
                 out = df
@@ -407,16 +414,16 @@ class Planner:
             value = F.lit(None).cast("double")
         return (F.coalesce(F.sum(value), F.lit(0.0)) if agg.func == "SUM" else F.avg(value)), SqlType("DOUBLE")
 
+    def _bound(self, node) -> int | None:
+        if node is None:
+            return None
+        value = self.context.constant(node)
+        if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+            raise EngineError("SQL_SEMANTIC", "LIMIT and OFFSET take whole numbers from 0.")
+        return min(value, 2**31 - 1)
+
     def _bounds(self, df: DataFrame, select: A.Select) -> DataFrame:
-        def bound(node) -> int | None:
-            if node is None:
-                return None
-            value = self.context.constant(node)
-            if isinstance(value, bool) or not isinstance(value, int) or value < 0:
-                raise EngineError("SQL_SEMANTIC", "LIMIT and OFFSET take whole numbers from 0.")
-            return min(value, 2**31 - 1)
-
-        offset, limit = bound(select.offset), bound(select.limit)
+        offset, limit = self._bound(select.offset), self._bound(select.limit)
         if offset:
             df = df.offset(offset)
         return df if limit is None else df.limit(limit)

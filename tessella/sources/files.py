@@ -47,6 +47,23 @@ class Files:
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
+    def footer(self, path: str) -> tuple[int, int, int] | None:
+        """Rows of a Parquet file, and least and greatest value of its first column, a long; None where the file has no such statistics."""
+        hadoop = self._jvm.org.apache.parquet.hadoop
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(self._path(path), self._conf))
+        try:
+            rows, low, high = 0, None, None
+            for group in reader.getRowGroups():
+                rows += group.getRowCount()
+                found = group.getColumns()[0].getStatistics()
+                if found is None or not found.hasNonNullValue():
+                    return None
+                low = found.genericGetMin() if low is None else min(low, found.genericGetMin())
+                high = found.genericGetMax() if high is None else max(high, found.genericGetMax())
+            return (rows, low, high) if rows else (0, 0, -1)
+        finally:
+            reader.close()
+
     def read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

@@ -40,14 +40,14 @@ def default_text(column: Column) -> str | None:
 
 
 def information_schema(engine: Engine, user: str) -> DataFrame:
-    """One row for each column of each table that the user may see. Row counts come from Parquet footers."""
+    """One row for each column of each table that the user may see; none for an engine without a root. Row counts come from the manifests."""
     rows = []
-    for database in engine.store.databases():
+    for database in engine.store.databases() if engine.store else ():
         for table in engine.store.tables(database):
             if not engine.access.allows(user, "SHOW", database, table) and not engine.access.allows(user, "SELECT", database, table):
                 continue
             v = engine.store.current(database, table)
-            count = engine.store.read(database, table, v).count() if v.files else 0
+            count = engine.store.rows(database, table, v)
             size = engine.store.files.size(f"{engine.store.folder(database, table)}/data")
             for k, c in enumerate(v.columns, 1):
                 text = c.type.name in ty.TEXTS
