@@ -10,63 +10,59 @@ def fails(db, sql, code):
 
 
 @pytest.fixture
-def guard(db):
-    db.execute("CREATE TABLE guard (id INT PRIMARY KEY AUTO_INCREMENT, name VARCHAR(20))")
-    db.execute("INSERT INTO guard (name) VALUES ('secret'), ('open'), ('other')")
-    db.execute("CREATE TABLE plain (id INT)")
-    db.execute("INSERT INTO plain VALUES (1), (2), (3)")
-    for sql in ("CREATE ROLE analyst", "CREATE ROLE lead", "GRANT analyst TO lead", "GRANT lead TO ann", "GRANT ALL ON main.% TO analyst", "GRANT SELECT ON gu% TO bob"):
+def parcels(db):
+    """Parcels by depot; bots may read their own depot's, clerks all that are not held. ``lists`` has no policy."""
+    db.execute("CREATE TABLE parcels (n INT PRIMARY KEY AUTO_INCREMENT, depot VARCHAR(20))")
+    db.execute("INSERT INTO parcels (depot) VALUES ('north'), ('south'), ('held')")
+    db.execute("CREATE TABLE lists (n INT)")
+    db.execute("INSERT INTO lists VALUES (1), (2), (3)")
+    for sql in ("CREATE ROLE bot", "CREATE ROLE clerk", "GRANT bot TO clerk", "GRANT clerk TO ann", "GRANT ALL ON main.% TO bot", "GRANT SELECT ON par% TO bob"):
         db.execute(sql)
-    db.execute("CREATE POLICY p1 ON guard FOR ALL TO analyst USING (name = 'secret')")
-    db.execute("CREATE POLICY p2 ON guard FOR SELECT USING (name = 'open')")
+    db.execute("CREATE POLICY own ON parcels FOR ALL TO bot USING (depot = 'north')")
+    db.execute("CREATE POLICY public ON parcels FOR SELECT USING (depot = 'south')")
     return db
 
 
-def names(s):
-    return sorted(r["name"] for r in s.execute("SELECT name FROM guard"))
+def depots(s, table="parcels"):
+    return sorted(r["depot"] for r in s.execute(f"SELECT depot FROM {table}"))
 
 
-def test_policies_compose(guard):
-    ann, bob = guard.engine.session("ann"), guard.engine.session("bob")
-    assert names(guard) == ["open", "other", "secret"] and names(ann) == ["open", "secret"] and names(bob) == ["open"]
-    assert ann.query("SELECT p.id AS k FROM plain AS p JOIN guard AS g ON p.id = g.id").count() == 2
-    assert ann.query("SELECT id FROM plain WHERE id IN (SELECT id FROM guard)").count() == 2
-    assert ann.query("SELECT id FROM plain").count() == 3
+def test_policies_are_added_up(parcels):
+    ann, bob = parcels.engine.session("ann"), parcels.engine.session("bob")
+    assert depots(parcels) == ["held", "north", "south"] and depots(ann) == ["north", "south"] and depots(bob) == ["south"]
+    assert ann.query("SELECT l.n AS k FROM lists AS l JOIN parcels AS p ON l.n = p.n").count() == 2
+    assert ann.query("SELECT n FROM lists WHERE n IN (SELECT n FROM parcels)").count() == 2 and ann.query("SELECT n FROM lists").count() == 3
 
 
-def test_policies_on_writes(guard):
-    ann = guard.engine.session("ann")
-    fails(ann, "INSERT INTO guard (name) VALUES ('x')", "POLICY_VIOLATION")
-    ann.execute("INSERT INTO guard (name) VALUES ('secret')")
-    assert ann.execute("DELETE FROM guard WHERE name != 'open'").affected_rows == 2
-    fails(ann, "TRUNCATE guard", "POLICY_VIOLATION")
-    assert names(guard) == ["open", "other"]
-    guard.execute("INSERT INTO guard (name) VALUES ('secret')")
-    fails(ann, "UPDATE guard SET name = 'moved'", "POLICY_VIOLATION")
+def test_policies_hold_for_writes(parcels):
+    ann = parcels.engine.session("ann")
+    fails(ann, "INSERT INTO parcels (depot) VALUES ('south')", "POLICY_VIOLATION")
+    assert ann.execute("INSERT INTO parcels (depot) VALUES ('north')").affected_rows == 1
+    fails(ann, "UPDATE parcels SET depot = 'east'", "POLICY_VIOLATION")
+    fails(ann, "TRUNCATE parcels", "POLICY_VIOLATION")
+    assert ann.execute("DELETE FROM parcels WHERE depot != 'south'").affected_rows == 2 and depots(parcels) == ["held", "south"]
 
 
-def test_policies_follow_tables(guard):
-    guard.execute("RENAME TABLE guard TO guard2")
-    ann = guard.engine.session("ann")
-    assert ann.query("SELECT name FROM guard2").count() == 2
-    guard.execute("DROP POLICY p1 ON guard2")
-    assert ann.query("SELECT name FROM guard2").count() == 1
-    fails(guard, "DROP POLICY p1 ON guard2", "POLICY_NOT_FOUND")
-    guard.execute("DROP POLICY p1 IF EXISTS ON guard2")
-    fails(guard, "CREATE POLICY q ON guard2 FOR SELECT USING (id IN (SELECT id FROM plain))", "SQL_SEMANTIC")
-    fails(guard, "CREATE POLICY q ON guard2 FOR SELECT USING (id = :a)", "SQL_SEMANTIC")
+def test_policies_go_with_their_table(parcels):
+    parcels.execute("RENAME TABLE parcels TO parcels_old")
+    ann = parcels.engine.session("ann")
+    assert depots(ann, "parcels_old") == ["north", "south"]
+    parcels.execute("DROP POLICY own ON parcels_old")
+    assert depots(ann, "parcels_old") == ["south"]
+    fails(parcels, "DROP POLICY own ON parcels_old", "POLICY_NOT_FOUND")
+    parcels.execute("DROP POLICY own IF EXISTS ON parcels_old")
+    for bad in ("n IN (SELECT n FROM lists)", "n = :which", "n = (SELECT n FROM lists)"):
+        fails(parcels, f"CREATE POLICY q ON parcels_old FOR SELECT USING ({bad})", "SQL_SEMANTIC")
 
 
-def test_privileges(guard):
-    bob = guard.engine.session("bob")
-    fails(bob, "SELECT id FROM plain", "ACCESS_DENIED")
-    fails(bob, "SELECT name FROM guard WHERE id IN (SELECT id FROM plain)", "ACCESS_DENIED")
-    fails(bob, "DELETE FROM guard", "ACCESS_DENIED")
-    fails(bob, "GRANT ALL ON * TO bob", "ACCESS_DENIED")
-    guard.execute("REVOKE SELECT ON gu% FROM bob")
-    fails(bob, "SELECT name FROM guard", "ACCESS_DENIED")
-    guard.execute("DROP ROLE analyst")
-    fails(guard.engine.session("ann"), "SELECT name FROM guard", "ACCESS_DENIED")
+def test_privileges(parcels):
+    bob = parcels.engine.session("bob")
+    for sql in ("SELECT n FROM lists", "SELECT depot FROM parcels WHERE n IN (SELECT n FROM lists)", "DELETE FROM parcels", "GRANT ALL ON * TO bob"):
+        fails(bob, sql, "ACCESS_DENIED")
+    parcels.execute("REVOKE SELECT ON par% FROM bob")
+    fails(bob, "SELECT depot FROM parcels", "ACCESS_DENIED")
+    parcels.execute("DROP ROLE bot")
+    fails(parcels.engine.session("ann"), "SELECT depot FROM parcels", "ACCESS_DENIED")
 
 
 def test_variables(db):
@@ -80,25 +76,25 @@ def test_variables(db):
     assert db.execute("SHOW GLOBAL VARIABLES LIKE 'skip%'").fetchall()[0]["value"] == "OFF"
 
 
-def test_system_tables(guard):
-    assert [r["role"] for r in guard.execute("SELECT role FROM system.roles ORDER BY role")] == ["analyst", "lead"]
-    assert guard.query("SELECT * FROM system.policies WHERE scope IS NULL").count() == 1
-    assert guard.query("SELECT grantee FROM system.privileges WHERE table_name LIKE '%\\%'").count() == 2
-    assert guard.query("SELECT * FROM system.role_assignments").count() == 2 and guard.query("SELECT * FROM system.replication_log").count() == 0
-    assert guard.query("SELECT * FROM system.sys_config").count() == 16
-    fails(guard.engine.session("bob"), "SELECT * FROM system.privileges", "ACCESS_DENIED")
+def test_system_tables(parcels):
+    assert [r["role"] for r in parcels.execute("SELECT role FROM system.roles ORDER BY role")] == ["bot", "clerk"]
+    assert parcels.query("SELECT * FROM system.policies WHERE scope IS NULL").count() == 1
+    assert parcels.query("SELECT grantee FROM system.privileges WHERE table_name LIKE '%\\%'").count() == 2
+    assert parcels.query("SELECT * FROM system.role_assignments").count() == 2 and parcels.query("SELECT * FROM system.replication_log").count() == 0
+    assert parcels.query("SELECT * FROM system.sys_config").count() == 16
+    fails(parcels.engine.session("bob"), "SELECT * FROM system.privileges", "ACCESS_DENIED")
 
 
-def test_logs(guard, caplog):
+def test_logs(parcels, caplog):
     import json
     import logging
 
     with caplog.at_level(logging.INFO, logger="tessella"):
-        guard.execute("SELECT id FROM guard WHERE name = 'secret' AND id > 5")
-        guard.execute("CREATE ROLE extra")
-        fails(guard, "SELECT 'x", "SQL_SYNTAX")
-        fails(guard, "SELECT nope FROM guard", "UNKNOWN_COLUMN")
+        parcels.execute("SELECT n FROM parcels WHERE depot = 'held' AND n > 5")
+        parcels.execute("CREATE ROLE extra")
+        fails(parcels, "SELECT 'x", "SQL_SYNTAX")
+        fails(parcels, "SELECT nope FROM parcels", "UNKNOWN_COLUMN")
     lines = [json.loads(r.message) for r in caplog.records]
-    assert [x["sql"] for x in lines if x["log"] == "general"] == ["SELECT id FROM guard WHERE name = ? AND id > ?", "CREATE ROLE extra", "(9 characters)", "SELECT nope FROM guard"]
+    assert [x["sql"] for x in lines if x["log"] == "general"] == ["SELECT n FROM parcels WHERE depot = ? AND n > ?", "CREATE ROLE extra", "(9 characters)", "SELECT nope FROM parcels"]
     assert [x["code"] for x in lines if x["log"] == "error"] == ["SQL_SYNTAX", "UNKNOWN_COLUMN"] and [x["outcome"] for x in lines if x["log"] == "audit"] == ["ok"]
-    assert "secret" not in caplog.text
+    assert "held" not in caplog.text
