@@ -5,12 +5,16 @@ Most are a statement of the dialect over the attached tables; the oracle is that
 
 from __future__ import annotations
 
+import json
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import logs
+from .errors import EngineError
 from .session import Engine, Session, connect
 from .streaming.changes import Follower
 
@@ -38,8 +42,12 @@ class _Lazy(Engine):
 
 
 def fresh_root(spark: SparkSession) -> str:
-    """A new folder where driver and executors can write."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    """A new folder where driver and executors can write: in ``spark.checkpoint.dir``, or the context's checkpoint folder; one of this machine only in local mode (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("STORAGE_ERROR", "spark.checkpoint.dir names no folder that driver and executors share.")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
     return f"{folder.rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
@@ -62,7 +70,7 @@ _add("filter_le", "SELECT p_partkey, p_size FROM part WHERE p_size <= 10")
 _add("filter_gt", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000.0")
 _add("filter_ge", "SELECT p_partkey, p_size FROM part WHERE 40 <= p_size", "SELECT p_partkey, p_size FROM part WHERE p_size >= 40")
 _add("filter_and_or_not", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 200000.0) AND NOT o_orderpriority = '1-URGENT'")
-_add("filter_is_null", "SELECT c.c_custkey AS k FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
+_add("filter_is_null", "SELECT c.c_custkey AS k FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000.0 WHERE o.o_orderkey IS NULL")
 _add("filter_is_not_null", "SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL")
 _add("filter_in", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _add("filter_not_in", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
@@ -77,6 +85,11 @@ _add("filter_not_like", "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%a%'"
 _add("filter_truthy", "SELECT doc_id FROM labels WHERE toxic", "SELECT doc_id FROM labels WHERE toxic <> 0")
 _add("filter_params_positional", "SELECT c_custkey FROM customer WHERE c_mktsegment = ? AND c_acctbal > ?", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000", ["BUILDING", 1000])
 _add("filter_params_named", "SELECT c_custkey FROM customer WHERE c_mktsegment = :seg", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", {"seg": "BUILDING"})
+_add("filter_parenthesised", "SELECT o_orderkey FROM orders WHERE (o_totalprice) > (100000.0) AND (((o_orderstatus)) = ('F') OR (o_orderkey) IN (1, 2, 3))")
+_add("filter_current_timestamp", "SELECT o_orderkey FROM orders WHERE o_orderdate < CURRENT_TIMESTAMP AND o_orderkey < 500")
+_add("filter_uuid", "SELECT r_name FROM region WHERE UUID() LIKE '________-____-____-____-____________' AND r_name != UUID()", "SELECT r_name FROM region")
+_add("filter_literals", "SELECT r_name FROM region WHERE r_regionkey >= -1 AND r_regionkey < 100 AND 'it''s' = 'it''s' AND TRUE AND NOT FALSE AND X'6162' = X'6162'", "SELECT r_name FROM region")
+_add("json_nested_column", "SELECT vec_id, label FROM embeddings WHERE JSON_EXTRACT(embedding, '$[0]') > 0", "SELECT vec_id, label FROM embeddings WHERE embedding[1] > 0")
 _add("filter_datetime", "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1997-01-01 00:00:00' AND o_orderdate < '1998-01-01 00:00:00'")
 # Aggregates
 _add("agg_count_star", "SELECT COUNT(*) AS n FROM lineitem")
@@ -110,7 +123,7 @@ _add("join_group", "SELECT n.n_name AS nation, COUNT(*) AS n, MAX(o.o_totalprice
 _add("left_join_null_filter", "SELECT COUNT(*) AS n FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
 # Subqueries
 _add("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-_add("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_add("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000.0)")
 _add(
     "not_in_subquery_nulls", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F')",
     "SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL AND o_orderkey NOT IN (SELECT x FROM (SELECT o.o_orderkey AS x FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F') WHERE x IS NOT NULL)",
@@ -249,6 +262,61 @@ def ordered_index_range(spark, sf_dir):
     return s.query("SELECT k, price FROM o WHERE price >= 50000.0 AND price < 60000.0")
 
 
+def outcomes(s: Session, statements: list[tuple[Session, str] | str]) -> DataFrame:
+    """What each statement comes to: step and outcome, which is the error's code, the rows of a query, or the rows that a command has changed."""
+    out = []
+    for k, entry in enumerate(statements, 1):
+        on, sql = (s, entry) if isinstance(entry, str) else entry
+        try:
+            r = on.execute(sql)
+            out.append((k, f"{len(r.fetchall())} rows" if r.kind == "rows" else f"{r.affected_rows} changed"))
+        except EngineError as e:
+            out.append((k, e.code))
+    return s.engine.spark.createDataFrame(out, "step int, outcome string")
+
+
+def _steps(*expected: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(expected, 1)) + ") AS v(step, outcome)"
+
+
+def _values(names: str, *rows: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({r})" for r in rows) + f") AS v({names})"
+
+
+def databases(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    s.execute("CREATE DATABASE alpha")
+    s.execute("CREATE DATABASE IF NOT EXISTS beta")
+    s.execute("CREATE DATABASE gamma")
+    s.execute("DROP DATABASE beta")
+    return s.query("SHOW DATABASES")
+
+
+def database_errors(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    return outcomes(s, ["CREATE DATABASE alpha", "CREATE DATABASE alpha", "CREATE DATABASE IF NOT EXISTS alpha", "DROP DATABASE nope", "DROP DATABASE IF EXISTS nope", "USE nope", "USE alpha", "SHOW TABLES", "DROP DATABASE alpha", "SHOW DATABASES"])
+
+
+def use_database(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("CREATE DATABASE other")
+    s.execute("USE other")
+    s.execute("CREATE TABLE o (k INT)")
+    s.execute("INSERT INTO o VALUES (1), (2)")
+    return s.query("SELECT a.k AS mine, b.k AS theirs, b.status AS status FROM o AS a JOIN main.o AS b ON a.k = b.k")
+
+
+def create_table(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    done = outcomes(s, [_ORDERS, _ORDERS, _ORDERS.replace("TABLE", "TABLE IF NOT EXISTS"), "CREATE TABLE b (a INT AUTO_INCREMENT)", "CREATE TABLE b (a INT, a INT)", "CREATE TABLE b (a TEXT UNIQUE)", "SELECT * FROM o"])
+    return done
+
+
+def drop_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return outcomes(s, ["SELECT k FROM o WHERE k < 3", "DROP TABLE o", "SELECT k FROM o", "DROP TABLE o", "DROP TABLE IF EXISTS o", _ORDERS, "SELECT k FROM o"])
+
+
 def describe(spark, sf_dir):
     s = connect(spark, fresh_root(spark))
     s.execute(_ORDERS)
@@ -258,18 +326,267 @@ def describe(spark, sf_dir):
 def show_tables(spark, sf_dir):
     s = connect(spark, fresh_root(spark))
     s.execute(_ORDERS)
+    s.execute("CREATE TABLE b (a INT)")
     return s.query("SHOW TABLES")
 
 
-def information_schema(spark, sf_dir):
+def show_index(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    s.execute(_ORDERS)
+    s.execute("CREATE UNIQUE INDEX pair ON o (cust, status)")
+    return s.query("SHOW INDEX FROM o")
+
+
+def create_index(spark, sf_dir):
     s = _loaded(spark, sf_dir)
-    return s.query("SELECT table_name, column_name, ordinal_position, data_type, is_nullable, column_key, table_rows FROM information_schema WHERE table_name = 'o'")
+    s.execute("CREATE INDEX by_cust ON o (cust)")
+    s.execute("DROP INDEX by_price ON o")
+    return s.query("SELECT k, cust FROM o WHERE cust = 7 OR price < 2000.0")
+
+
+def index_errors(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return outcomes(s, ["CREATE INDEX by_cust ON o (cust)", "CREATE INDEX by_cust ON o (cust)", "CREATE INDEX IF NOT EXISTS by_cust ON o (cust)", "CREATE UNIQUE INDEX u ON o (status)", "CREATE INDEX x ON o (nope)", "DROP INDEX nope ON o", "DROP INDEX IF EXISTS nope ON o", "DROP INDEX `primary` ON o", "DROP INDEX by_cust ON o"])
+
+
+def rename_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("RENAME TABLE o TO sales")
+    s.execute("DELETE FROM sales WHERE status = 'F'")
+    return s.query("SELECT k, cust, status, price FROM sales")
+
+
+def move_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("CREATE DATABASE other")
+    s.execute("MOVE TABLE o TO other.sales")
+    s.execute("UPDATE other.sales SET status = 'M' WHERE price < 50000.0")
+    return s.query("SELECT k, cust, status, price FROM other.sales")
+
+
+def transfer_errors(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("CREATE TABLE p (k INT)")
+    return outcomes(s, ["RENAME TABLE o TO p", "RENAME TABLE nope TO q", "MOVE TABLE o TO nowhere", "COPY TABLE o TO main.p", "COPY TABLE o TO main.q", "RENAME TABLE q TO r", "SELECT k FROM r WHERE k <= 5", "SELECT k FROM q"])
+
+
+def alter_keys(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("ALTER TABLE o DROP PRIMARY KEY, CHANGE k number BIGINT NOT NULL, DROP INDEX by_price, DROP COLUMN price, ADD PRIMARY KEY (number), ADD INDEX by_cust (cust), RENAME INDEX by_cust TO c, COLLATE utf8mb4_bin")
+    s.execute("ALTER TABLE o RENAME TO p")
+    return s.query("SELECT number, cust, status FROM p")
+
+
+def alter_auto_increment(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    s.execute("CREATE TABLE a (id INT PRIMARY KEY AUTO_INCREMENT, v VARCHAR(5))")
+    s.execute("INSERT INTO a (v) VALUES ('x')")
+    s.execute("ALTER TABLE a AUTO_INCREMENT = 700")
+    s.execute("INSERT INTO a (v) VALUES ('y'), ('z')")
+    return s.query("SELECT id, v FROM a")
+
+
+def alter_errors(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return outcomes(s, ["ALTER TABLE o ADD UNIQUE u (status)", "ALTER TABLE o MODIFY status INT", "ALTER TABLE o ADD COLUMN n INT NOT NULL", "ALTER TABLE o DROP COLUMN price", "ALTER TABLE o DROP COLUMN nope", "ALTER TABLE o RENAME COLUMN cust TO status", "ALTER TABLE o DROP INDEX nope", "ALTER TABLE o ADD CONSTRAINT u UNIQUE (k)"])
+
+
+def compact_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    for k in range(3):
+        s.execute(f"INSERT INTO o (k, status) VALUES ({-1 - k}, 'N')")
+    s.execute("COMPACT TABLE o")
+    return s.query(_BACK)
+
+
+def analyze_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("ANALYZE TABLE o")
+    found = s._version("main", "o")[1].statistics  # noqa: SLF001
+    return spark.createDataFrame([(found["rows"], found["status/distinct"], found["cust/nulls"])], "row_count long, statuses long, null_customers long")
+
+
+def check_table(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return s.query("CHECK TABLE o")
+
+
+def checksum_table(spark, sf_dir):
+    """The checksum is that of the rows, in whatever order and files."""
+    s = _loaded(spark, sf_dir)
+    sums = [s.query("CHECKSUM TABLE o").first()["checksum"]]
+    s.execute("INSERT INTO o (k, status) VALUES (-1, 'N')")
+    sums.append(s.query("CHECKSUM TABLE o").first()["checksum"])
+    s.execute("DELETE FROM o WHERE k = -1")
+    s.execute("COMPACT TABLE o")
+    sums.append(s.query("CHECKSUM TABLE o").first()["checksum"])
+    return spark.createDataFrame([(sums[0] == sums[2], sums[0] == sums[1])], "same boolean, with_another_row boolean")
+
+
+def flush_tables(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return outcomes(s, ["FLUSH TABLE o", "FLUSH TABLES", "SELECT k FROM o WHERE k <= 10"])
+
+
+def set_variables(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.execute("SET SESSION sort_buffer_size = 4M")
+    s.execute("SET GLOBAL join_buffer_size = 65536")
+    return s.query("SHOW VARIABLES LIKE '%buffer\\_size'")
 
 
 def show_variables(spark, sf_dir):
     return session(spark, sf_dir).query("SHOW VARIABLES LIKE '%buffer%'")
 
 
+def variable_errors(spark, sf_dir):
+    s = session(spark, sf_dir)
+    return outcomes(s, ["SET nope = 1", "SET GLOBAL thread_stack = 5", "SET SESSION query_cache_size = 5", "SET sort_buffer_size = 'x'", "SET sort_buffer_size = 1K", "SHOW VARIABLES LIKE 'thread%'", "SHOW GLOBAL VARIABLES"])
+
+
+def insert_defaults(spark, sf_dir):
+    s = connect(spark, fresh_root(spark))
+    s.execute("CREATE TABLE d (id INT PRIMARY KEY AUTO_INCREMENT, v INT DEFAULT 7, t VARCHAR(5) DEFAULT 'new', made TIMESTAMP DEFAULT CURRENT_TIMESTAMP, u UUID DEFAULT UUID())")
+    s.execute("INSERT INTO d DEFAULT VALUES")
+    s.execute("INSERT INTO d (v, t) VALUES (DEFAULT, 'x'), (NULL, DEFAULT)")
+    s.execute("INSERT INTO d (id, made, u) VALUES (40, CURRENT_TIMESTAMP, UUID())")
+    return s.query("SELECT id, v, t FROM d WHERE made <= CURRENT_TIMESTAMP AND u LIKE '________-____-____-____-____________'")
+
+
+def unique_checks(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    s.execute("CREATE TABLE c (a INT, b INT, t VARCHAR(5), UNIQUE pair (a, b))")
+    return outcomes(s, [
+        "INSERT INTO o (k, status) VALUES (1, 'X')", "INSERT INTO o (k, status) VALUES (-1, 'X'), (-1, 'Y')", "INSERT INTO o (k, status) VALUES (NULL, 'X')", "UPDATE o SET k = 2 WHERE k = 1", "UPDATE o SET k = -9 WHERE k < 3", "UPDATE o SET k = -9 WHERE k = 1",
+        "INSERT INTO c VALUES (1, 1, 'x'), (1, 2, 'x'), (2, 1, 'y'), (1, NULL, 'z'), (1, NULL, 'z')", "INSERT INTO c VALUES (1, 2, 'w')", "UPDATE c SET a = 1 WHERE a = 2", "UPDATE c SET a = 3 WHERE a = 2", "UPDATE c SET b = 1", "SELECT a FROM c",
+    ])
+
+
+def load_checks(spark, sf_dir):
+    """Keys of loaded rows are checked among themselves and against the table."""
+    s = _loaded(spark, sf_dir)
+    out = []
+    for k, rows in enumerate(("SELECT -1L AS k, 'x' AS status", "SELECT -2L AS k, 'x' AS status UNION ALL SELECT -2L, 'y'", "SELECT 5L AS k, 'x' AS status", "SELECT -3L AS k, 'long' AS status", "SELECT -3L AS k, CAST(NULL AS STRING) AS status"), 1):
+        try:
+            out.append((k, f"{s.load('o', spark.sql(rows)).affected_rows} changed"))
+        except EngineError as e:
+            out.append((k, e.code))
+    return spark.createDataFrame(out, "step int, outcome string")
+
+
+def scalar_subquery_row_order(spark, sf_dir):
+    """The first row of a subquery without an order is that with the least row id, also after its file was written anew."""
+    s = connect(spark, fresh_root(spark))
+    s.execute("CREATE TABLE t (id INT, v INT)")
+    for k in range(1, 4):
+        s.execute(f"INSERT INTO t VALUES ({k}, {10 * k})")
+    s.execute("UPDATE t SET v = 15 WHERE id = 1")
+    return s.query("SELECT id, v FROM t WHERE v = (SELECT v FROM t)")
+
+
+def limit_insertion_order(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    for k in range(3):
+        s.execute(f"INSERT INTO o (k, status) VALUES ({-1 - k}, 'N')")
+    s.execute("DELETE FROM o WHERE status != 'N'")
+    s.execute("UPDATE o SET price = 1.5 WHERE k = -1")
+    return s.query("SELECT k, price FROM o LIMIT 2")
+
+
+def semantic_errors(spark, sf_dir):
+    return outcomes(session(spark, sf_dir), [
+        "SELECT n_regionkey FROM nation AS a JOIN nation AS b ON a.n_nationkey = b.n_nationkey", "SELECT a.n_name AS n FROM nation AS a JOIN nation AS a ON a.n_nationkey = a.n_nationkey", "SELECT n_name, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey",
+        "SELECT nope FROM nation", "SELECT n_name FROM nowhere", "SELECT n_name, n_name FROM nation", "SELECT n_name FROM nation WHERE n_name = n_regionkey", "SELECT n_name FROM nation WHERE n_regionkey = 'x'", "SELECT n_name FROM nation WHERE n_regionkey = ?", "SELECT FROM nation", "SELECT n_name FROM nation LIMIT 3",
+    ])
+
+
+def privileges(spark, sf_dir):
+    s = session(spark, sf_dir)
+    ann = s.engine.session("ann")
+    return outcomes(s, [
+        (ann, "SELECT n_name FROM nation"), "CREATE ROLE reader", "CREATE ROLE reader", "GRANT SELECT ON main.nation TO reader", "GRANT reader TO ann", (ann, "SELECT n_name FROM nation"), (ann, "SELECT r_name FROM region"), (ann, "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)"),
+        (ann, "GRANT SELECT ON main.region TO ann"), "GRANT SELECT ON main.re% TO ann", (ann, "SELECT r_name FROM region"), "REVOKE reader FROM ann", (ann, "SELECT n_name FROM nation"), "REVOKE SELECT ON main.re% FROM ann", (ann, "SELECT r_name FROM region"), "GRANT reader TO ann", "DROP ROLE reader", (ann, "SELECT n_name FROM nation"), "DROP ROLE reader",
+    ])
+
+
+def statement_privileges(spark, sf_dir):
+    """Each kind of statement asks for its own privilege."""
+    s = _loaded(spark, sf_dir)
+    ann, out = s.engine.session("ann"), []
+    for privilege, sql in (("INSERT", "INSERT INTO o (k, status) VALUES (-1, 'X')"), ("UPDATE", "UPDATE o SET status = 'Y' WHERE k = -1"), ("DELETE", "DELETE FROM o WHERE k = -1"), ("SHOW", "DESCRIBE o"), ("INDEX", "CREATE INDEX c ON o (cust)"), ("ALTER", "ALTER TABLE o ADD COLUMN n INT"), ("TRUNCATE", "TRUNCATE TABLE o"), ("DROP", "DROP TABLE o"), ("CREATE", "CREATE TABLE p (a INT)")):
+        table = "main.p" if privilege == "CREATE" else "main.o"
+        out += [(ann, sql), f"GRANT {privilege} ON {table} TO ann", (ann, sql)]
+    return outcomes(s, out)
+
+
+def policies_on_writes(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    ann = s.engine.session("ann")
+    return outcomes(s, [
+        "GRANT ALL ON main.% TO ann", "CREATE POLICY mine ON o FOR ALL USING (status = 'P')", "CREATE POLICY mine ON o FOR SELECT USING (status = 'P')", (ann, "INSERT INTO o (k, status) VALUES (-1, 'F')"), (ann, "INSERT INTO o (k, status) VALUES (-1, 'P')"), (ann, "UPDATE o SET status = 'F' WHERE k = -1"),
+        (ann, "UPDATE o SET price = 2 WHERE k = -1"), (ann, "SELECT k FROM o WHERE status != 'P'"), (ann, "DELETE FROM o WHERE k = -1"), (ann, "TRUNCATE TABLE o"), "DROP POLICY nope ON o", "DROP POLICY mine ON o", (ann, "INSERT INTO o (k, status) VALUES (-1, 'F')"),
+    ])
+
+
+def policy_join(spark, sf_dir):
+    """A policy holds before a join: a LEFT JOIN keeps the rows whose partner it hides."""
+    s = session(spark, sf_dir)
+    s.execute("GRANT SELECT ON main.% TO ann")
+    s.execute("CREATE POLICY europe ON region FOR SELECT USING (r_regionkey = 3)")
+    return s.engine.session("ann").query("SELECT n.n_name AS nation, r.r_name AS region FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey")
+
+
+def system_tables(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    for sql in ("CREATE ROLE reader", "GRANT SELECT ON main.o TO reader", "GRANT reader TO ann", "CREATE POLICY p ON o FOR SELECT TO reader USING (k > 0)"):
+        s.execute(sql)
+    counts = [(t, s.query(f"SELECT * FROM system.{t}").count()) for t in ("roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config")]
+    return spark.createDataFrame(counts, "name string, n long")
+
+
+def sys_facts(spark, sf_dir):
+    return connect(spark, fresh_root(spark)).query("SELECT variable_name FROM sys WHERE value IS NOT NULL AND variable_name LIKE '%version'")
+
+
+def information_schema(spark, sf_dir):
+    s = _loaded(spark, sf_dir)
+    return s.query("SELECT table_name, column_name, ordinal_position, data_type, is_nullable, column_key, table_rows FROM information_schema WHERE table_name = 'o'")
+
+
+def result_cache(spark, sf_dir):
+    """Rows that were read are kept until their table changes."""
+    s, hits = _loaded(spark, sf_dir), []
+    for sql in ("SELECT k FROM o WHERE k <= 5", "SELECT k FROM o WHERE k <= 5", "DELETE FROM o WHERE k = 1", "SELECT k FROM o WHERE k <= 5", "SELECT k FROM o WHERE k <= 5", "SET GLOBAL query_cache_size = 0", "SELECT k FROM o WHERE k <= 5"):
+        s.execute(sql).fetchall()
+        hits.append((len(hits) + 1, s.engine.cache.hits))
+    return spark.createDataFrame(hits, "step int, hits int")
+
+
+def changes_prune(spark, sf_dir):
+    s = _loaded(spark, sf_dir, changes=True)
+    s.execute("UPDATE o SET status = 'X' WHERE price > 200000.0")
+    s.execute("INSERT INTO o (k, status) VALUES (-5, 'N')")
+    s.engine.changes.prune(4)
+    return s.engine.changes.read().select("log_id", "change_type", "row_id").where("log_id >= 4").groupBy("log_id", "change_type").count().selectExpr("log_id", "change_type", "count AS n")
+
+
+def statement_log(spark, sf_dir):
+    """Log lines hold no literals."""
+    lines: list[str] = []
+    handler = logging.Handler()
+    handler.emit = lambda record: lines.append(record.getMessage())
+    level = logs.LOGGER.level
+    logs.LOGGER.addHandler(handler)
+    logs.LOGGER.setLevel(logging.INFO)
+    try:
+        outcomes(session(spark, sf_dir), ["SELECT n_name FROM nation WHERE n_name = 'NATION_3' AND n_nationkey < 5", "CREATE ROLE extra", "SELECT nope FROM nation"])
+    finally:
+        logs.LOGGER.removeHandler(handler)
+        logs.LOGGER.setLevel(level)
+    seen = [json.loads(x) for x in lines]
+    return spark.createDataFrame([(x["log"], x["sql"], x.get("code")) for x in seen if x["log"] != "slow"], "log string, statement string, code string")
+
+
 _BASE = "SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders"
 TABLE_QUERIES = {
     dml_insert: f"{_BASE} UNION ALL VALUES (-1, NULL, 'X', 1.5::DOUBLE), (-2, NULL, 'Y', NULL)",
@@ -283,10 +600,46 @@ TABLE_QUERIES = {
     policy_filter: "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 10 AND (c_mktsegment = 'BUILDING' OR c_acctbal < 0.0)",
     changes_replay: "SELECT * FROM (SELECT o_orderkey AS k, o_custkey AS cust, CASE WHEN o_totalprice > 200000.0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders) WHERE status <> 'P' UNION ALL VALUES (-5, NULL, 'N', NULL::DOUBLE)",
     ordered_index_range: "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_totalprice >= 50000.0 AND o_totalprice < 60000.0",
-    describe: None,
-    show_tables: None,
-    information_schema: None,
-    show_variables: None,
+    databases: _values("database", "'alpha'", "'gamma'", "'main'"),
+    database_errors: _steps("0 changed", "DATABASE_EXISTS", "0 changed", "DATABASE_NOT_FOUND", "0 changed", "DATABASE_NOT_FOUND", "0 changed", "0 rows", "0 changed", "1 rows"),
+    use_database: "SELECT o_orderkey::INTEGER AS mine, o_orderkey AS theirs, o_orderstatus AS status FROM orders WHERE o_orderkey IN (1, 2)",
+    create_table: _steps("0 changed", "TABLE_EXISTS", "0 changed", "SCHEMA_ERROR", "SCHEMA_ERROR", "SCHEMA_ERROR", "0 rows"),
+    drop_table: "WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey < 3) SELECT step, CASE WHEN step = 1 THEN n || ' rows' ELSE outcome END AS outcome FROM (" + _steps("", "0 changed", "TABLE_NOT_FOUND", "TABLE_NOT_FOUND", "0 changed", "0 changed", "0 rows") + ") CROSS JOIN n",
+    describe: _values('"column", type, nullable, key, "default", auto_increment', "'k', 'BIGINT', false, 'PRI', NULL::VARCHAR, false", "'cust', 'BIGINT', true, '', NULL, false", "'status', 'VARCHAR(1)', false, '', NULL, false", "'price', 'DOUBLE', true, 'MUL', NULL, false"),
+    show_tables: _values('"table"', "'b'", "'o'"),
+    show_index: _values('"index", "column", sequence, "unique", "primary", ordered', "'primary', 'k', 1, true, true, false", "'by_price', 'price', 1, false, false, true", "'pair', 'cust', 1, true, false, false", "'pair', 'status', 2, true, false, false"),
+    create_index: "SELECT o_orderkey AS k, o_custkey AS cust FROM orders WHERE o_custkey = 7 OR o_totalprice < 2000.0",
+    index_errors: _steps("0 changed", "INDEX_EXISTS", "0 changed", "UNIQUE_VIOLATION", "UNKNOWN_COLUMN", "INDEX_NOT_FOUND", "0 changed", "SCHEMA_ERROR", "0 changed"),
+    rename_table: f"{_BASE} WHERE o_orderstatus <> 'F'",
+    move_table: "SELECT o_orderkey AS k, o_custkey AS cust, CASE WHEN o_totalprice < 50000.0 THEN 'M' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders",
+    transfer_errors: "WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey <= 5) SELECT step, CASE WHEN step = 7 THEN n || ' rows' ELSE outcome END AS outcome FROM (" + _steps("TABLE_EXISTS", "TABLE_NOT_FOUND", "DATABASE_NOT_FOUND", "TABLE_EXISTS", "0 changed", "0 changed", "", "TABLE_NOT_FOUND") + ") CROSS JOIN n",
+    alter_keys: "SELECT o_orderkey AS number, o_custkey AS cust, o_orderstatus AS status FROM orders",
+    alter_auto_increment: _values("id, v", "1, 'x'", "700, 'y'", "701, 'z'"),
+    alter_errors: _steps("UNIQUE_VIOLATION", "INVALID_VALUE", "NOT_NULL_VIOLATION", "SCHEMA_ERROR", "UNKNOWN_COLUMN", "SCHEMA_ERROR", "INDEX_NOT_FOUND", "0 changed"),
+    compact_table: f"{_BASE} UNION ALL VALUES (-1, NULL, 'N', NULL::DOUBLE), (-2, NULL, 'N', NULL), (-3, NULL, 'N', NULL)",
+    analyze_table: "SELECT count(*) AS row_count, count(DISTINCT o_orderstatus) AS statuses, count(*) - count(o_custkey) AS null_customers FROM orders",
+    check_table: "SELECT 'ok' AS status, count(*) AS rows, '' AS errors FROM orders",
+    checksum_table: "SELECT true AS same, false AS with_another_row",
+    flush_tables: "SELECT 1 AS step, '0 changed' AS outcome UNION ALL SELECT 2, '0 changed' UNION ALL SELECT 3, count(*) || ' rows' FROM orders WHERE o_orderkey <= 10",
+    set_variables: _values("variable_name, value, scope, dynamic, description", "'join_buffer_size', '65536', 'BOTH', 'YES', 'Bytes for joins; advisory.'", "'sort_buffer_size', '4194304', 'BOTH', 'YES', 'Bytes for sorting; advisory.'"),
+    show_variables: _values("variable_name, value, scope, dynamic, description", "'engine_buffer_pool_size', '67108864', 'GLOBAL', 'YES', 'Bytes for decoded rows; Spark''s own memory is used.'", "'join_buffer_size', '2097152', 'BOTH', 'YES', 'Bytes for joins; advisory.'", "'sort_buffer_size', '2097152', 'BOTH', 'YES', 'Bytes for sorting; advisory.'"),
+    variable_errors: _steps("UNKNOWN_SYSTEM_VARIABLE", "READ_ONLY_VARIABLE", "INVALID_VARIABLE_SCOPE", "INVALID_SYSTEM_VARIABLE", "0 changed", "3 rows", "16 rows"),
+    insert_defaults: _values("id, v, t", "1, 7, 'new'", "2, 7, 'x'", "3, NULL, 'new'", "40, 7, 'new'"),
+    unique_checks: _steps("UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "NOT_NULL_VIOLATION", "UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "1 changed", "5 changed", "UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "1 changed", "UNIQUE_VIOLATION", "5 rows"),
+    load_checks: _steps("1 changed", "UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "INVALID_VALUE", "INVALID_VALUE"),
+    scalar_subquery_row_order: _values("id, v", "1, 15"),
+    limit_insertion_order: _values("k, price", "-1::BIGINT, 1.5::DOUBLE", "-2, NULL"),
+    semantic_errors: _steps("AMBIGUOUS_COLUMN", "SQL_SEMANTIC", "SQL_SEMANTIC", "5 rows", "UNKNOWN_COLUMN", "TABLE_NOT_FOUND", "SQL_SEMANTIC", "SQL_SEMANTIC", "INVALID_VALUE", "MISSING_PARAMETER", "SQL_SYNTAX", "3 rows"),
+    privileges: _steps("ACCESS_DENIED", "0 changed", "ROLE_EXISTS", "0 changed", "0 changed", "25 rows", "ACCESS_DENIED", "ACCESS_DENIED", "ACCESS_DENIED", "0 changed", "5 rows", "0 changed", "ACCESS_DENIED", "0 changed", "ACCESS_DENIED", "0 changed", "0 changed", "ACCESS_DENIED", "ROLE_NOT_FOUND"),
+    statement_privileges: "SELECT step, CASE WHEN step = 21 THEN (SELECT count(*) FROM orders) || ' changed' ELSE outcome END AS outcome FROM (" + _steps(*[x for done in ("1 changed", "1 changed", "1 changed", "4 rows", "0 changed", "0 changed", "", "0 changed", "0 changed") for x in ("ACCESS_DENIED", "0 changed", done)]) + ")",
+    policies_on_writes: _steps("0 changed", "0 changed", "POLICY_EXISTS", "POLICY_VIOLATION", "1 changed", "POLICY_VIOLATION", "1 changed", "0 rows", "1 changed", "POLICY_VIOLATION", "POLICY_NOT_FOUND", "0 changed", "1 changed"),
+    policy_join: "SELECT n_name AS nation, CASE WHEN n_regionkey = 3 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+    system_tables: _values("name, n", "'roles', 1::BIGINT", "'role_assignments', 1", "'privileges', 1", "'policies', 1", "'replication_log', 0", "'sys_config', 16"),
+    sys_facts: _values("variable_name", "'version'", "'spark_version'", "'python_version'"),
+    information_schema: "SELECT 'o' AS table_name, v.*, (SELECT count(*) FROM orders) AS table_rows FROM (VALUES ('k', 1, 'bigint', 'NO', 'PRI'), ('cust', 2, 'bigint', 'YES', ''), ('status', 3, 'varchar', 'NO', ''), ('price', 4, 'double', 'YES', 'MUL')) AS v(column_name, ordinal_position, data_type, is_nullable, column_key)",
+    result_cache: _values("step, hits", "1, 0", "2, 1", "3, 1", "4, 1", "5, 2", "6, 2", "7, 2"),
+    changes_prune: _values("log_id, change_type, n", "4::BIGINT, 'INSERT', 1::BIGINT"),
+    statement_log: _values("log, statement, code", "'general', 'SELECT n_name FROM nation WHERE n_name = ? AND n_nationkey < ?', NULL::VARCHAR", "'general', 'CREATE ROLE extra', NULL", "'audit', 'CREATE ROLE extra', NULL", "'general', 'SELECT nope FROM nation', NULL", "'error', 'SELECT nope FROM nation', 'UNKNOWN_COLUMN'"),
 }
 
 QUERIES = {name: _run_sql(name) for name in SQL} | {f.__name__: f for f in TABLE_QUERIES}
