@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import logging
+import logging.handlers
+import os
 
 from .errors import EngineError
 from .plans.lexer import tokenize
@@ -24,9 +26,25 @@ def redacted(sql: str) -> str:
     return " ".join("?" if t.kind in ("string", "number", "bytes") else f":{t.text}" if t.kind == "named" else f"`{t.text}`" if t.kind == "quoted" else t.text for t in tokens[:-1])
 
 
+KINDS = ("general", "slow", "error", "audit")
+
+
+def to_files(folder: str, max_bytes: int = 16 * 2**20, keep: int = 5) -> list[logging.Handler]:
+    """Write each kind of line to a file of its own on the driver (``general.log`` and so on), which is renamed when it would grow beyond ``max_bytes``; ``keep`` old ones stay."""
+    os.makedirs(folder, exist_ok=True)
+    made = []
+    for kind in KINDS:
+        handler = logging.handlers.RotatingFileHandler(os.path.join(folder, f"{kind}.log"), maxBytes=max_bytes, backupCount=keep, encoding="utf-8")
+        handler.addFilter(lambda record, kind=kind: getattr(record, "kind", None) == kind)
+        LOGGER.addHandler(handler)
+        made.append(handler)
+    LOGGER.setLevel(min(LOGGER.level or logging.INFO, logging.INFO))
+    return made
+
+
 def write(kind: str, level: int = logging.INFO, **facts: object) -> None:
     if LOGGER.isEnabledFor(level):
-        LOGGER.log(level, json.dumps({"time": dt.datetime.now(dt.UTC).isoformat(), "log": kind, **facts}, ensure_ascii=False, default=str))
+        LOGGER.log(level, json.dumps({"time": dt.datetime.now(dt.UTC).isoformat(), "log": kind, **facts}, ensure_ascii=False, default=str), extra={"kind": kind})
 
 
 def statement(user: str, database: str | None, sql: str, ms: float, error: EngineError | None = None) -> None:

@@ -9,8 +9,10 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 
+from .. import logs
 from ..functions import types as ty
 from ..functions.types import SqlType
+from ..operators.access import SUPERUSER
 from ..plans.lower import Relation
 from .tables import Column, Index
 
@@ -68,11 +70,21 @@ def sys_table(engine: Engine) -> DataFrame:
 
 
 #: Tables of the system database that show the engine's own state.
-SYSTEM_TABLES = ("roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config")
+SYSTEM_TABLES = ("users_schema", "roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config", "config_schema", "performance_schema")
 
 
 def system_table(engine: Engine, name: str) -> DataFrame:
     spark, access = engine.spark, engine.access
+    if name == "users_schema":
+        # There are no accounts; users are those that something was granted to.
+        users = {SUPERUSER} | {g for g, *_ in access.privileges} | {m for _, m in access.members}
+        return spark.createDataFrame([(u, u == SUPERUSER) for u in sorted(users - set(access.roles))], "username string, superuser boolean")
+    if name == "config_schema":
+        facts = {"root": engine.store.root if engine.store else None, "change_log": "ON" if engine.changes else "OFF", "attached_tables": str(len(engine.attached)), "slow_statement_ms": str(logs.SLOW_MS)}
+        return spark.createDataFrame(list(facts.items()), "config_key string, config_value string")
+    if name == "performance_schema":
+        facts = engine.counters | {"cache_hits": engine.cache.hits, "cached_results": len(engine.cache.rows), "cached_bytes": engine.cache.bytes, "uptime_seconds": time.time() - STARTED}
+        return spark.createDataFrame([(n, float(v)) for n, v in facts.items()], "metric_name string, metric_value double")
     if name == "roles":
         return spark.createDataFrame([(r,) for r in access.roles], "role string")
     if name == "role_assignments":

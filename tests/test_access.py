@@ -98,3 +98,31 @@ def test_logs(parcels, caplog):
     assert [x["sql"] for x in lines if x["log"] == "general"] == ["SELECT n FROM parcels WHERE depot = ? AND n > ?", "CREATE ROLE extra", "(9 characters)", "SELECT nope FROM parcels"]
     assert [x["code"] for x in lines if x["log"] == "error"] == ["SQL_SYNTAX", "UNKNOWN_COLUMN"] and [x["outcome"] for x in lines if x["log"] == "audit"] == ["ok"]
     assert "held" not in caplog.text
+
+
+def test_log_files(parcels, tmp_path):
+    """A file for each kind of line; files are renamed before they grow too large."""
+    from tessella import logs
+
+    handlers = logs.to_files(str(tmp_path / "logs"), max_bytes=2000, keep=2)
+    try:
+        for k in range(30):
+            parcels.execute(f"SELECT n FROM parcels WHERE n = {k}")
+        parcels.execute("CREATE ROLE extra")
+        fails(parcels, "SELECT nope FROM parcels", "UNKNOWN_COLUMN")
+    finally:
+        for h in handlers:
+            logs.LOGGER.removeHandler(h)
+            h.close()
+    found = {p.name: p.read_text() for p in (tmp_path / "logs").iterdir()}
+    assert {"general.log", "general.log.1", "general.log.2", "slow.log", "error.log", "audit.log"} == set(found) and all(len(t) <= 2000 for t in found.values())
+    assert found["audit.log"].count("CREATE ROLE extra") == 1 and found["error.log"].count("UNKNOWN_COLUMN") == 1
+
+
+def test_counters(parcels):
+    before = dict(parcels.engine.counters)
+    fails(parcels, "SELECT nope FROM parcels", "UNKNOWN_COLUMN")
+    got = {r["metric_name"]: r["metric_value"] for r in parcels.query("SELECT * FROM system.performance_schema").collect()}
+    assert got["statements"] == before["statements"] + 1 and got["errors"] == before["errors"] + 1 and got["uptime_seconds"] > 0
+    assert [r["username"] for r in parcels.execute("SELECT username FROM system.users_schema ORDER BY username")] == ["ann", "bob", "root"]
+    assert parcels.query("SELECT * FROM system.config_schema WHERE config_key = 'root'").first()["config_value"] == parcels.engine.store.root
