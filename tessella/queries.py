@@ -540,7 +540,8 @@ def system_tables(spark, sf_dir):
     s = _loaded(spark, sf_dir)
     for sql in ("CREATE ROLE reader", "GRANT SELECT ON main.o TO reader", "GRANT reader TO ann", "CREATE POLICY p ON o FOR SELECT TO reader USING (k > 0)"):
         s.execute(sql)
-    counts = [(t, s.query(f"SELECT * FROM system.{t}").count()) for t in ("roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config")]
+    counts = [(t, s.query(f"SELECT * FROM system.{t}").count()) for t in ("users_schema", "roles", "role_assignments", "privileges", "policies", "replication_log", "sys_config", "config_schema")]
+    counts += [(f"performance_schema.{r['metric_name']}", int(r["metric_value"])) for r in s.query("SELECT metric_name, metric_value FROM system.performance_schema WHERE metric_name IN ('statements', 'errors')").collect()]
     return spark.createDataFrame(counts, "name string, n long")
 
 
@@ -634,7 +635,7 @@ TABLE_QUERIES = {
     statement_privileges: "SELECT step, CASE WHEN step = 21 THEN (SELECT count(*) FROM orders) || ' changed' ELSE outcome END AS outcome FROM (" + _steps(*[x for done in ("1 changed", "1 changed", "1 changed", "4 rows", "0 changed", "0 changed", "", "0 changed", "0 changed") for x in ("ACCESS_DENIED", "0 changed", done)]) + ")",
     policies_on_writes: _steps("0 changed", "0 changed", "POLICY_EXISTS", "POLICY_VIOLATION", "1 changed", "POLICY_VIOLATION", "1 changed", "0 rows", "1 changed", "POLICY_VIOLATION", "POLICY_NOT_FOUND", "0 changed", "1 changed"),
     policy_join: "SELECT n_name AS nation, CASE WHEN n_regionkey = 3 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
-    system_tables: _values("name, n", "'roles', 1::BIGINT", "'role_assignments', 1", "'privileges', 1", "'policies', 1", "'replication_log', 0", "'sys_config', 16"),
+    system_tables: _values("name, n", "'users_schema', 2::BIGINT", "'config_schema', 4", "'performance_schema.statements', 13", "'performance_schema.errors', 0", "'roles', 1", "'role_assignments', 1", "'privileges', 1", "'policies', 1", "'replication_log', 0", "'sys_config', 16"),
     sys_facts: _values("variable_name", "'version'", "'spark_version'", "'python_version'"),
     information_schema: "SELECT 'o' AS table_name, v.*, (SELECT count(*) FROM orders) AS table_rows FROM (VALUES ('k', 1, 'bigint', 'NO', 'PRI'), ('cust', 2, 'bigint', 'YES', ''), ('status', 3, 'varchar', 'NO', ''), ('price', 4, 'double', 'YES', 'MUL')) AS v(column_name, ordinal_position, data_type, is_nullable, column_key)",
     result_cache: _values("step, hits", "1, 0", "2, 1", "3, 1", "4, 1", "5, 2", "6, 2", "7, 2"),
