@@ -424,6 +424,26 @@ def _resolved(high, low, ids, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([high, low, pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["high", "low", "id", "start", "stop"])
 
 
+def _listed(batch: pa.RecordBatch, name: str) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray]]:
+    """The texts of a batch as bytes, and the structs of a column of lists put together: the row of each, and its fields."""
+    lists = batch.column(name)
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    found = lists.flatten()
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], row, {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(found.type, found.flatten(), strict=True)}
+
+
+def _merged_ranges(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that overlap or touch within a row put together, in order: row, start, stop."""
+    if not len(row):
+        return row, start, stop
+    order = np.lexsort((start, row))
+    row, base = row[order], row[order].astype(np.int64) * (int(stop.max()) + 2)
+    start, far = start[order], np.maximum.accumulate(stop[order] + base)
+    first = np.concatenate([[True], start[1:] + base[1:] > far[:-1]])
+    last = np.append(first[1:], True)
+    return row[first], start[first], (far - base)[last]
+
+
 def resolve(contexts: DataFrame, length: int, number: int, scratch: Scratch) -> DataFrame:
     """Ranges (id, start, stop) of windows that start earlier too, of contexts (gram, id, start, bytes, shared, family) that share a gram."""
     found = scratch(families(contexts, length, number), "suffix-families")
@@ -452,13 +472,16 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 100):
-            out = []
-            for i, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode()
-                out += [(w["gram"], i, w["start"], part, w["shared"], w["family"]) for w in want if len(part := raw[w["start"] : w["start"] + w["length"]]) == w["length"]]
-            for k in range(0, len(out), 20_000):
-                columns = list(zip(*out[k : k + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()), strict=True)], names=["gram", "id", "start", "bytes", "shared", "family"])
+            texts, row, want = _listed(batch, "wanted")
+            size = want["length"]
+            parts = [texts[r][s : s + n] for r, s, n in zip(row.tolist(), want["start"].tolist(), size.tolist(), strict=True)]
+            # Rows that share an id may have shorter texts.
+            whole = np.flatnonzero(np.fromiter(map(len, parts), np.int64, len(parts)) == size)
+            ids = batch.column("id").to_numpy()[row]
+            for k in range(0, len(whole), 20_000):
+                some = whole[k : k + 20_000]
+                columns = [pa.array(x[some]) for x in (want["gram"], ids, want["start"])] + [pa.array([parts[i] for i in some.tolist()], pa.binary())] + [pa.array(x[some]) for x in (want["shared"], want["family"])]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "id", "start", "bytes", "shared", "family"])
 
     contexts = map_batches(near, cut, "gram long, id long, start int, bytes binary, shared boolean, family int")
     return gone.unionByName(resolve(contexts, length, number, scratch))
@@ -482,18 +505,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
             if batch.num_rows:
-                out = []
-                for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    spans: list[list[int]] = []
-                    for a, b in sorted((r["start"], min(r["stop"], len(raw))) for r in found or ()):
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b)
-                        else:
-                            spans.append([a, b])
-                    edges = [0, *(x for s in spans for x in s), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((len(raw), len(raw) - len(kept), len(spans), kept))
+                texts, row, found = _listed(batch, "ranges")
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                inside = found["start"] < sizes[row]  # rows that share an id may have shorter texts
+                row, start, stop = _merged_ranges(row[inside], found["start"][inside].astype(np.int64), np.minimum(found["stop"], sizes[row])[inside])
+                edges = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+                starts, stops, out = start.tolist(), stop.tolist(), []
+                for raw, k, m in zip(texts, edges, edges[1:], strict=False):
+                    kept = b"".join(raw[a:b] for a, b in zip([0, *stops[k:m]], [*starts[k:m], len(raw)], strict=True)) if k < m else raw
+                    out.append((len(raw), len(raw) - len(kept), m - k, kept))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -137,3 +137,30 @@ def test_least_long_as_id(spark):
     rows = [(-(2**63), "abc" * 60, None, None, None, 0.0, 0, 0, ""), (3, "abc" * 60, None, None, None, 0.0, 0, 0, "")]
     got = {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(frame(spark, rows)).collect()}
     assert set(got) == {-(2**63), 3} and got[3] == 180
+
+
+def test_merged_ranges():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 5, 200):
+        row, start = rnd.integers(0, 6, n), rnd.integers(0, 300, n)
+        stop = start + rnd.integers(1, 40, n)
+        want = []
+        for r in range(6):
+            spans = sorted((a, b) for a, b in zip(start[row == r].tolist(), stop[row == r].tolist(), strict=True))
+            out: list[list[int]] = []
+            for a, b in spans:
+                if out and a <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], b)
+                else:
+                    out.append([a, b])
+            want += [(r, a, b) for a, b in out]
+        assert list(zip(*(x.tolist() for x in sd._merged_ranges(row, start, stop)), strict=True)) == want
+
+
+def test_texts_that_share_an_id(spark):
+    """What is removed from one text of an id is removed at the same place of its others, as far as they reach."""
+    rnd = random.Random(1)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(300))
+    rows = [(1, passage, None, None, None, 0.0, 0, 0, ""), (2, "x" * 50 + passage, None, None, None, 0.0, 0, 0, ""), (2, "y" * 20, None, None, None, 0.0, 0, 0, ""), (2, "z" * 70, None, None, None, 0.0, 0, 0, "")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in sd.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 300, 0, 0, passage), (2, 20, 0, 0, "y" * 20), (2, 70, 20, 1, "z" * 50), (2, 350, 300, 1, "x" * 50)]
