@@ -8,11 +8,16 @@ Words are known by a 64-bit hash. A window (13 consecutive words of an item, or
    anchors at the same places of their text share the look-up, and windows of equal words are one.
 4. What is left is compared word by word: candidates meet the words of their document in pieces of ``PIECE`` words, so the work is linear in words and candidates.
 
+Proximity matches, where all words of a window stand in any order within ``SLOP`` more words than it has, come from the same index: the postings of the rarest word are kept that have postings of the next rarest ones near
+enough (an equi-join on stretches of a document), and what is left is compared with the words around it.
+
 Nothing is grouped by term but counts, and the look-up table is broadcast if it is small, so a frequent word doesn't gather in one task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms whose shifted postings are intersected before words are compared.
 RAREST = 3
+#: Words that a proximity match may have besides the window's.
+SLOP = 5
 #: Words of a document that candidates are compared with at a time.
 PIECE = 4096
 #: Rows of a look-up table that is broadcast (under 200 bytes each), and of the table with the windows themselves (under 2 KB each); larger ones are shuffled, where adaptive execution splits skewed terms.
@@ -95,8 +102,18 @@ def alignments(postings: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return met.distinct()
 
 
-def places(docs: DataFrame, wins: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
-    """doc, text_hash, text_key, first, start and length (words) of each place in ``docs`` where one of ``wins`` (text_key, first, terms; no two of the same terms) stands."""
+@dataclass
+class LookUp:
+    """What windows are looked up with: ``asked`` (anchor_id, text_key, first, terms), ``groups`` (anchor_id, anchors) and the postings of their anchors."""
+
+    asked: DataFrame
+    groups: DataFrame
+    n_groups: int
+    postings: DataFrame
+
+
+def look_up(docs: DataFrame, wins: DataFrame, scratch: Scratch) -> LookUp:
+    """``wins``: text_key, first and terms, no two of the same terms."""
     terms = wins.select(F.explode("terms").alias("term")).distinct()
     n_terms = terms.count()
     counts = scratch(frequencies(docs, terms, n_terms), "decontam-counts")
@@ -104,21 +121,69 @@ def places(docs: DataFrame, wins: DataFrame, scratch: Scratch, size: int = WINDO
     rare = scratch(looked.select(F.explode("anchors").alias("a")).select("a.term").distinct(), "decontam-terms")
     postings = scratch(index(docs, rare, rare.count()), "decontam-postings")
     groups = scratch(looked.select("anchor_id", "anchors").distinct(), "decontam-anchors")
-    met = scratch(alignments(postings, groups, groups.count()), "decontam-candidates")
-    asked = looked.select("anchor_id", "text_key", "first", "terms")
-    start = F.col("delta") + F.col("first")
-    found = met.join(_small(asked, asked.count(), MAX_BROADCAST_WINDOWS), "anchor_id").where(start >= 0).select(F.col("doc").alias("__doc"), F.floor(start / PIECE).alias("piece"), F.struct(start.alias("start"), "text_key", "first", "terms").alias("c"))
-    candidates = found.groupBy("__doc", "piece").agg(F.collect_list("c").alias("candidates"))
-    near = picked(docs.select("doc_id", "text"), "doc_id", id_filter(met.select("doc")))
+    return LookUp(looked.select("anchor_id", "text_key", "first", "terms"), groups, groups.count(), postings)
+
+
+def _meet_words(docs: DataFrame, candidates: DataFrame, asked: DataFrame, place: Column, margin: int, fits) -> DataFrame:
+    """doc, text_hash and the candidates (with text_key, first, terms and place) for which ``fits(words, c, at)`` holds; ``at`` is the place's index among the words. ``candidates``: anchor_id, doc and what ``place`` needs.
+    A document's words come in pieces with ``margin`` words of their neighbours on either side."""
+    found = candidates.join(_small(asked, asked.count(), MAX_BROADCAST_WINDOWS), "anchor_id").where(place >= 0)
+    found = found.select(F.col("doc").alias("__doc"), F.floor(place / PIECE).alias("piece"), F.struct(place.alias("place"), "text_key", "first", "terms").alias("c"))
+    grouped = found.groupBy("__doc", "piece").agg(F.collect_set("c").alias("candidates"))
+    near = picked(docs.select("doc_id", "text"), "doc_id", id_filter(candidates.select("doc")))
 
     def pieces(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), lambda i: F.struct(i.cast("long").alias("piece"), F.slice(w, i * PIECE + 1, F.lit(PIECE + size - 1)).alias("w")))
+        begin = lambda i: F.greatest(i * PIECE - margin, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")),
+            lambda i: F.struct(i.cast("long").alias("piece"), begin(i).alias("begin"), F.slice(w, begin(i) + 1, (i + 1) * PIECE + margin - begin(i)).alias("w")),
+        )
 
     parts = near.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), hashed(F.col("text")).alias("w")).where(F.size("w") > 0).select("doc", "text_hash", F.explode(pieces(F.col("w"))).alias("p"))
-    pairs = parts.select("doc", "text_hash", F.col("p.piece").alias("__piece"), "p.w").join(candidates, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("__piece") == F.col("piece")))
-    fit = F.filter("candidates", lambda c: F.slice("w", (c["start"] - F.col("piece") * PIECE).cast("int") + 1, F.size(c["terms"])) == c["terms"])
-    hits = pairs.select("doc", "text_hash", F.explode(F.transform(fit, lambda c: F.struct(c["text_key"].alias("text_key"), c["first"].alias("first"), c["start"].alias("start"), F.size(c["terms"]).alias("length")))).alias("x"))
-    return hits.select("doc", "text_hash", "x.*").distinct()
+    pairs = parts.select("doc", "text_hash", F.col("p.piece").alias("__piece"), "p.begin", "p.w").join(grouped, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("__piece") == F.col("piece")))
+    hits = F.filter("candidates", lambda c: fits(F.col("w"), c, (c["place"] - F.col("begin")).cast("int")))
+    return pairs.select("doc", "text_hash", F.explode(hits).alias("c")).select("doc", "text_hash", "c.*")
+
+
+def places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WINDOW) -> DataFrame:
+    """doc, text_hash, text_key, first, start and length (words) of each place in ``docs`` where one of the windows stands."""
+    met = scratch(alignments(found.postings, found.groups, found.n_groups), "decontam-candidates")
+    same = lambda w, c, at: F.slice(w, at + 1, F.size(c["terms"])) == c["terms"]
+    hits = _meet_words(docs, met, found.asked, F.col("delta") + F.col("first"), size - 1, same)
+    return hits.select("doc", "text_hash", "text_key", "first", F.col("place").alias("start"), F.size("terms").alias("length")).distinct()
+
+
+def near_places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc, text_hash, text_key, first and place (of its rarest word) of the windows whose words all stand, as often as in the window and in any order, among as many words of a document as the window has, plus ``slop``."""
+    reach = size + slop
+    met = None
+    for k in range(RAREST):
+        asked = found.groups.where(F.size("anchors") > k).select("anchor_id", F.col("anchors")[k]["term"].alias("term"))
+        mine = found.postings.join(_small(asked, found.n_groups), "term").select("anchor_id", "doc", "place", F.floor(F.col("place") / reach).alias("stretch"))
+        if met is None:
+            met = mine
+        else:
+            other = mine.select(F.col("anchor_id").alias("__id"), F.col("doc").alias("__doc"), F.col("place").alias("__place"), F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("__stretch"))
+            close = (met["anchor_id"] == other["__id"]) & met["doc"].eqNullSafe(other["__doc"]) & (met["stretch"] == other["__stretch"]) & (F.abs(met["place"] - other["__place"]) < reach)
+            there = met.join(other, close, "left_semi")
+            met = there.unionByName(met.join(_small(found.groups.where(F.size("anchors") <= k).select("anchor_id"), found.n_groups), "anchor_id", "left_semi").select(met.columns))
+    met = scratch(met.select("anchor_id", "doc", "place").distinct(), "decontam-near-candidates")
+
+    def fits(w: Column, c: Column, at: Column) -> Column:
+        length = F.size(c["terms"]) + slop
+        begin = F.greatest(at - length + 1, F.lit(0))
+        around = F.slice(w, begin + 1, at + length - begin)
+
+        def within(words_near: Column) -> Column:
+            times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
+            enough = lambda xs: F.forall(F.array_distinct(c["terms"]), lambda t: times(xs, t) >= times(c["terms"], t))
+            return F.exists(F.sequence(F.lit(1), F.greatest(F.size(words_near) - length + 1, F.lit(1))), lambda i: enough(F.slice(words_near, i, length)))
+
+        # Few candidates have all words around them.
+        return F.when(F.size(F.array_except(c["terms"], around)) > 0, False).otherwise(let(around, within))
+
+    hits = _meet_words(docs, met, found.asked, F.col("place").cast("long"), reach - 1, fits)
+    return hits.select("doc", "text_hash", "text_key", "first", "place").distinct()
 
 
 def known_windows(benchmark: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -137,38 +202,29 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, scr
     """
     scratch = scratch or Scratch()
     wins, members = known_windows(benchmark, size, scratch)
-    return places(docs, wins, scratch, size).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "start", "length").distinct()
+    return places(docs, look_up(docs, wins, scratch), scratch, size).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "start", "length").distinct()
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 5) -> DataFrame:
-    """doc, item, first and start (of the stretch) where all words of a window stand, in any order, within its length plus ``slop`` words.
-
-    A stretch starts at an occurrence of one of the window's words. Every occurrence of the window's rarest word is looked at, so the work follows that word's postings.
-    """
-    wins = staged(windows(benchmark.where(F.col("item_id").isNotNull()), size), "proximity-windows")
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
-    n_terms = terms.count()
-    looked = staged(lookups(wins, frequencies(docs, terms, n_terms), n_terms).select("item", "first", "terms", F.col("anchors")[0]["term"].alias("term")), "proximity-lookups")
-    rare = looked.select("term").distinct()
-    postings = staged(index(docs, rare, rare.count()), "proximity-postings")
-    near = postings.join(F.broadcast(looked) if looked.count() <= MAX_BROADCAST_ROWS else looked, "term")
-    whole = docs.select(F.col("doc_id").alias("__doc"), hashed(F.col("text")).alias("w"))
-    reach = F.size("terms") + slop
-    starts = near.join(whole, F.col("doc").eqNullSafe(F.col("__doc"))).withColumn("start", F.explode(F.sequence(F.greatest(F.col("place") - reach + 1, F.lit(0)), F.col("place"))))
-    stretch = starts.withColumn("s", F.slice("w", F.col("start") + 1, reach)).where(F.array_contains("terms", F.col("s")[0]))
-    enough = F.forall(F.array_distinct("terms"), lambda t: F.size(F.filter("s", lambda x: x == t)) >= F.size(F.filter("terms", lambda x: x == t)))
-    return stretch.where(enough).select("doc", "item", "first", "start").distinct()
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, scratch: Scratch | None = None) -> DataFrame:
+    """doc, text_hash, item and place (of the window's rarest word) where all words of a window of an item stand close together in any order (``near_places``)."""
+    scratch = scratch or Scratch()
+    wins, members = known_windows(benchmark, size, scratch)
+    return near_places(docs, look_up(docs, wins, scratch), scratch, size, slop).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "place").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``; an empty table gives an empty result.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``, and n_near (items with a proximity match, exact ones included) where ``slop`` is given; an empty table gives an empty result.
 
     Benchmark rows without an item_id count for n_hit and contaminated, and are not among the items.
     """
     scratch = Scratch()
     wins, members = known_windows(benchmark, size, scratch)
-    hits = staged(places(docs, wins, scratch, size), "decontam-hits")
-    items = staged(hits.select("doc", "text_hash", "text_key", "first").distinct().join(members, ["text_key", "first"]).groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items")), "decontam-items")
+    index_of = look_up(docs, wins, scratch)
+    hits = staged(places(docs, index_of, scratch, size), "decontam-hits")
+    keys = ["doc", "text_hash"]
+    having = lambda rows: rows.select(*keys, "text_key", "first").distinct().join(members, ["text_key", "first"])
+    items = staged(having(hits).groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items")), "decontam-items")
+    near = staged(having(near_places(docs, index_of, scratch, size, slop)).groupBy(*keys).agg(F.count_distinct("item").alias("n_near")), "decontam-near") if slop is not None else None
     scratch.clear()
     # A hit counts the words that no earlier one of its text covers.
     longest = hits.groupBy("doc", "text_hash", "start").agg((F.col("start") + F.max("length")).alias("end"))
@@ -179,7 +235,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     rows = docs.select("doc_id", F.xxhash64("text").alias("__text"), n_words.cast("long").alias("n_words"))
     out = rows.join(both, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
     hit, found = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    more = []
+    if near is not None:
+        near = near.select(F.col("doc").alias("__near_doc"), F.col("text_hash").alias("__near_hash"), "n_near")
+        out = out.join(near, F.col("doc_id").eqNullSafe(F.col("__near_doc")) & (F.col("__text") == F.col("__near_hash")), "left")
+        more = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
     return out.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), *more,
     )

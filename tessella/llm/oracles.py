@@ -5,6 +5,7 @@ There is none for sharding and packing (DuckDB has no crc32), quality rules (qua
 
 from __future__ import annotations
 
+from . import decontam as D
 from . import secrets as S
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,10 +67,18 @@ sizes AS (SELECT DISTINCT n FROM items),
 places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) CROSS JOIN sizes WHERE i + n - 1 <= len(w)),
 hits AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN items USING (k, n)),
 covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS s FROM hits GROUP BY 1)
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS s FROM hits GROUP BY 1),
+tokens AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+counts AS (SELECT x, count(*) AS c FROM tokens GROUP BY 1),
+wins AS (SELECT k, list(DISTINCT item_id) AS who, any_value(string_split(k, ' ')) AS t FROM items GROUP BY k),
+rarest AS (SELECT k, arg_min(x, c) AS x FROM (SELECT k, unnest(list_distinct(t)) AS x FROM wins) LEFT JOIN counts USING (x) GROUP BY k HAVING count(c) = count(*)),
+around AS (SELECT doc_id, who, t, len(t) + {D.SLOP} AS n, d.w[greatest(1, p - len(t) - {D.SLOP - 1}):p + len(t) + {D.SLOP - 1}] AS a FROM rarest JOIN wins USING (k) JOIN tokens USING (x) JOIN d USING (doc_id)),
+close AS (SELECT doc_id, who FROM around WHERE list_has_all(a, t) AND len(list_filter(range(1, greatest(len(a) - n + 1, 1) + 1), lambda i: len(list_filter(list_distinct(t), lambda y:
+  len(list_filter(a[i:i + n - 1], lambda z: z = y)) < len(list_filter(t, lambda z: z = y)))) = 0)) > 0),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, unnest(who) AS item_id FROM close) GROUP BY 1)
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op7_ngram_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

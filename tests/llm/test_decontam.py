@@ -64,6 +64,45 @@ def test_proximity(spark):
     assert {r["doc"] for r in decontam.exact_matches(df, bench).collect()} == set()
 
 
+def brute_near(rows, items, size=13, slop=decontam.SLOP):
+    """(doc, number of items with a proximity match) by all stretches of all texts."""
+    from collections import Counter
+
+    windows = [(i, w[k : k + size]) for i, t in items if i is not None and (w := split(t)) for k in range(max(1, len(w) - size + 1))]
+    out = []
+    for i, t in rows:
+        w, found = split(t), set()
+        for item, terms in windows:
+            n, want = len(terms) + slop, Counter(terms)
+            if item not in found and set(terms) <= set(w) and any(not want - Counter(w[k : k + n]) for k in range(max(1, len(w) - n + 1))):
+                found.add(item)
+        out.append((i, len(found)))
+    return out
+
+
+def test_proximity_against_plain_python(spark, monkeypatch):
+    """Items with words put in, left out and swapped, in texts of few words, and across the pieces of a text."""
+    monkeypatch.setattr(decontam, "PIECE", 32)
+    rnd = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(60)]
+    bench = [(i, " ".join(rnd.choice(vocabulary) for _ in range(n))) for i, n in enumerate([20, 14, 13, 6, 2, 1, 30])] + [(7, "w1 w1 w2"), (8, None), (9, "absent w1"), (None, "w3 w4")]
+    rows = []
+    for k in range(60):
+        w = [rnd.choice(vocabulary + [f"u{rnd.randint(0, 200)}"] * 60) for _ in range(rnd.randint(0, 90))]
+        passage = split(bench[rnd.randrange(7)][1])
+        for _ in range(rnd.randint(0, 7)):
+            passage.insert(rnd.randrange(len(passage) + 1), "zz")
+        if rnd.random() < 0.4:
+            rnd.shuffle(passage)
+        rows.append((k, " ".join(w[:40] + passage + w[40:]), None, None, None, 0.0, 0, 0, ""))
+    rows += [(100, None, None, None, None, 0.0, 0, 0, ""), (None, bench[0][1], None, None, None, 0.0, 0, 0, "")]
+    df, table = frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_near"]) for r in decontam.contamination(df, table, slop=decontam.SLOP).collect()), key=repr)
+    assert got == sorted(brute_near([r[:2] for r in rows], bench), key=repr)
+    exact = {r["doc_id"]: r["n_items"] for r in decontam.contamination(df, table).collect()}
+    assert sum(n > exact[i] for i, n in got) > 10 and all(n >= exact[i] for i, n in got)
+
+
 def test_texts_that_share_an_item(spark):
     """Item ids repeat with other texts: one with words that the corpus lacks, one whose words are rarer, and one whose windows are cut alike."""
     rnd = random.Random(4)
