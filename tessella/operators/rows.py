@@ -94,8 +94,11 @@ def check_new_keys(existing: DataFrame, rows: list[tuple], version: Version) ->
             raise problem
 
 
-def insert(store: Store, database: str, table: str, version: Version, node: A.Statement, context: Context, policy: SparkColumn | None) -> Change:
+def insert(store: Store, database: str, table: str, version: Version, node: A.Statement, context: Context, policy: SparkColumn | None, limit: int | None = None) -> Change:
+    """``limit``: bytes that the values of literal rows, which the driver holds, may have."""
     rows, after, last = new_rows(version, node, context)
+    if limit is not None and sum(len(v) if isinstance(v, (str, bytes)) else 8 for r in rows for v in r) > limit:
+        raise EngineError("RESOURCE_LIMIT", f"The rows of an INSERT have more than {limit} bytes (max_heap_table_size).")
     check_new_keys(store.read(database, table, version), rows, version)
     df = store.spark.createDataFrame(rows, version.schema)
     _check_policy(df, policy)

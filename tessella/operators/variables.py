@@ -24,7 +24,7 @@ class Variable:
 #: Names, types, defaults and limits.
 VARIABLES = {
     "engine_buffer_pool_size": Variable("bytes", 67_108_864, description="Bytes for decoded rows; Spark's own memory is used."),
-    "max_heap_table_size": Variable("bytes", 67_108_864, 1, True, description="Bytes for intermediate results; advisory."),
+    "max_heap_table_size": Variable("bytes", 67_108_864, 1, True, description="Bytes that the rows of one INSERT may have."),
     "sort_buffer_size": Variable("bytes", 2_097_152, 1, True, description="Bytes for sorting; advisory."),
     "join_buffer_size": Variable("bytes", 2_097_152, 1, True, description="Bytes for joins; advisory."),
     "query_cache_size": Variable("bytes", 16_777_216, description="Bytes for results that are kept; 0 keeps none."),

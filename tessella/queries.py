@@ -439,6 +439,13 @@ def show_variables(spark, sf_dir):
     return session(spark, sf_dir).query("SHOW VARIABLES LIKE '%buffer%'")
 
 
+def insert_limit(spark, sf_dir):
+    """The rows of an INSERT, which pass the driver, are bounded."""
+    s = connect(spark, fresh_root(spark))
+    s.execute("CREATE TABLE t (v VARCHAR(100))")
+    return outcomes(s, ["INSERT INTO t VALUES ('short')", "SET SESSION max_heap_table_size = 100", f"INSERT INTO t VALUES ('{'x' * 90}'), ('y')", "INSERT INTO t VALUES ('a'), ('b')", "SET SESSION max_heap_table_size = 1M", f"INSERT INTO t VALUES ('{'x' * 90}'), ('y')", "SELECT v FROM t"])
+
+
 def variable_errors(spark, sf_dir):
     s = session(spark, sf_dir)
     return outcomes(s, ["SET nope = 1", "SET GLOBAL thread_stack = 5", "SET SESSION query_cache_size = 5", "SET sort_buffer_size = 'x'", "SET sort_buffer_size = 1K", "SHOW VARIABLES LIKE 'thread%'", "SHOW GLOBAL VARIABLES"])
@@ -624,6 +631,7 @@ TABLE_QUERIES = {
     flush_tables: "SELECT 1 AS step, '0 changed' AS outcome UNION ALL SELECT 2, '0 changed' UNION ALL SELECT 3, count(*) || ' rows' FROM orders WHERE o_orderkey <= 10",
     set_variables: _values("variable_name, value, scope, dynamic, description", "'join_buffer_size', '65536', 'BOTH', 'YES', 'Bytes for joins; advisory.'", "'sort_buffer_size', '4194304', 'BOTH', 'YES', 'Bytes for sorting; advisory.'"),
     show_variables: _values("variable_name, value, scope, dynamic, description", "'engine_buffer_pool_size', '67108864', 'GLOBAL', 'YES', 'Bytes for decoded rows; Spark''s own memory is used.'", "'join_buffer_size', '2097152', 'BOTH', 'YES', 'Bytes for joins; advisory.'", "'sort_buffer_size', '2097152', 'BOTH', 'YES', 'Bytes for sorting; advisory.'"),
+    insert_limit: _steps("1 changed", "0 changed", "RESOURCE_LIMIT", "2 changed", "0 changed", "2 changed", "5 rows"),
     variable_errors: _steps("UNKNOWN_SYSTEM_VARIABLE", "READ_ONLY_VARIABLE", "INVALID_VARIABLE_SCOPE", "INVALID_SYSTEM_VARIABLE", "0 changed", "3 rows", "16 rows"),
     insert_defaults: _values("id, v, t", "1, 7, 'new'", "2, 7, 'x'", "3, NULL, 'new'", "40, 7, 'new'"),
     unique_checks: _steps("UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "NOT_NULL_VIOLATION", "UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "1 changed", "5 changed", "UNIQUE_VIOLATION", "UNIQUE_VIOLATION", "1 changed", "UNIQUE_VIOLATION", "5 rows"),
