@@ -309,6 +309,8 @@ def filtered(df: DataFrame, scope: Scope, where) -> DataFrame:
 class Planner:
     def __init__(self, context: Context) -> None:
         self.context = context
+        #: The result with a further column of JSON for each JSON_EXTRACT, by the name of the column that it is for; None without one.
+        self.native: tuple[DataFrame, dict[str, str]] | None = None
 
     def run(self, select: A.Select) -> tuple[DataFrame, list[SqlType]]:
         """The result and the types of its columns."""
@@ -328,7 +330,12 @@ class Planner:
                 df = df.orderBy(*order)
         names, columns, types = self._projection(scope, select)
         df = self._bounds(df, select)
-        return df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), types
+        shown = [c.alias(n) for c, n in zip(columns, names, strict=True)]
+        values = {p.name: scope.operand(p.expr).json for p in select.projections if isinstance(p.expr, A.Json)}
+        if values:
+            hidden = {n: f"__json_{k}" for k, n in enumerate(values)}
+            self.native = df.select(*shown, *[F.to_json(F.try_variant_get(F.try_parse_json(source), path, "variant")).alias(hidden[n]) for n, (source, path) in values.items()]), hidden
+        return df.select(*shown), types
 
     def _wanted(self, select: A.Select) -> int | None:
         """How many rows a SELECT with nothing but bounds can use."""

@@ -77,7 +77,7 @@ def test_json(s):
     def one(path, where="id = 1"):
         return [r["v"] for r in s.execute(f"SELECT JSON_EXTRACT(d, ?) AS v FROM j WHERE {where}", [path])]
 
-    assert one("$.a.b[0]") == ["1"] and one("$.a.b[1]") == ["two"] and one("$.a.b[2]") == [None] and one("$['a'].b[3].c") == ["3.5"] and one("$.a.b[3]") == ['{"c":3.5}']
+    assert one("$.a.b[0]") == [1] and one("$.a.b[1]") == ["two"] and one("$.a.b[2]") == [None] and one("$['a'].b[3].c") == [3.5] and one("$.a.b[3]") == ['{"c":3.5}'] and one("$.t") == [True]
     assert one("$.a", "id > 1 AND id < 4") == [None, None] and one('$["k e"]', "id = 4") == ["v"]
 
     def match(where):
@@ -88,12 +88,20 @@ def test_json(s):
 
 
 def test_nested_columns_are_json(s, spark):
-    assert s.execute("SELECT v, JSON_EXTRACT(v, '$[0]') AS first FROM arrays").fetchall() == [{"v": "[1.0]", "first": "1.0"}]
+    assert s.execute("SELECT v, JSON_EXTRACT(v, '$[0]') AS first FROM arrays").fetchall() == [{"v": "[1.0]", "first": 1.0}]
     with pytest.raises(EngineError) as e:
         Engine(spark).attach("x", spark.sql("SELECT 1 AS a, INTERVAL 1 DAY AS b"))
     assert e.value.code == "SCHEMA_ERROR" and "b" in e.value.message
 
 
+def test_json_values_keep_their_type(s):
+    """In rows; a DataFrame's column has one type, text."""
+    sql = "SELECT id, JSON_EXTRACT(d, '$.a') AS a, JSON_EXTRACT(d, '$.t') AS t FROM j WHERE id IN (1, 4) ORDER BY id"
+    assert s.execute(sql).fetchall() == [{"id": 1, "a": '{"b":[1,"two",null,{"c":3.5}]}', "t": True}, {"id": 4, "a": 7, "t": None}]
+    assert [(r["a"], r["t"]) for r in s.query(sql).where("id = 4").collect()] == [("7", None)] and s.query(sql).columns == ["id", "a", "t"]
+    assert s.execute("SELECT JSON_EXTRACT('{\"n\": \"5\"}', '$.n') AS v FROM j LIMIT 1").fetchall() == [{"v": "5"}]
+
+
 def test_names(s):
     assert s.query("SELECT T.ID, `grp` AS \"G\" FROM T AS t LIMIT 0").columns == ["t.id", "g"]
     assert s.query("SELECT * FROM t AS a JOIN w AS b ON a.grp = b.v").columns == ["a.id", "a.grp", "a.x", "a.flag", "b.v"]
