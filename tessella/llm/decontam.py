@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, id_filter, let, picked, staged
+from .common import Scratch, ascii_lower, id_filter, let, parallelism, picked, staged
 
 # Fixed value: what separates words, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,14 +60,15 @@ def hashed(text: Column) -> Column:
 
 def frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """term and n: how often each of the given terms stands in whole texts."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"))
+    # The outer explode: for the other one the planner would filter by the number of words first, and so take every text apart twice.
+    tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).where(F.col("word").isNotNull()).select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"))
     count = lambda df: df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return count(tokens.join(F.broadcast(terms), "term", "left_semi")) if n_terms <= MAX_BROADCAST_ROWS else count(tokens).join(terms, "term", "left_semi")
 
 
 def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """Postings (term, doc, place) of the given terms in whole texts; place counts words from 0."""
-    tokens = docs.select(F.col("doc_id").alias("doc"), F.posexplode(words(F.col("text"))).alias("place", "word"))
+    tokens = docs.select(F.col("doc_id").alias("doc"), F.posexplode_outer(words(F.col("text"))).alias("place", "word")).where(F.col("word").isNotNull())
     postings = tokens.select(F.xxhash64(ascii_lower(F.col("word"))).alias("term"), "doc", "place")
     if n_terms > MAX_BROADCAST_ROWS:
         postings = picked(postings, "term", id_filter(terms))
@@ -124,13 +125,17 @@ def look_up(docs: DataFrame, wins: DataFrame, scratch: Scratch) -> LookUp:
     return LookUp(looked.select("anchor_id", "text_key", "first", "terms"), groups, groups.count(), postings)
 
 
-def _meet_words(docs: DataFrame, candidates: DataFrame, asked: DataFrame, place: Column, margin: int, fits) -> DataFrame:
-    """doc, text_hash and the candidates (with text_key, first, terms and place) for which ``fits(words, c, at)`` holds; ``at`` is the place's index among the words. ``candidates``: anchor_id, doc and what ``place`` needs.
+def _texts_of(docs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id and text of the documents (and few others) that have candidates, as a table, so that no filter on their words moves before the choice."""
+    return scratch(picked(docs.select("doc_id", "text"), "doc_id", id_filter(candidates.select("doc"))), "decontam-texts")
+
+
+def _meet_words(near: DataFrame, candidates: DataFrame, asked: DataFrame, place: Column, margin: int, fits) -> DataFrame:
+    """doc, text_hash and the candidates (with text_key, first, terms and place) for which ``fits(words, c, at)`` holds; ``at`` is the place's index among the words. ``candidates``: anchor_id, doc and what ``place`` needs; ``near``: the texts that they may be in.
     A document's words come in pieces with ``margin`` words of their neighbours on either side."""
     found = candidates.join(_small(asked, asked.count(), MAX_BROADCAST_WINDOWS), "anchor_id").where(place >= 0)
     found = found.select(F.col("doc").alias("__doc"), F.floor(place / PIECE).alias("piece"), F.struct(place.alias("place"), "text_key", "first", "terms").alias("c"))
     grouped = found.groupBy("__doc", "piece").agg(F.collect_set("c").alias("candidates"))
-    near = picked(docs.select("doc_id", "text"), "doc_id", id_filter(candidates.select("doc")))
 
     def pieces(w: Column) -> Column:
         begin = lambda i: F.greatest(i * PIECE - margin, F.lit(0))
@@ -141,6 +146,8 @@ def _meet_words(docs: DataFrame, candidates: DataFrame, asked: DataFrame, place:
 
     parts = near.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), hashed(F.col("text")).alias("w")).where(F.size("w") > 0).select("doc", "text_hash", F.explode(pieces(F.col("w"))).alias("p"))
     pairs = parts.select("doc", "text_hash", F.col("p.piece").alias("__piece"), "p.begin", "p.w").join(grouped, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("__piece") == F.col("piece")))
+    # Little data and much work.
+    pairs = pairs.repartition(parallelism(near.sparkSession))
     hits = F.filter("candidates", lambda c: fits(F.col("w"), c, (c["place"] - F.col("begin")).cast("int")))
     return pairs.select("doc", "text_hash", F.explode(hits).alias("c")).select("doc", "text_hash", "c.*")
 
@@ -149,12 +156,12 @@ def places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WINDOW)
     """doc, text_hash, text_key, first, start and length (words) of each place in ``docs`` where one of the windows stands."""
     met = scratch(alignments(found.postings, found.groups, found.n_groups), "decontam-candidates")
     same = lambda w, c, at: F.slice(w, at + 1, F.size(c["terms"])) == c["terms"]
-    hits = _meet_words(docs, met, found.asked, F.col("delta") + F.col("first"), size - 1, same)
+    hits = _meet_words(_texts_of(docs, met, scratch), met, found.asked, F.col("delta") + F.col("first"), size - 1, same)
     return hits.select("doc", "text_hash", "text_key", "first", F.col("place").alias("start"), F.size("terms").alias("length")).distinct()
 
 
-def near_places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """doc, text_hash, text_key, first and place (of its rarest word) of the windows whose words all stand, as often as in the window and in any order, among as many words of a document as the window has, plus ``slop``."""
+def near_candidates(found: LookUp, scratch: Scratch, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """anchor_id, doc and place of the postings of rarest words that have postings of the window's next rarest ones near enough."""
     reach = size + slop
     met = None
     for k in range(RAREST):
@@ -167,7 +174,11 @@ def near_places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WI
             close = (met["anchor_id"] == other["__id"]) & met["doc"].eqNullSafe(other["__doc"]) & (met["stretch"] == other["__stretch"]) & (F.abs(met["place"] - other["__place"]) < reach)
             there = met.join(other, close, "left_semi")
             met = there.unionByName(met.join(_small(found.groups.where(F.size("anchors") <= k).select("anchor_id"), found.n_groups), "anchor_id", "left_semi").select(met.columns))
-    met = scratch(met.select("anchor_id", "doc", "place").distinct(), "decontam-near-candidates")
+    return scratch(met.select("anchor_id", "doc", "place").distinct(), "decontam-near-candidates")
+
+
+def near_places(docs: DataFrame, found: LookUp, candidates: DataFrame, scratch: Scratch, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc, text_hash, text_key, first and place (of its rarest word) of the windows whose words all stand, as often as in the window and in any order, among as many words of a document as the window has, plus ``slop``."""
 
     def fits(w: Column, c: Column, at: Column) -> Column:
         length = F.size(c["terms"]) + slop
@@ -182,7 +193,7 @@ def near_places(docs: DataFrame, found: LookUp, scratch: Scratch, size: int = WI
         # Few candidates have all words around them.
         return F.when(F.size(F.array_except(c["terms"], around)) > 0, False).otherwise(let(around, within))
 
-    hits = _meet_words(docs, met, found.asked, F.col("place").cast("long"), reach - 1, fits)
+    hits = _meet_words(_texts_of(docs, candidates, scratch), candidates, found.asked, F.col("place").cast("long"), size + slop - 1, fits)
     return hits.select("doc", "text_hash", "text_key", "first", "place").distinct()
 
 
@@ -209,7 +220,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """doc, text_hash, item and place (of the window's rarest word) where all words of a window of an item stand close together in any order (``near_places``)."""
     scratch = scratch or Scratch()
     wins, members = known_windows(benchmark, size, scratch)
-    return near_places(docs, look_up(docs, wins, scratch), scratch, size, slop).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "place").distinct()
+    found = look_up(docs, wins, scratch)
+    return near_places(docs, found, near_candidates(found, scratch, size, slop), scratch, size, slop).join(members, ["text_key", "first"]).select("doc", "text_hash", "item", "place").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -220,11 +232,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
     scratch = Scratch()
     wins, members = known_windows(benchmark, size, scratch)
     index_of = look_up(docs, wins, scratch)
-    hits = staged(places(docs, index_of, scratch, size), "decontam-hits")
-    keys = ["doc", "text_hash"]
+    keys, near, few = ["doc", "text_hash"], None, docs
     having = lambda rows: rows.select(*keys, "text_key", "first").distinct().join(members, ["text_key", "first"])
+    if slop is not None:
+        candidates = near_candidates(index_of, scratch, size, slop)
+        few = _texts_of(docs, candidates, scratch)  # words that stand side by side are near
+        near = staged(having(near_places(few, index_of, candidates, scratch, size, slop)).groupBy(*keys).agg(F.count_distinct("item").alias("n_near")), "decontam-near")
+    hits = staged(places(few, index_of, scratch, size), "decontam-hits")
     items = staged(having(hits).groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items")), "decontam-items")
-    near = staged(having(near_places(docs, index_of, scratch, size, slop)).groupBy(*keys).agg(F.count_distinct("item").alias("n_near")), "decontam-near") if slop is not None else None
     scratch.clear()
     # A hit counts the words that no earlier one of its text covers.
     longest = hits.groupBy("doc", "text_hash", "start").agg((F.col("start") + F.max("length")).alias("end"))
