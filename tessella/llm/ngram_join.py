@@ -10,7 +10,8 @@
 4. In a first round each node is compared with one hub of its shingle only, the node in which the shingle stands first. This joins a large group of near copies in linear work. Later only nodes
    that are still in different components are compared, within bands of like size, which decides on the same components as all pairs.
 
-No key is hot: counts are combined before the shuffle, and a hub that many nodes are compared with is dealt out, its set once for each ``HUB_PAIRS`` of them.
+No key is hot: counts are combined before the shuffle, the entries of a shingle are dealt out in parts, each of which meets the shingle's hub (or the entries that it is compared with), and a hub that many nodes are
+compared with is dealt out, its set once for each ``HUB_PAIRS`` of them.
 
 Documents are read as bytes: words are what stands between ASCII white space, A-Z in lower case.
 """
@@ -37,6 +38,8 @@ THRESHOLD = (90, 100)
 PIVOTS = 16
 #: Candidates of one hub that meet one copy of its set.
 HUB_PAIRS = 500
+#: Entries of one shingle that are joined together.
+PART_ENTRIES = 200
 _CACHE_WORDS = 300_000
 
 
@@ -130,7 +133,7 @@ def _shared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """shingle, node, n and i (its place in the order) of the prefix shingles that more than one node has. ``nodes``: node, id, n and pool."""
+    """shingle, node, n, i (its place in the order) and members (nodes that have it in their prefix) of the prefix shingles that more than one node has. ``nodes``: node, id, n and pool."""
     shared, mine = _shared(nodes.select("node", F.explode("pool").alias("shingle")), "join-shared")
     mine = staged(mine.select("node", "shingle", "sets"), "join-pool")
     counts = mine.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
@@ -147,8 +150,8 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, threshold: tuple[int,
     entries = staged(placed.where(F.col("i") <= _last(threshold)).select("shingle", "node", "n", "i"), "join-prefixes")
     for done in (shared, mine, left, others, also):
         discard(done)
-    twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("shingle")
-    out = staged(entries.join(twice, "shingle", "left_semi").select("shingle", "node", "n", "i"), "join-entries")
+    twice = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    out = staged(entries.join(twice, "shingle").select("shingle", "node", "n", "i", "members"), "join-entries")
     discard(entries)
     return out
 
@@ -197,6 +200,15 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, thr
     return out
 
 
+def _parts():
+    """How many parts the entries of a shingle are dealt out to, from ``members``."""
+    return F.ceil(F.col("members") / PART_ENTRIES).cast("int")
+
+
+def _every_part():
+    return F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part")
+
+
 def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """id, n_shingles and component (the least id of its documents, null if none has one) of every row of ``docs`` (id, text). Rows with an empty set are linked with nothing."""
     rows = staged(profiles(docs, size, threshold), "join-profiles")
@@ -206,7 +218,8 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
     nodes = staged(firsts, "join-nodes")
     shared = prefixes(docs, nodes, size, threshold)
     # The hub of a shingle is the node in which it stands first; ties: the smaller set, then the smaller node.
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "n", "node")).alias("hub"))
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "n", "node")).alias("hub"), F.max("members").alias("members")).select("shingle", "hub", _every_part())
+    part = F.pmod(F.xxhash64("node"), _parts()).cast("int")
     node = nodes.select("node", "pivots")
 
     def suffix_filtered(pairs: DataFrame) -> DataFrame:
@@ -221,20 +234,21 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         return suffix_filtered(pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n", "m").alias("n"), pick("m", "n").alias("m")).distinct())
 
-    star = shared.join(hubs, "shingle").select(F.col("node").alias("a"), "n", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j")).where(F.col("a") != F.col("b")).where(_possible(threshold))
+    star = shared.withColumn("part", part).join(hubs, ["shingle", "part"]).select(F.col("node").alias("a"), "n", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j")).where(F.col("a") != F.col("b")).where(_possible(threshold))
     first = staged(of(star), "join-star-pairs")
     links = verified(docs, first, nodes, size, threshold)
     found = components(links)
 
-    labelled = shared.select("shingle", "node", "n", "i").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = staged(labelled, "join-labelled")
     discard(shared)
     # Within a shingle only pairs of different components matter, so one of the two is outside the shingle's largest component.
     sizes = labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    major = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1).drop("parts")
-    mixed = labelled.join(major, "shingle").withColumn("band", _band(threshold, "n"))
-    right = mixed.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
-    rest = mixed.where(F.col("component") != F.col("major")).withColumnRenamed("node", "a").join(right, ["shingle", "band"]).where((F.col("component") != F.col("other")) & _possible(threshold))
+    major = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("members")).where(F.col("components") > 1)
+    mixed = labelled.withColumn("part", part).join(major.select("shingle", "major", _every_part()), ["shingle", "part"]).withColumn("band", _band(threshold, "n"))
+    right = mixed.select("shingle", "part", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
+    left = mixed.where(F.col("component") != F.col("major")).select("shingle", "band", "component", F.col("node").alias("a"), "n", "i", _every_part())
+    rest = left.join(right, ["shingle", "part", "band"]).where((F.col("component") != F.col("other")) & _possible(threshold))
     second = staged(of(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest-pairs")
     classes = found if second.isEmpty() else components(links.unionByName(verified(docs, second, nodes, size, threshold)))
     for done in (first, links, labelled, second):

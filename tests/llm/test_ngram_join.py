@@ -46,8 +46,9 @@ def test_awkward_rows(spark, docs, size, t):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_edits(spark, seed):
+def test_random_edits(spark, seed, monkeypatch):
     """Groups of near copies, some linked in chains only, and short sets at the edge of the threshold."""
+    monkeypatch.setattr(nj, "PART_ENTRIES", [200, 2, 1][seed])
     rnd = random.Random(seed)
     rows = []
     for g in range(6):
@@ -83,6 +84,7 @@ def test_rows_without_ids_and_shared_ids(spark):
 def test_hubs_are_dealt_out(spark, monkeypatch):
     """One large class, whose hub meets its members in parts."""
     monkeypatch.setattr(nj, "HUB_PAIRS", 3)
+    monkeypatch.setattr(nj, "PART_ENTRIES", 4)
     rnd = random.Random(4)
     base = words(rnd, 80).split()
     rows = []
