@@ -43,7 +43,7 @@ BLOCK = 256
 
 
 def scan(items: Column, zero: Column, step, emit) -> Column:
-    """``emit(state, x)`` for each x of an array, with the state before x: ``zero``, then ``step(state, x)`` of the element before."""
+    """``emit(state, x)`` for each x of an array, with the state before x: ``zero``, then ``step(state, x)`` of the element before. Null for an empty array."""
 
     def blocks_of(xs: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
