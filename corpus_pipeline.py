@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, langid, ngram_join, packing, secrets
@@ -16,13 +16,20 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def medians(scores: DataFrame) -> dict[str, float]:
+    """The exact median (of two, the lower) of the scores of each language. Equal scores are counted first, so what is sorted depends on how many different ones there are."""
+    counts = scores.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
+    of_lang = Window.partitionBy("lang")
+    places = counts.select("lang", "score", F.sum("n").over(of_lang.orderBy("score")).alias("upto"), F.sum("n").over(of_lang).alias("all"))
+    return {r["lang"]: r["median"] for r in places.where(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg(F.min("score").alias("median")).collect()}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; profiles are learned from the documents that have a language."""
-    sample = staged(langid.sample(docs), "pipeline-languages")
-    profiles = langid.learn(sample)
-    own = langid.identify(sample, profiles).where(F.col("lang_pred") == F.col("lang"))
-    least = {r["lang"]: LEAST_LANGUAGE_SHARE * r["median"] for r in own.groupBy("lang").agg(F.percentile_approx("score", 0.5, 10_000).alias("median")).collect()}
-    discard(sample)
+    """Documents in a language that can be told; profiles and least scores are learned from all documents that have a language. Labelled documents are scored twice, as staged scores would be another copy of the corpus."""
+    rows = langid.labelled(docs).select("lang", "text")
+    profiles = langid.learn(rows, train_rows=None)
+    own = langid.identify(rows, profiles).where(F.col("lang_pred") == F.col("lang"))
+    least = {lang: LEAST_LANGUAGE_SHARE * median for lang, median in medians(own.select("lang", "score")).items()}
     fits = F.lit(False)
     for lang in profiles:
         # A language whose labelled documents all look like another one's is held to the strictest score.

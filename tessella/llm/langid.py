@@ -4,7 +4,8 @@ A profile is the list of the most frequent letter n-grams (1 to 3 characters of
 distance to a language is the sum over the document's profile of how far out of place each n-gram is in the language's; n-grams that the language lacks count as the
 profile's length. The nearest language wins (ties: the first by name).
 
-The profiles are learned from a bounded sample: each language's rows are thinned by a hash of the row to ``TRAIN_ROWS`` expected rows. Prediction is a map over whole texts.
+The profiles are learned from all rows that have a language, or from a bounded sample of them: each language's rows are thinned by a hash of the row to ``TRAIN_ROWS`` expected
+rows. Prediction is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, per_worker, sliced
 
 PROFILE = 300
-#: Expected rows of each language that profiles are learned from.
+#: Expected rows of each language in a sample that profiles are learned from.
 TRAIN_ROWS = 3000
+#: Distinct n-grams that a task adds up before it passes their counts on, and rows that it passes on at a time.
+HELD_GRAMS, OUT_ROWS = 1 << 20, 100_000
 UNKNOWN = "und"
 #: Characters of a text that are looked at together.
 PIECE = 1 << 20
@@ -79,6 +82,13 @@ def count(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found[0] if len(found) == 1 else _unique(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
 
 
+def _count_rows(sums: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, (keys, counts) in sums.items():
+        for at in range(0, len(keys), OUT_ROWS):
+            grams = list(map(gram_of, keys[at : at + OUT_ROWS].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts[at : at + OUT_ROWS], pa.int64())], names=["lang", "gram", "n"])
+
+
 def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
     for batch in sliced(batches, 500):
@@ -88,13 +98,20 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 new.setdefault(lang, [sums[lang]] if lang in sums else []).append(count(text))
         for lang, parts in new.items():
             sums[lang] = _unique(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
-    for lang, (keys, counts) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(list(map(gram_of, keys.tolist())), pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+        if sum(len(keys) for keys, _ in sums.values()) > HELD_GRAMS:
+            yield from _count_rows(sums)
+            sums = {}
+    yield from _count_rows(sums)
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """The rows with a language and a text."""
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
 def sample(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows (doc_id, lang, text) with a language that profiles are learned from."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """About ``train_rows`` rows (doc_id, lang, text) of each language to learn profiles from."""
+    rows = labelled(rows)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
@@ -102,9 +119,11 @@ def sample(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < share * 2**30).select("doc_id", "lang", "text")
 
 
-def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, length: int = PROFILE) -> dict[str, list[str]]:
-    """Profiles by language, from rows (doc_id, lang, text) with a language. The driver gets ``length`` n-grams a language."""
-    counted = map_batches(sample(rows, train_rows).select("lang", "text"), _batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def learn(rows: DataFrame, train_rows: int | None = TRAIN_ROWS, length: int = PROFILE) -> dict[str, list[str]]:
+    """Profiles by language, from a sample of the rows (doc_id, lang, text) with a language, or from all of them if ``train_rows`` is None (doc_id isn't needed then).
+    The driver gets ``length`` n-grams a language."""
+    rows = labelled(rows) if train_rows is None else sample(rows, train_rows)
+    counted = map_batches(rows.select("lang", "text"), _batch_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= length)
     profiles: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "rank").collect():

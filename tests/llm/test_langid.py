@@ -116,3 +116,23 @@ def test_awkward_rows(spark, docs):
 @pytest.mark.parametrize("bound", [5, 10**9])
 def test_sample_is_bounded(spark, sf_dir, bound):
     assert set(langid.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), bound)) <= {"en", "fr", "de", "es"}
+
+
+def test_counts_are_passed_on_in_parts(monkeypatch):
+    """Tasks that meet many n-grams pass their counts on before the end; together they are those of all texts."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["aa", "bb"]), "".join(rnd.choice("abcdé  中") for _ in range(rnd.randint(0, 80)))) for _ in range(1500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[at : at + 700], strict=True)], names=["lang", "text"]) for at in range(0, 1500, 700)]
+    want = Counter((lang, g) for lang, t in rows for w in words_of(t) for g in grams(w))
+    monkeypatch.setattr(langid, "HELD_GRAMS", 50)
+    monkeypatch.setattr(langid, "OUT_ROWS", 30)
+    out = list(langid._batch_counts(iter(batches)))
+    got = Counter()
+    for b in out:
+        for r in b.to_pylist():
+            got[r["lang"], r["gram"]] += r["n"]
+    assert got == want and max(b.num_rows for b in out) <= 30 and sum(b.num_rows for b in out) > len(want)

@@ -69,6 +69,51 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def test_language_stage_learns_from_all_rows(spark):
+    """With more rows a language than a sample would take, profiles and least scores are those of all labelled rows, by plain Python."""
+    from collections import Counter
+
+    from test_langid import distances, grams, words_of
+
+    from tessella.llm import langid
+
+    rnd = random.Random(9)
+    syllables = {"aa": ["th", "er", "on", "an", "re", "in"], "bb": ["ku", "mi", "to", "sa", "yo", "ne"]}
+
+    def text(lang):
+        noise = rnd.random() ** 2
+        word = lambda: "".join(chr(rnd.randint(0x4E00, 0x9FA5)) if rnd.random() < noise else rnd.choice(syllables[lang]) for _ in range(rnd.randint(1, 3)))
+        return " ".join(word() for _ in range(rnd.randint(2, 6)))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb"] * (2 * langid.TRAIN_ROWS))]
+    rows += [(len(rows) + i, text(lang), None) for i, lang in enumerate(["aa", "bb"] * 100)] + [(-1, None, "aa"), (-2, "12", "bb")]
+    counts = {}
+    for _, t, lang in rows:
+        if t and lang:
+            counts.setdefault(lang, Counter()).update(g for w in words_of(t) for g in grams(w))
+    profiles = {k: sorted(c, key=lambda g: (-c[g], g))[: langid.PROFILE] for k, c in counts.items()}
+    found = {i: distances(t or "", profiles) or ("und", 0.0) for i, t, _ in rows}
+    least = {}
+    for lang in profiles:
+        own = sorted(found[i][1] for i, _, known in rows if known == lang == found[i][0])
+        least[lang] = cp.LEAST_LANGUAGE_SHARE * own[(len(own) - 1) // 2]
+    want = {i for i, (lang, score) in found.items() if lang in least and score >= least[lang]}
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], SCHEMA)
+    assert 0.5 * len(rows) < len(want) < 0.99 * len(rows)
+    assert {r["doc_id"] for r in cp.language_id(spark, docs, "").select("doc_id").collect()} == want
+
+
+def test_medians_are_exact(spark):
+    """The lower median of each language, however often its scores repeat."""
+    rnd = random.Random(10)
+    rows = [("aa", rnd.random()) for _ in range(30_000)] + [("bb", rnd.randint(0, 3) / 4) for _ in range(1001)] + [("cc", 0.25)] + [("dd", x) for x in (0.5, 0.75)]
+    by = {}
+    for lang, x in rows:
+        by.setdefault(lang, []).append(x)
+    assert cp.medians(spark.createDataFrame(rows, "lang string, score double").repartition(3)) == {k: sorted(v)[(len(v) - 1) // 2] for k, v in by.items()}
+    assert cp.medians(spark.createDataFrame([], "lang string, score double")) == {}
+
+
 def test_decontamination_drops_any_window(spark, tmp_path):
     """13 words of an item in a document of 2,000 are enough; 12 are not."""
     rnd = random.Random(7)
