@@ -212,6 +212,20 @@ def test_maintenance(db):
     assert db.query("SELECT value FROM sys WHERE variable_name = 'spark_version'").count() == 1
 
 
+def test_compaction_deals_out_what_is_sorted(db, spark, monkeypatch):
+    """Files of a sorted table are bounded by the memory of the sort, however well the rows compress."""
+    monkeypatch.setattr("tessella.session.SORT_BYTES", 100_000, raising=False)
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v DOUBLE, s VARCHAR(200), INDEX o (v) ORDERED)")
+    db.load("t", spark.range(2000).selectExpr("cast(id AS int) AS k", "cast(id % 1000 AS double) AS v", "if(id % 7 = 0, NULL, repeat('x', 200)) AS s"))
+    before = db.execute("CHECKSUM TABLE t").fetchall()
+    assert db.execute("COMPACT TABLE t").metadata["rows"] == 2000
+    assert db.execute("CHECKSUM TABLE t").fetchall() == before
+    ranges = db._version("main", "t")[1].ranges
+    assert sum(r[0] for r in ranges.values()) == 2000 and len(ranges) >= 6 and max(r[0] for r in ranges.values()) < 700
+    db.execute("CREATE TABLE e (k INT PRIMARY KEY, v DOUBLE, INDEX o (v) ORDERED)")
+    assert db.execute("COMPACT TABLE e").metadata["rows"] == 0
+
+
 def test_load(db, spark):
     db.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(3))")
     assert db.load("t", spark.range(100).selectExpr("id", "'x' AS v")).affected_rows == 100
