@@ -226,6 +226,21 @@ def test_compaction_deals_out_what_is_sorted(db, spark, monkeypatch):
     assert db.execute("COMPACT TABLE e").metadata["rows"] == 0
 
 
+@pytest.mark.parametrize("value", ["5.0D", "CAST(NULL AS DOUBLE)", "IF(id % 10 = 0, id / 1D, 7D)"])
+def test_compaction_deals_out_equal_keys(db, spark, monkeypatch, value):
+    """A value that most rows share doesn't bring them into one task."""
+    monkeypatch.setattr("tessella.session.SORT_BYTES", 20_000, raising=False)
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v DOUBLE, INDEX o (v) ORDERED)")
+    rows = spark.range(2000).selectExpr("cast(id AS int) AS k", f"{value} AS v")
+    db.load("t", rows)
+    db.execute("COMPACT TABLE t")
+    ranges = db._version("main", "t")[1].ranges
+    assert sum(r[0] for r in ranges.values()) == 2000 and max(r[0] for r in ranges.values()) < 700
+    got = db.query("SELECT k, v FROM t")
+    assert got.exceptAll(rows).isEmpty() and rows.exceptAll(got).isEmpty()
+    assert [r["k"] for r in db.execute("SELECT k FROM t LIMIT 5")] == [0, 1, 2, 3, 4]
+
+
 def test_load(db, spark):
     db.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(3))")
     assert db.load("t", spark.range(100).selectExpr("id", "'x' AS v")).affected_rows == 100
