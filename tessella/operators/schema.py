@@ -211,7 +211,7 @@ def alter(store: Store, database: str, table: str, version: Version, actions: li
     if rebuilt and rows is not None and version.files:
         ordered = next((i for i in version.indexes if i.ordered), None)
         if ordered is not None:
-            rows = rows.repartitionByRange(*[F.col(f"`{c}`") for c in ordered.columns])
+            rows = rows.repartitionByRange(*[F.col(f"`{c}`") for c in (*ordered.columns, ROW_ID)])  # row ids part equal keys
         version = replace(version, files=store.write(database, table, rows, version), statistics=None)
     return version
 

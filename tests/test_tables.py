@@ -1,6 +1,7 @@
 """Tables of the engine: rows, keys, sequences, definitions, transactions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.errors import EngineError
 from tessella.session import connect
@@ -241,6 +242,34 @@ def test_compaction_deals_out_equal_keys(db, spark, monkeypatch, value):
     assert [r["k"] for r in db.execute("SELECT k FROM t LIMIT 5")] == [0, 1, 2, 3, 4]
 
 
+def test_compaction_keeps_ranges_apart(db, spark, monkeypatch):
+    """Each file of a compacted table has a range of the ordered index of its own, so a range predicate needs few of them."""
+    monkeypatch.setattr("tessella.session.SORT_BYTES", 20_000, raising=False)
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v DOUBLE, INDEX o (v) ORDERED)")
+    rows = spark.range(2000).selectExpr("cast(id AS int) AS k", "if(id < 20, NULL, id * 919 % 2000 / 1D) AS v")
+    db.load("t", rows)
+    db.execute("COMPACT TABLE t")
+    files = db.query("SELECT k, v FROM t").groupBy(F.input_file_name()).agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    assert len(files) >= 6 and sum(f["high"] is not None and f["high"] >= 500 and f["low"] < 600 for f in files) <= 3
+    got = db.query("SELECT k, v FROM t WHERE v >= 500.0 AND v < 600.0")
+    want = rows.where("v >= 500 AND v < 600")
+    assert want.count() > 90 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_altering_deals_out_equal_keys(db, spark):
+    """A table that ALTER TABLE sorts anew is dealt out though all rows have the same key."""
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v DOUBLE)")
+    db.load("t", spark.range(2000).selectExpr("cast(id AS int) AS k", "7D AS v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        db.execute("CREATE INDEX o ON t (v) ORDERED")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = db._version("main", "t")[1].ranges
+    assert sum(r[0] for r in ranges.values()) == 2000 and max(r[0] for r in ranges.values()) < 1000
+    assert db.query("SELECT k, v FROM t WHERE v = 7.0").distinct().count() == 2000
+
+
 def test_load(db, spark):
     db.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(3))")
     assert db.load("t", spark.range(100).selectExpr("id", "'x' AS v")).affected_rows == 100
